@@ -14,7 +14,9 @@ def read_table_stream(
     reader = spark.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(path)
+    # A stream takes a plain path for a folder; as a pattern it may be one file.
+    folder, _, name = path.rstrip("/").rpartition("/")
+    return reader.parquet(f"{folder}/{{{name}}}")
 
 
 def event_time(ts: Column) -> Column:
