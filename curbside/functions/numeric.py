@@ -14,6 +14,9 @@ from pyspark.sql import Column, functions as F
 
 MICRO = 1_000_000
 
+#: Splits a double into two halves of 26 bits, whose products are exact.
+SPLITTER = float(2**27 + 1)
+
 
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -74,6 +77,20 @@ def half_up(x: Column, digits: int = 0) -> Column:
 
 
 def half_even(x: Column, digits: int) -> Column:
-    """Ties go to the even neighbour, as in Python's ``round``."""
+    """Python's ``round``: the nearest decimal to the binary value, ties to even.
+
+    0.35 is a little below 35/100, but 0.35 * 10 comes out as 3.5.  Where the
+    product ends in one half, what its rounding lost says on which side it was.
+    """
     scale = 10**digits
-    return F.rint(x * scale) / scale
+    product = x * scale
+    below = F.floor(product)
+    high = x * SPLITTER - (x * SPLITTER - x)
+    lost = (high * scale - product) + (x - high) * scale
+    tie = (product - below) == 0.5
+    nearest = (
+        F.when(tie & (lost < 0), below.cast("double"))
+        .when(tie & (lost > 0), (below + 1).cast("double"))
+        .otherwise(F.rint(product))
+    )
+    return nearest / scale

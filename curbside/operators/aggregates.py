@@ -14,6 +14,7 @@ from curbside.functions.numeric import (
     rounded,
 )
 from curbside.operators.scale import attach, fits_broadcast
+from curbside.session import materialize
 
 #: Output name -> measure column.
 MEASURES = {"total_kg": "weight_kg", "total_volume": "volume_liters"}
@@ -183,5 +184,5 @@ def group_total(
     A window would gather each group in one task.  Here the totals are
     aggregated first and joined back.
     """
-    totals = df.groupBy(*keys).agg(rounded(exact_sum(measure)).alias(name))
+    totals = materialize(df.groupBy(*keys).agg(rounded(exact_sum(measure)).alias(name)))
     return attach(df, totals, keys, "left", spread_by=spread_by, max_rows=max_rows)

@@ -17,8 +17,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from curbside.functions import lookups
 from curbside.functions.numeric import half_even
 from curbside.operators.scale import attach
+from curbside.session import materialize
 
-FEATURES = ["weight_kg", "moisture_pct", "recyclable", "material_code"]
+#: Column which counts how many equal rows one training row stands for.
+WEIGHT = "n_rows"
 
 #: Request column -> type and value when it is left out.
 REQUEST_FIELDS = {
@@ -133,6 +135,19 @@ def with_bin(df: DataFrame, label: str = "predicted_type") -> DataFrame:
     return df.join(F.broadcast(bins), label, "left")
 
 
+def collapse(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One stored row per distinct row, with its count as training weight.
+
+    Measurements have few digits, so at scale this is far smaller than the
+    records, and a group of copies costs as much as a single row.  Impurities,
+    losses and counts are those of the full table.  The rows are spread over
+    all partitions, since each fit reads them many times.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = df.groupBy(*columns).agg(F.count("*").cast("double").alias(WEIGHT))
+    return materialize(counts.repartition(parts, *columns))
+
+
 def forest(trees: int = 100, max_depth: int = 30, max_bins: int = 32, seed: int = 42):
     """Random forest; 30 is the deepest tree Spark grows."""
     return RandomForestClassifier(
@@ -165,7 +180,10 @@ def train_classifier(
     """One pipeline from raw columns to a predicted label.
 
     The codes used in training are stored with it, so scoring cannot use others.
+    A column ``n_rows``, if there is one, weighs the rows.
     """
+    if WEIGHT in df.columns:
+        classifier = classifier.copy().setWeightCol(WEIGHT)
     labels = StringIndexer(
         inputCol=label, outputCol="label_code", stringOrderType="alphabetAsc", handleInvalid="skip"
     ).fit(df)

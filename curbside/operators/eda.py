@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from curbside.functions.numeric import exact_mean, half_away
 from curbside.operators.scale import running_total
@@ -38,9 +38,12 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> Da
     )
     counts = long.filter("value IS NOT NULL").groupBy("column", "value").agg(F.count("*").alias("n"))
     placed = running_total(counts, ["column", "value"], "n", "before")
-    # One row per column: the ranks of a column start after all columns before it.
-    spans = placed.groupBy("column").agg(
-        F.min("before").alias("first"), F.sum("n").alias("total")
+    # One row per declared column: its ranks start after those of all columns before it.
+    earlier = W.orderBy("column").rowsBetween(W.unboundedPreceding, -1)
+    spans = (
+        placed.groupBy("column")
+        .agg(F.sum("n").alias("total"))
+        .withColumn("first", F.coalesce(F.sum("total").over(earlier), F.lit(0)))
     )
     rank = (F.col("total") - 1) * F.col("p")
     wanted = spans.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in probs]))).select(

@@ -17,13 +17,14 @@ def accuracy(df: DataFrame, label: str, prediction: str) -> DataFrame:
 
 
 def confusion_matrix(
-    df: DataFrame, label: str, prediction: str, classes: Sequence[str]
+    df: DataFrame, label: str, prediction: str, classes: Sequence[str], weight: str | None = None
 ) -> DataFrame:
     """Count of each (label, prediction) cell, and its share of the label's rows.
 
     Cells of the declared classes are there even when empty; rows with other
-    labels are counted too.
+    labels are counted too.  ``weight`` names a column of row counts.
     """
+    rows_in_cell = F.sum(weight).cast("bigint") if weight else F.count("*")
     names = F.array(*[F.lit(c) for c in classes])
     spark = df.sparkSession
     empty = (
@@ -32,7 +33,7 @@ def confusion_matrix(
         .select("label", F.explode(names).alias("prediction"), F.lit(0).cast("bigint").alias("n"))
     )
     found = df.groupBy(F.col(label).alias("label"), F.col(prediction).alias("prediction")).agg(
-        F.count("*").alias("n")
+        rows_in_cell.alias("n")
     )
     cells = found.unionByName(empty).groupBy("label", "prediction").agg(F.sum("n").alias("n"))
     rows = cells.groupBy(F.col("label").alias("__label")).agg(F.sum("n").alias("__rows"))
@@ -129,13 +130,15 @@ def compare_models(
     train: dict[str, Callable[[DataFrame], PipelineModel]],
     label: str = "waste_type",
     k: int = 5,
+    weight: str | None = None,
 ) -> DataFrame:
     """Test accuracy, and mean and population std over the folds, per model.
 
     ``df`` has columns ``split`` and ``fold`` and should be stored already: each
-    model is fitted k + 1 times.  The metrics of all fits come from one
-    aggregation per model.  Rows are best first; ties keep the given order.
+    model is fitted k + 1 times.  All metrics come from one aggregation over the
+    scored rows.  The best model is first; ties keep the given order.
     """
+    rows_of = F.col(weight) if weight else F.lit(1.0)
     frames = []
     for order, (name, fit) in enumerate(train.items()):
         runs = [("test", fit(df.filter("split = 'train'")), df.filter("split = 'test'"))]
@@ -148,13 +151,15 @@ def compare_models(
             frames.append(
                 score(rows, model).select(
                     F.lit(order).alias("__order"), F.lit(name).alias("model"), F.lit(run).alias("run"),
-                    right.alias("right"),
+                    (right * rows_of).alias("right"), rows_of.alias("rows"),
                 )
             )
     scored = frames[0]
     for frame in frames[1:]:
         scored = scored.unionByName(frame)
-    runs = scored.groupBy("__order", "model", "run").agg(F.avg("right").alias("accuracy"))
+    runs = scored.groupBy("__order", "model", "run").agg(
+        (F.sum("right") / F.sum("rows")).alias("accuracy")
+    )
     test = F.max(F.when(F.col("run") == "test", F.col("accuracy")))
     fold = F.when(F.col("run") != "test", F.col("accuracy"))
     return (

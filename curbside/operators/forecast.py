@@ -10,8 +10,9 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame, functions as F
 
 from curbside.functions import calendar, lookups
-from curbside.functions.numeric import exact_sum, half_even, half_up, rounded
+from curbside.functions.numeric import exact_mean, exact_sum, half_even, half_up, rounded
 from curbside.operators.scale import attach
+from curbside.session import materialize
 
 FEATURES = ["area", "day_of_week", "month"]
 
@@ -73,10 +74,28 @@ def fallback_forecast(
     )
 
 
+def volume_cells(df: DataFrame) -> DataFrame:
+    """Mean volume and record count of each (area, weekday, month).
+
+    All features are categories, so these few rows hold what a tree on the
+    records would split on: the spread within a cell is the same for any split.
+    """
+    means = df.groupBy(*FEATURES).agg(
+        exact_mean("volume_liters").alias("volume_liters"),
+        F.count("volume_liters").cast("double").alias("n_rows"),
+    )
+    return materialize(means.filter("n_rows > 0"))
+
+
 def volume_regressor(
-    trees: int = 100, max_depth: int = 10, max_bins: int = 32, seed: int = 42
+    trees: int = 100, max_depth: int = 10, max_bins: int = 32, seed: int = 42, by_cell: bool = False
 ) -> Pipeline:
-    """Area, weekday and month, coded alphabetically, to volume per record."""
+    """Area, weekday and month, coded alphabetically, to volume per record.
+
+    ``by_cell`` is for training on ``volume_cells``.  Drawing whole cells at
+    random would be far coarser than drawing records, whose cell means hardly
+    move; so the cells are all used, with their weights.
+    """
     indexers = StringIndexer(
         inputCols=["area", "day_of_week"],
         outputCols=["area_code", "day_code"],
@@ -93,7 +112,10 @@ def volume_regressor(
         maxBins=max_bins,
         featureSubsetStrategy="all",
         seed=seed,
+        bootstrap=not by_cell,
     )
+    if by_cell:
+        forest = forest.setWeightCol("n_rows")
     return Pipeline(stages=[indexers, features, forest])
 
 

@@ -7,8 +7,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 from curbside.functions import text
 
 
-def clean_reports(df: DataFrame, default_type: str = "Unknown") -> DataFrame:
-    """Fill in what the sender left out.  A new report is always pending."""
+def clean_reports(
+    df: DataFrame, default_type: str = "Unknown", keep_status: bool = False
+) -> DataFrame:
+    """Fill in what the sender left out.
+
+    A new report is pending whatever was sent; ``keep_status`` is for stored ones.
+    """
+    status = F.coalesce("status", F.lit("pending")) if keep_status else F.lit("pending")
     return df.select(
         "id",
         F.coalesce("reporter_name", F.lit("Anonymous")).alias("reporter_name"),
@@ -16,7 +22,7 @@ def clean_reports(df: DataFrame, default_type: str = "Unknown") -> DataFrame:
         F.coalesce("waste_type", F.lit(default_type)).alias("waste_type"),
         F.coalesce("description", F.lit("")).alias("description"),
         text.upload_name(F.col("created_at"), F.col("image_name")).alias("image_path"),
-        F.lit("pending").alias("status"),
+        status.alias("status"),
         "created_at",
     )
 

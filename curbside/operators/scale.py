@@ -19,6 +19,9 @@ BROADCAST_ROWS = 500_000
 #: Rows of an aggregate that one task may sort.
 ONE_TASK_ROWS = 100_000
 
+#: Keys a sketch of frequent items keeps count of.
+_TRACKED_KEYS = 10_000
+
 _SALT = "__salt"
 _KEY_HASH = "__key_hash"
 _POSITION = "__position"
@@ -38,18 +41,18 @@ def fits_broadcast(df: DataFrame, max_rows: int | None = None) -> bool:
 def hot_keys(df: DataFrame, keys: list[str], fraction: float = 0.01) -> list[int]:
     """Hashes of the keys that fill more than one fair share of the partitions.
 
-    At most one key per partition can do so, which bounds the result.
+    A frequent-items sketch over a sample finds them in one pass; what is merged
+    and returned is bounded by the sketch, whatever the number of keys.
     """
     shares = _partitions(df)
-    counts = (
+    sketch = F.expr(f"approx_top_k({_KEY_HASH}, {shares}, {max(_TRACKED_KEYS, 10 * shares)})")
+    found = (
         df.select(F.xxhash64(*keys).alias(_KEY_HASH))
         .sample(fraction, seed=11)
-        .groupBy(_KEY_HASH)
-        .agg(F.count("*").alias("n"))
+        .agg(sketch.alias("top"), F.count("*").alias("rows"))
+        .first()
     )
-    total = counts.agg(F.sum("n")).scalar()
-    hot = counts.filter(F.col("n") * shares > total).limit(shares)
-    return [row[_KEY_HASH] for row in hot.collect()]
+    return [hit["item"] for hit in found["top"] if hit["count"] * shares > found["rows"]]
 
 
 def attach(
@@ -59,18 +62,19 @@ def attach(
     how: str = "inner",
     spread_by: list[str] | None = None,
     max_rows: int | None = None,
-    hot: list[int] | None = None,
+    small: bool | None = None,
 ) -> DataFrame:
     """Join a large table with one that has each key once.
 
     ``spread_by`` names columns whose values differ within a hot key; a row
     number of the source file is best, as it also tells copies apart.
+    ``small`` hands in a size check already made.
     """
     if how not in ("inner", "left"):
         raise ValueError("how must be inner or left")
-    if fits_broadcast(dim, max_rows):
+    if fits_broadcast(dim, max_rows) if small is None else small:
         return fact.join(F.broadcast(dim), keys, how)
-    hot = hot_keys(fact, keys) if hot is None else hot
+    hot = hot_keys(fact, keys)
     if not hot:
         return fact.join(dim, keys, how)
     salts = _partitions(fact)

@@ -469,6 +469,9 @@ SELECT (SELECT {_up("total")} FROM days WHERE day_no = 0) AS day1_total,
            AS capacity_pct FROM forecast)
 SELECT *, CASE WHEN capacity_pct > 70 THEN 'high' WHEN capacity_pct > 45 THEN 'mid' ELSE 'low' END AS band
 FROM used""",
+    "nested_forecast": f"""WITH {FORECAST}
+SELECT area, CAST(COUNT(*) AS INT) AS days, MAX(predicted_volume) FILTER (WHERE day_no = 0) AS first_volume,
+       CAST(MAX(prediction_date) AS VARCHAR) AS last_date FROM forecast GROUP BY area""",
     "insert_if_absent": FIRST_WINS,
     "stream_report_intake": f"""WITH {CLEAN_REPORTS}
 SELECT * EXCLUDE (created_at), {_REPORT_TIME} AS created_at FROM cleaned""",

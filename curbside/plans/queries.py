@@ -69,12 +69,8 @@ def _type_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _area_type_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts = b.collection_facts(spark, sf_dir).select("l_orderkey", "l_partkey", "row_no", "weight_kg")
-    with_area = b.attach(
-        facts, b.area_dim(spark, sf_dir), ["l_orderkey"], spread_by=["l_partkey", "row_no"]
-    )
     return agg.totals_through(
-        with_area.select("area", "l_partkey", "weight_kg"),
+        b.collections(spark, sf_dir, ["area", "l_partkey", "weight_kg"]),
         b.part_dim(spark, sf_dir).select("l_partkey", "waste_type"),
         "l_partkey",
         ["area", "waste_type"],
@@ -148,11 +144,9 @@ def heatmap_estimate(spark, sf_dir):
 @query
 def group_total(spark, sf_dir):
     rows = b.collections(
-        spark, sf_dir, ["l_orderkey", "l_partkey", "row_no", "area", "day_of_week", "volume_liters"]
+        spark, sf_dir, ["l_orderkey", "l_partkey", "area", "day_of_week", "volume_liters"]
     )
-    return agg.group_total(
-        rows, ["area", "day_of_week"], "volume_liters", spread_by=["l_orderkey", "l_partkey", "row_no"]
-    ).drop("row_no")
+    return agg.group_total(rows, ["area", "day_of_week"], "volume_liters")
 
 
 @query
@@ -208,10 +202,8 @@ def latest_reports(spark, sf_dir):
 
 @query
 def report_display(spark, sf_dir):
-    raw = b.reports(_events(spark, sf_dir))
-    kept_status = raw.select("id", "status")
-    cleaned = rep.clean_reports(raw).drop("status").join(kept_status, "id")
-    return rep.report_display(cleaned)
+    stored = rep.clean_reports(b.reports(_events(spark, sf_dir)), keep_status=True)
+    return rep.report_display(stored)
 
 
 # -- checks, sources and sinks ------------------------------------------------
@@ -426,11 +418,12 @@ def label_confusion(spark, sf_dir):
 
 def _mean_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Volume predicted by the mean of the weekday, for metrics without a model."""
-    facts = _facts(spark, sf_dir, "l_orderkey", "l_partkey", "row_no", "day_of_week", "volume_liters")
+    facts = _facts(spark, sf_dir, "day_of_week", "volume_liters")
     means = facts.groupBy("day_of_week").agg(
         fc.half_even(agg.exact_mean("volume_liters"), 2).alias("predicted")
     )
-    return b.attach(facts, means, ["day_of_week"], spread_by=["l_orderkey", "row_no"])
+    # One row per weekday.
+    return facts.join(F.broadcast(means), "day_of_week")
 
 
 @query
@@ -524,12 +517,13 @@ def insert_if_absent(spark, sf_dir):
 
 
 def _training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All collections with their features, stored once: several fits read them."""
-    columns = ["l_orderkey", "l_partkey", "row_no", "waste_type", *b.MEASURES, "material_type"]
+    """All collections, equal rows collapsed into one with a weight, stored once."""
+    columns = ["l_orderkey", "l_partkey", "waste_type", *b.MEASURES, "material_type"]
     rows = b.collections(spark, sf_dir, columns)
-    key = F.concat_ws("-", "l_orderkey", "l_partkey", "row_no")
-    keyed = rows.withColumn("key", key).drop("l_orderkey", "l_partkey", "row_no")
-    return materialize(split.assign_folds(split.hash_split(keyed, "key"), "key", seed=7))
+    key = F.concat_ws("-", "l_orderkey", "l_partkey")
+    parted = split.assign_folds(split.hash_split(rows.withColumn("key", key), "key"), "key", seed=7)
+    used = ["waste_type", "weight_kg", "moisture_pct", "recyclable", "material_type", "split", "fold"]
+    return classify.collapse(parted, used)
 
 
 def _forest_model(rows: DataFrame) -> PipelineModel:
@@ -541,13 +535,16 @@ def rf_classify(spark, sf_dir):
     rows = _training_rows(spark, sf_dir)
     model = _forest_model(rows.filter("split = 'train'"))
     scored = classify.score(rows.filter("split = 'test'"), model)
-    return evaluate.confusion_matrix(scored, "waste_type", "predicted_type", b.ALL_TYPES)
+    return evaluate.confusion_matrix(
+        scored, "waste_type", "predicted_type", b.ALL_TYPES, classify.WEIGHT
+    )
 
 
 @query
 def score_batch(spark, sf_dir):
     path = fresh_path(spark, "classifier")
-    model = models.load_or_train(path, lambda: _forest_model(_training_rows(spark, sf_dir)))
+    models.load_or_train(path, lambda: _forest_model(_training_rows(spark, sf_dir)))
+    model = models.load_model(path)
     good, _ = classify.classify_requests(b.requests(_events(spark, sf_dir)), model)
     return good.select("id", *scoring.RESULT)
 
@@ -560,13 +557,13 @@ def feature_importance(spark, sf_dir):
 @query
 def model_comparison(spark, sf_dir):
     rows = _training_rows(spark, sf_dir)
-    n = rows.count()
+    n = rows.agg(F.sum(classify.WEIGHT)).first()[0]
     kinds = {
         "Random Forest": lambda df: _forest_model(df),
         "Decision Tree": lambda df: classify.train_classifier(df, classify.tree(DEPTH, BINS)),
         "Logistic Regression": lambda df: classify.train_classifier(df, classify.logistic(n)),
     }
-    return evaluate.compare_models(rows, kinds)
+    return evaluate.compare_models(rows, kinds, weight=classify.WEIGHT)
 
 
 @query
@@ -574,7 +571,9 @@ def rf_forecast(spark, sf_dir):
     daily = _daily_volumes(spark, sf_dir)
     grid = _grid(daily)
     rows = b.collections(spark, sf_dir, [*fc.FEATURES, "volume_liters"])
-    model = fc.volume_regressor(TREES, max_depth=10, max_bins=BINS).fit(materialize(rows))
+    model = fc.volume_regressor(TREES, max_depth=10, max_bins=BINS, by_cell=True).fit(
+        fc.volume_cells(rows)
+    )
     fallback = fc.fallback_forecast(grid, fc.base_volumes(daily), fc.day_multipliers(daily))
     forecast = fc.with_fallback(fc.model_forecast(grid, model), fallback)
     return forecast.select("area", iso("prediction_date"), "predicted_volume")
@@ -583,7 +582,13 @@ def rf_forecast(spark, sf_dir):
 @query
 def nested_forecast(spark, sf_dir):
     nested = fc.nested_forecast(_fallback(spark, sf_dir))
-    return nested.select("area", F.to_json("days").alias("days"))
+    day = calendar.iso_date(F.col("days")[6]["prediction_date"])
+    return nested.select(
+        "area",
+        F.size("days").alias("days"),
+        F.col("days")[0]["predicted_volume"].alias("first_volume"),
+        day.alias("last_date"),
+    )
 
 
 # -- streams --------------------------------------------------------------------

@@ -31,6 +31,9 @@ def load_if_empty(df: DataFrame, path: str) -> bool:
 
 
 def append(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
+    """Add rows.  Rows of one partition go to few files; a hot one is split."""
+    if partition_by:
+        df = df.hint("rebalance", *partition_by)
     df.write.mode("append").partitionBy(*(partition_by or [])).parquet(path)
 
 

@@ -1,0 +1,110 @@
+"""Both ways of each operator, with a third of all rows on one key."""
+
+from __future__ import annotations
+
+import pytest
+from pyspark.sql import functions as F
+
+from curbside import session
+from curbside.operators import aggregates as agg, scale
+
+
+@pytest.fixture(scope="module")
+def skewed(spark):
+    """9000 rows; key 0 has a third of them, and half of those are copies."""
+    i = F.col("id")
+    key = F.when(i % 3 == 0, 0).otherwise(i % 500)
+    value = F.when((i % 3 == 0) & (i % 2 == 0), F.lit(1.25)).otherwise(i / 4)
+    return spark.range(9000).select(key.alias("k"), value.alias("v"), i.alias("row_no")).cache()
+
+
+@pytest.fixture(scope="module")
+def dim(spark):
+    return spark.range(0, 400).select(F.col("id").alias("k"), (F.col("id") % 5).alias("g"))
+
+
+def rows(df):
+    return sorted(tuple(r) for r in df.collect())
+
+
+def test_the_hot_key_is_found(spark, skewed):
+    hot = scale.hot_keys(skewed, ["k"], fraction=0.5)
+    want = spark.range(1).select(F.xxhash64(F.lit(0).cast("bigint"))).first()[0]
+    assert hot == [want]
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_salted_join_gives_what_the_broadcast_gives(skewed, dim, how):
+    columns = ["k", "v", "row_no", "g"]
+    small = scale.attach(skewed, dim, ["k"], how).select(columns)
+    large = scale.attach(skewed, dim, ["k"], how, spread_by=["row_no"], max_rows=0).select(columns)
+    assert "__salt" not in large.columns
+    assert "__salt" in large._jdf.queryExecution().toString()
+    pad = lambda rs: sorted(rs, key=str)
+    assert pad([tuple(r) for r in small.collect()]) == pad([tuple(r) for r in large.collect()])
+
+
+def test_the_hot_key_is_spread_over_tasks(skewed, dim):
+    joined = scale.attach(skewed, dim, ["k"], spread_by=["row_no"], max_rows=0)
+    aqe = skewed.sparkSession.conf.get("spark.sql.adaptive.enabled")
+    skewed.sparkSession.conf.set("spark.sql.adaptive.enabled", "false")
+    skewed.sparkSession.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        per_task = joined.groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        skewed.sparkSession.conf.set("spark.sql.adaptive.enabled", aqe)
+        skewed.sparkSession.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert max(r["count"] for r in per_task) < 9000 / 3
+
+
+def test_a_key_missing_in_a_left_join_stays(spark, skewed, dim):
+    nulls = skewed.limit(3).select(F.lit(None).cast("bigint").alias("k"), "v", "row_no")
+    fact = skewed.unionByName(nulls)
+    assert scale.attach(fact, dim, ["k"], "left", ["row_no"], max_rows=0).count() == 9003
+
+
+def test_totals_through_a_large_table(skewed, dim):
+    args = (dim, "k", ["g"], {"total": "v"})
+    small = agg.totals_through(skewed, *args, count_as="n")
+    large = agg.totals_through(skewed, *args, count_as="n", max_rows=0)
+    assert rows(small) == rows(large)
+    assert sum(r[2] for r in rows(large)) == skewed.filter("k < 400").count()
+
+
+def test_group_total_both_ways(skewed):
+    small = agg.group_total(skewed, ["k"], "v", spread_by=["row_no"])
+    large = agg.group_total(skewed, ["k"], "v", spread_by=["row_no"], max_rows=0)
+    assert rows(small) == rows(large)
+    hot = {r["group_total"] for r in small.filter("k = 0").collect()}
+    assert hot == {float(skewed.filter("k = 0").agg(F.sum("v")).first()[0])}
+
+
+def test_row_numbers_are_dense_and_in_order(skewed):
+    numbered = scale.number_rows(skewed, ["k", "row_no"], "n").orderBy("n").collect()
+    assert [r["n"] for r in numbered] == list(range(1, 9001))
+    assert [(r["k"], r["row_no"]) for r in numbered] == sorted((r["k"], r["row_no"]) for r in numbered)
+
+
+def test_running_total(skewed):
+    counted = skewed.groupBy("k").agg(F.count("*").alias("n"))
+    before = 0
+    for r in scale.running_total(counted, ["k"], "n", "before").orderBy("k").collect():
+        assert r["before"] == before
+        before += r["n"]
+
+
+def test_number_aggregate_both_ways(dim):
+    order = [F.desc("g"), "k"]
+    one_task = scale.number_aggregate(dim, order, "n")
+    many = scale.number_aggregate(dim, order, "n", max_rows=10)
+    assert rows(one_task) == rows(many)
+
+
+def test_numbering_an_empty_table(skewed):
+    assert scale.number_rows(skewed.filter("k < 0"), ["row_no"], "n").count() == 0
+
+
+def test_tables_go_to_the_folder_named_in_the_session(spark):
+    folder = spark.conf.get("spark.checkpoint.dir", "") or session.work_dir(spark)
+    assert session.fresh_path(spark, "x").startswith(folder.rstrip("/"))
+    assert session.fresh_path(spark, "x") != session.fresh_path(spark, "x")
