@@ -1,0 +1,84 @@
+"""The plans are the ones wanted."""
+
+from __future__ import annotations
+
+import os
+import re
+
+import pytest
+
+import __spark_entry__ as entry_module
+from curbside.plans import bindings as b
+from curbside.operators import scale
+
+SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+QUERIES = entry_module.queries()
+
+pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize(
+    "name",
+    [
+        "waste_by_area", "kpi_stats", "group_total", "rule_classify", "clean_requests", "recommend",
+        "report_display", "describe", "histogram", "stratified_split", "forecast_fallback",
+    ],
+)
+def test_no_python_and_no_cross_join(spark, name):
+    text = plan(QUERIES[name](spark, SF_DIR))
+    for word in ("Python", "Pandas", "CartesianProduct", "BroadcastNestedLoopJoin"):
+        assert word not in text
+
+
+def test_only_the_needed_columns_are_read(spark):
+    text = plan(QUERIES["kpi_stats"](spark, SF_DIR))
+    schema = re.search(r"ReadSchema: struct<(.*?)>", text).group(1)
+    assert {c.split(":")[0] for c in schema.split(",")} == {
+        "l_quantity", "l_extendedprice", "l_discount", "l_returnflag",
+    }
+    assert "Join" not in text
+
+
+def test_latest_reports_is_a_top_k(spark):
+    assert "TakeOrderedAndProject" in plan(QUERIES["latest_reports"](spark, SF_DIR))
+
+
+def test_small_tables_are_broadcast(spark):
+    for name in ("recommend", "zone_layer", "waste_by_area"):
+        assert "BroadcastHashJoin" in plan(QUERIES[name](spark, SF_DIR))
+
+
+def test_large_tables_are_aggregated_before_the_join(spark, monkeypatch):
+    small = {tuple(r) for r in QUERIES["waste_by_area"](spark, SF_DIR).collect()}
+    monkeypatch.setattr(scale, "BROADCAST_ROWS", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = QUERIES["waste_by_area"](spark, SF_DIR)
+        text = plan(df)
+        join = text.index("SortMergeJoin")
+        # Below the join the collections are grouped by the join key already.
+        assert "HashAggregate(keys=[l_orderkey" in text[join:]
+        assert {tuple(r) for r in df.collect()} == small
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_the_row_number_is_read_only_for_large_joins(spark, monkeypatch):
+    columns = ["area", "waste_type", "weight_kg"]
+    small = b.collections(spark, SF_DIR, columns)
+    assert "row_index" not in plan(small)
+    monkeypatch.setattr(scale, "BROADCAST_ROWS", 0)
+    large = b.collections(spark, SF_DIR, columns)
+    assert small.exceptAll(large).count() == 0 and large.exceptAll(small).count() == 0
+
+
+@pytest.mark.parametrize("name", ["area_type_pivot", "group_total", "forecast_fallback", "confusion_matrix", "encode_category"])
+def test_queries_do_not_depend_on_the_size_check(spark, monkeypatch, name):
+    key = lambda rows: sorted(map(str, rows))
+    small = key(QUERIES[name](spark, SF_DIR).collect())
+    monkeypatch.setattr(scale, "BROADCAST_ROWS", 0)
+    assert key(QUERIES[name](spark, SF_DIR).collect()) == small

@@ -1,0 +1,67 @@
+"""Every query at the smallest scale, against its SQL twin where it has one."""
+
+from __future__ import annotations
+
+import math
+import os
+
+import duckdb
+import pytest
+
+import __spark_entry__ as entry_module
+
+SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+TABLES = (
+    "region nation customer supplier part orders lineitem events documents embeddings pages "
+    "benchmark labels conversations"
+).split()
+#: Several fits of three models; run with the benchmark instead.
+SLOW = {"model_comparison"}
+
+QUERIES = entry_module.queries()
+ORACLE = entry_module.oracle_sql()
+NO_SQL = {"rf_classify", "score_batch", "feature_importance", "model_comparison", "rf_forecast"}
+
+pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
+
+
+@pytest.fixture(scope="module")
+def duck():
+    con = duckdb.connect()
+    for name in TABLES:
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SF_DIR}/{name}.parquet'")
+    yield con
+    con.close()
+
+
+def normal(value):
+    if isinstance(value, float) and math.isnan(value):
+        return None
+    return repr(value)
+
+
+def rows(columns, data):
+    order = [columns.index(c) for c in sorted(columns)]
+    return sorted(tuple(str(normal(r[i])) for i in order) for r in data)
+
+
+def test_all_but_the_models_have_sql():
+    assert set(QUERIES) - set(ORACLE) == NO_SQL
+
+
+def test_entry(spark):
+    assert entry_module.entry(spark).count() == 5
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) & set(ORACLE)))
+def test_same_as_sql(spark, duck, name):
+    df = QUERIES[name](spark, SF_DIR)
+    found = duck.execute(ORACLE[name])
+    columns = [d[0] for d in found.description]
+    assert sorted(df.columns) == sorted(columns)
+    assert rows(df.columns, df.collect()) == rows(columns, found.fetchall())
+
+
+@pytest.mark.parametrize("name", sorted(NO_SQL - SLOW))
+def test_model_queries_run(spark, name):
+    assert QUERIES[name](spark, SF_DIR).count() > 0
