@@ -123,7 +123,7 @@ def counts_by(df: DataFrame, column: str, name: str = "count") -> DataFrame:
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
     """Count and share in percent of each value; nulls are left out."""
-    counts = counts_by(df.filter(F.col(column).isNotNull()), column, "n")
+    counts = materialize(counts_by(df.filter(F.col(column).isNotNull()), column, "n"))
     total = counts.agg(F.sum("n")).scalar()
     share = half_up(F.col("n") / total * 100, 1)
     return counts.withColumn("share_pct", share).orderBy(F.desc("n"), column)
@@ -176,13 +176,15 @@ def group_total(
     keys: list[str],
     measure: str,
     name: str = "group_total",
-    spread_by: list[str] | None = None,
+    totals: DataFrame | None = None,
     max_rows: int | None = None,
 ) -> DataFrame:
     """Give every row the total of its group.
 
     A window would gather each group in one task.  Here the totals are
-    aggregated first and joined back.
+    aggregated first and joined back.  ``totals`` hands them in where there is a
+    shorter way to them than through all rows of ``df``.
     """
-    totals = materialize(df.groupBy(*keys).agg(rounded(exact_sum(measure)).alias(name)))
-    return attach(df, totals, keys, "left", spread_by=spread_by, max_rows=max_rows)
+    if totals is None:
+        totals = totals_by(df, keys, {name: measure})
+    return attach(df, materialize(totals), keys, "left", max_rows=max_rows)

@@ -182,14 +182,18 @@ def train_classifier(
     The codes used in training are stored with it, so scoring cannot use others.
     A column ``n_rows``, if there is one, weighs the rows.
     """
-    if WEIGHT in df.columns:
-        classifier = classifier.copy().setWeightCol(WEIGHT)
     labels = StringIndexer(
         inputCol=label, outputCol="label_code", stringOrderType="alphabetAsc", handleInvalid="skip"
     ).fit(df)
     material = StringIndexer(
         inputCol=category, outputCol="material_code", stringOrderType="alphabetAsc", handleInvalid="keep"
-    )
+    ).fit(df)
+    classifier = classifier.copy()
+    if WEIGHT in df.columns:
+        classifier.setWeightCol(WEIGHT)
+    if classifier.hasParam("maxBins"):
+        # A tree needs a bin for each category, the one for unknown values included.
+        classifier.setMaxBins(max(classifier.getMaxBins(), len(material.labels) + 1))
     assemble = VectorAssembler(inputCols=[*numeric, "material_code"], outputCol="features")
     name = IndexToString(inputCol="prediction", outputCol="predicted_type", labels=labels.labels)
     return Pipeline(stages=[labels, material, assemble, classifier, name]).fit(df)

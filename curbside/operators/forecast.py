@@ -10,7 +10,7 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame, functions as F
 
 from curbside.functions import calendar, lookups
-from curbside.functions.numeric import exact_mean, exact_sum, half_even, half_up, rounded
+from curbside.functions.numeric import exact_sum, half_even, half_up, rounded
 from curbside.operators.scale import attach
 from curbside.session import materialize
 
@@ -59,37 +59,43 @@ def fallback_forecast(
 ) -> DataFrame:
     """Base volume of the area x factor of the weekday.
 
-    A weekday without a factor counts as 1.  ``multipliers`` has at most seven
-    rows.  ``noise`` of 0.05 varies the result by up to 5 % either way.
+    A weekday without a factor counts as 1.  ``noise`` of 0.05 varies the result by up to 5 % either way.
     """
     factors = multipliers.select(F.col("day_name").alias("day_of_week"), "multiplier")
     volume = F.col("base_volume") * F.coalesce("multiplier", F.lit(1.0))
     if noise:
         volume = volume * (1 + (F.rand(seed) * 2 - 1) * noise)
+    with_base = attach(grid, base, ["area"], "left", max_rows=max_rows)
     return (
-        attach(grid, base, ["area"], "left", max_rows=max_rows)
-        .join(F.broadcast(factors), "day_of_week", "left")
+        attach(with_base, factors, ["day_of_week"], "left", max_rows=max_rows)
         .withColumn("predicted_volume", half_even(volume, 1))
         .drop("base_volume", "multiplier")
     )
 
 
-def volume_cells(df: DataFrame) -> DataFrame:
-    """Mean volume and record count of each (area, weekday, month).
+def volume_cells(totals: DataFrame) -> DataFrame:
+    """Mean volume and record count of each (area, weekday, month), from their totals.
 
     All features are categories, so these few rows hold what a tree on the
     records would split on: the spread within a cell is the same for any split.
     """
-    means = df.groupBy(*FEATURES).agg(
-        exact_mean("volume_liters").alias("volume_liters"),
-        F.count("volume_liters").cast("double").alias("n_rows"),
+    records = F.col("collections").cast("double")
+    return materialize(
+        totals.select(
+            *FEATURES, (F.col("total_volume") / records).alias("volume_liters"), records.alias("n_rows")
+        )
     )
-    return materialize(means.filter("n_rows > 0"))
 
 
-def volume_regressor(
-    trees: int = 100, max_depth: int = 10, max_bins: int = 32, seed: int = 42, by_cell: bool = False
-) -> Pipeline:
+def train_volume(
+    df: DataFrame,
+    trees: int = 100,
+    max_depth: int = 10,
+    max_bins: int = 32,
+    seed: int = 42,
+    by_cell: bool = False,
+    bootstrap: bool = True,
+) -> PipelineModel:
     """Area, weekday and month, coded alphabetically, to volume per record.
 
     ``by_cell`` is for training on ``volume_cells``.  Drawing whole cells at
@@ -101,7 +107,9 @@ def volume_regressor(
         outputCols=["area_code", "day_code"],
         stringOrderType="alphabetAsc",
         handleInvalid="keep",
-    )
+    ).fit(df)
+    # A tree needs a bin for each category, the one for unknown values included.
+    bins = max(max_bins, *[len(labels) + 1 for labels in indexers.labelsArray])
     features = VectorAssembler(inputCols=["area_code", "day_code", "month"], outputCol="features")
     forest = RandomForestRegressor(
         featuresCol="features",
@@ -109,14 +117,14 @@ def volume_regressor(
         predictionCol="prediction",
         numTrees=trees,
         maxDepth=max_depth,
-        maxBins=max_bins,
+        maxBins=bins,
         featureSubsetStrategy="all",
         seed=seed,
-        bootstrap=not by_cell,
+        bootstrap=bootstrap and not by_cell,
     )
     if by_cell:
         forest = forest.setWeightCol("n_rows")
-    return Pipeline(stages=[indexers, features, forest])
+    return Pipeline(stages=[indexers, features, forest]).fit(df)
 
 
 def model_forecast(

@@ -1,8 +1,9 @@
 """Joins, numbering and running totals which hold up when one key is hot.
 
 * A side is broadcast only after its rows were counted.
-* Beyond that size, keys found hot on a sample are salted.  The sample decides
-  only how rows are spread, never which rows are in the result.
+* Beyond that size, the rows of keys found hot on a sample are joined where they
+  are, and only the others are shuffled.  The sample decides how a row gets to
+  its match, never which rows are in the result.
 * Numbering and running totals over a whole table use the partitions of a
   distributed sort, so no task sees more than its share.
 """
@@ -22,8 +23,6 @@ ONE_TASK_ROWS = 100_000
 #: Keys a sketch of frequent items keeps count of.
 _TRACKED_KEYS = 10_000
 
-_SALT = "__salt"
-_KEY_HASH = "__key_hash"
 _POSITION = "__position"
 _PART = "__part"
 _POSITION_BITS = 33
@@ -38,16 +37,22 @@ def fits_broadcast(df: DataFrame, max_rows: int | None = None) -> bool:
     return df.count() <= (BROADCAST_ROWS if max_rows is None else max_rows)
 
 
-def hot_keys(df: DataFrame, keys: list[str], fraction: float = 0.01) -> list[int]:
-    """Hashes of the keys that fill more than one fair share of the partitions.
+def _one_key(keys: list[str]) -> Column:
+    return F.col(keys[0]) if len(keys) == 1 else F.xxhash64(*keys)
+
+
+def hot_keys(df: DataFrame, keys: list[str], fraction: float = 0.01) -> list:
+    """Keys that fill more than one fair share of the partitions.
 
     A frequent-items sketch over a sample finds them in one pass; what is merged
-    and returned is bounded by the sketch, whatever the number of keys.
+    and returned is bounded by the sketch, whatever the number of keys.  Several
+    key columns are taken as one by their hash.
     """
     shares = _partitions(df)
-    sketch = F.expr(f"approx_top_k({_KEY_HASH}, {shares}, {max(_TRACKED_KEYS, 10 * shares)})")
+    sketch = F.expr(f"approx_top_k(__key, {shares}, {max(_TRACKED_KEYS, 10 * shares)})")
     found = (
-        df.select(F.xxhash64(*keys).alias(_KEY_HASH))
+        df.select(_one_key(keys).alias("__key"))
+        .filter("__key IS NOT NULL")
         .sample(fraction, seed=11)
         .agg(sketch.alias("top"), F.count("*").alias("rows"))
         .first()
@@ -60,32 +65,27 @@ def attach(
     dim: DataFrame,
     keys: list[str],
     how: str = "inner",
-    spread_by: list[str] | None = None,
     max_rows: int | None = None,
     small: bool | None = None,
+    fraction: float = 0.01,
 ) -> DataFrame:
     """Join a large table with one that has each key once.
 
-    ``spread_by`` names columns whose values differ within a hot key; a row
-    number of the source file is best, as it also tells copies apart.
-    ``small`` hands in a size check already made.
+    A small ``dim`` is broadcast.  Of a large one only the rows of hot keys are,
+    no more than there are partitions: the crowded rows, and those without a
+    key, stay where they are and only the rest is shuffled.  ``small`` hands in
+    a size check already made.
     """
     if how not in ("inner", "left"):
         raise ValueError("how must be inner or left")
     if fits_broadcast(dim, max_rows) if small is None else small:
         return fact.join(F.broadcast(dim), keys, how)
-    hot = hot_keys(fact, keys)
+    hot = hot_keys(fact, keys, fraction)
     if not hot:
         return fact.join(dim, keys, how)
-    salts = _partitions(fact)
-    is_hot = F.xxhash64(*keys).isin(hot)
-    spread = F.pmod(F.xxhash64(*(spread_by or fact.columns)), F.lit(salts)).cast("int")
-    every_salt = F.sequence(F.lit(0), F.lit(salts - 1))
-    salted_fact = fact.withColumn(_SALT, F.when(is_hot, spread).otherwise(F.lit(0)))
-    salted_dim = dim.withColumn(
-        _SALT, F.explode(F.when(is_hot, every_salt).otherwise(F.array(F.lit(0))))
-    )
-    return salted_fact.join(salted_dim, [*keys, _SALT], how).drop(_SALT)
+    is_hot = F.coalesce(_one_key(keys).isin(hot), F.lit(True))
+    crowded = fact.filter(is_hot).join(F.broadcast(dim.filter(_one_key(keys).isin(hot))), keys, how)
+    return crowded.unionByName(fact.filter(~is_hot).join(dim, keys, how))
 
 
 def _by_part(ordered: DataFrame, weight: Column) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from curbside.functions import lookups
-from curbside.operators.scale import number_aggregate
+from curbside.operators.scale import attach, number_aggregate
 
 
 def priority_band(
@@ -57,13 +57,10 @@ def zone_layer(
     high: Column | float = lookups.HIGH_ABOVE_LITERS,
     medium: Column | float = lookups.MEDIUM_ABOVE_LITERS,
 ) -> DataFrame:
-    """Areas with coordinates, marker size, priority and next pickup time.
-
-    ``zones`` is the small table of the map's own areas.
-    """
+    """Areas with coordinates, marker size, priority and next pickup time."""
     radius = F.lit(300) + F.col(volume) * 10
     layer = (
-        volumes.join(F.broadcast(zones), "area")
+        attach(volumes, zones, ["area"])
         .withColumn("priority", priority_band(F.col(volume), high, medium))
         .withColumn("radius", radius)
         .withColumn("halo_radius", radius * 1.5)

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from curbside.functions import lookups
-from curbside.operators.scale import attach, fits_broadcast
+from curbside.operators.scale import attach
 
 AREA_OF_PRIORITY = {
     "1-URGENT": "Clock Tower",
@@ -76,14 +76,9 @@ def part_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def collection_facts(spark: SparkSession, sf_dir: str, row_no: bool = False) -> DataFrame:
-    """The collections without area, type and material, which other tables hold.
-
-    ``row_no`` adds the row's place in its file, which tells copies of a row
-    apart.  It is left out unless needed, since the reader fills it row by row.
-    """
+def collection_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The collections without area, type and material, which other tables hold."""
     day = F.col("l_shipdate").cast("date")
-    place = [F.col("_metadata.row_index").alias("row_no")] if row_no else []
     return table(spark, sf_dir, "lineitem").select(
         "l_orderkey",
         "l_partkey",
@@ -94,7 +89,6 @@ def collection_facts(spark: SparkSession, sf_dir: str, row_no: bool = False) ->
         day.alias("collection_date"),
         F.date_format(day, "EEEE").alias("day_of_week"),
         F.month(day).alias("month"),
-        *place,
     )
 
 
@@ -104,25 +98,15 @@ FROM_PART = ["waste_type", "material_type"]
 
 
 def collections(spark: SparkSession, sf_dir: str, columns: list[str]) -> DataFrame:
-    """Collections with the columns asked for; only the tables behind them are joined.
-
-    Where a table is too large to broadcast, a hot key is spread over tasks by
-    the row's place in its file.
-    """
-    joins = []
+    """Collections with the columns asked for; only the tables behind them are joined."""
+    df = collection_facts(spark, sf_dir)
     for names, dim, link in (
         (FROM_ORDERS, area_dim, "l_orderkey"),
         (FROM_PART, part_dim, "l_partkey"),
     ):
         wanted = [c for c in names if c in columns]
         if wanted:
-            side = dim(spark, sf_dir).select(link, *wanted)
-            joins.append((side, link, fits_broadcast(side)))
-    row_no = not all(small for _, _, small in joins)
-    df = collection_facts(spark, sf_dir, row_no)
-    spread = ["l_orderkey", "l_partkey", "row_no"]
-    for side, link, small in joins:
-        df = attach(df, side, [link], spread_by=spread, small=small)
+            df = attach(df, dim(spark, sf_dir).select(link, *wanted), [link])
     return df.select(*columns)
 
 

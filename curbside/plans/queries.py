@@ -138,7 +138,7 @@ def area_type_pivot(spark, sf_dir):
 @query
 def heatmap_estimate(spark, sf_dir):
     types = agg.declared_totals(_type_totals(spark, sf_dir), "waste_type", "total_kg", b.ALL_TYPES)
-    return agg.matrix_estimate(_area_totals(spark, sf_dir), types)
+    return agg.matrix_estimate(materialize(_area_totals(spark, sf_dir)), types)
 
 
 @query
@@ -146,7 +146,12 @@ def group_total(spark, sf_dir):
     rows = b.collections(
         spark, sf_dir, ["l_orderkey", "l_partkey", "area", "day_of_week", "volume_liters"]
     )
-    return agg.group_total(rows, ["area", "day_of_week"], "volume_liters")
+    keys = ["area", "day_of_week"]
+    facts = _facts(spark, sf_dir, "l_orderkey", "day_of_week", "volume_liters")
+    totals = agg.totals_through(
+        facts, b.area_dim(spark, sf_dir), "l_orderkey", keys, {"group_total": "volume_liters"}
+    )
+    return agg.group_total(rows, keys, "volume_liters", totals=totals)
 
 
 @query
@@ -168,7 +173,7 @@ def _mean_total(totals: DataFrame, column: str = "total_volume") -> Column:
 
 @query
 def collection_schedule(spark, sf_dir):
-    totals = _area_totals(spark, sf_dir)
+    totals = materialize(_area_totals(spark, sf_dir))
     mean = _mean_total(totals)
     return sched.collection_schedule(totals, high=mean, medium=mean * 0.99)
 
@@ -570,10 +575,12 @@ def model_comparison(spark, sf_dir):
 def rf_forecast(spark, sf_dir):
     daily = _daily_volumes(spark, sf_dir)
     grid = _grid(daily)
-    rows = b.collections(spark, sf_dir, [*fc.FEATURES, "volume_liters"])
-    model = fc.volume_regressor(TREES, max_depth=10, max_bins=BINS, by_cell=True).fit(
-        fc.volume_cells(rows)
+    facts = _facts(spark, sf_dir, "l_orderkey", "day_of_week", "month", "volume_liters")
+    totals = agg.totals_through(
+        facts.filter("volume_liters IS NOT NULL"), b.area_dim(spark, sf_dir), "l_orderkey", fc.FEATURES,
+        {"total_volume": "volume_liters"}, count_as="collections",
     )
+    model = fc.train_volume(fc.volume_cells(totals), TREES, max_depth=10, max_bins=BINS, by_cell=True)
     fallback = fc.fallback_forecast(grid, fc.base_volumes(daily), fc.day_multipliers(daily))
     forecast = fc.with_fallback(fc.model_forecast(grid, model), fallback)
     return forecast.select("area", iso("prediction_date"), "predicted_volume")

@@ -42,11 +42,11 @@ def only_absent(new: DataFrame, present: DataFrame, keys: list[str], day: str |
 
     With ``day``, the partition column, only the days found in ``new`` are read.
     """
+    new = materialize(new.dropDuplicates(keys))
     if day is not None:
-        span = new.agg(F.struct(F.min(day).alias("lo"), F.max(day).alias("hi")).alias("s"))
-        low, high = span.select("s.lo", "s.hi").first()
+        low, high = new.agg(F.min(day), F.max(day)).first()
         present = present.filter(F.col(day).between(F.lit(low), F.lit(high)))
-    return new.dropDuplicates(keys).join(present.select(*keys), keys, "left_anti")
+    return new.join(present.select(*keys), keys, "left_anti")
 
 
 def insert_if_absent(
@@ -60,6 +60,6 @@ def insert_if_absent(
     if present is None:
         rows = new.dropDuplicates(keys)
     else:
-        # Settled before the write, which adds files to the table being read.
-        rows = materialize(only_absent(new, present, keys, partition_by))
+        # The files of the table are listed here, so those added are not read.
+        rows = only_absent(new, present, keys, partition_by)
     append(rows, path, [partition_by] if partition_by else None)

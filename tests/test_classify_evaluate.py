@@ -231,3 +231,14 @@ def test_first_errors(spark):
     got = ev.prediction_errors(df, "id", "y", "p").collect()
     assert [r["id"] for r in got] == list(range(10))
     assert got[0]["abs_error"] == 3.0
+
+
+def test_more_categories_than_bins(spark):
+    i = F.col("id")
+    df = spark.range(400).select(
+        F.when(i % 2 == 0, "Glass").otherwise("Metal").alias("waste_type"),
+        (i / 10).alias("weight_kg"), (i % 9 / 1).alias("moisture_pct"), (i % 2).cast("int").alias("recyclable"),
+        F.concat(F.lit("m"), i % 80).alias("material_type"),
+    )
+    model = cl.train_classifier(df, cl.tree(3))
+    assert cl.score(df, model).filter("predicted_type = waste_type").count() == 400

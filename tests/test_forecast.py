@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from curbside.functions import lookups
 from curbside.operators import forecast as fc
+from curbside.operators.aggregates import totals_by
 
 AS_OF = "2024-02-27"  # a Tuesday
 
@@ -82,19 +83,18 @@ def test_capacity_bands(spark):
 
 def test_cells_split_like_records_would(spark, sample, grid):
     """One tree on weighted cells predicts what one tree on all records does."""
-    cells = fc.volume_cells(sample)
+    totals = totals_by(sample, fc.FEATURES, {"total_volume": "volume_liters"}, count_as="collections")
+    cells = fc.volume_cells(totals)
     assert cells.agg(F.sum("n_rows")).first()[0] == sample.count()
-    by_cell = fc.volume_regressor(1, 5, by_cell=True).fit(cells)
-    whole_table = fc.volume_regressor(1, 5)
-    whole_table.getStages()[-1].setBootstrap(False)
-    by_row = whole_table.fit(sample)
+    by_cell = fc.train_volume(cells, 1, 5, by_cell=True)
+    by_row = fc.train_volume(sample, 1, 5, bootstrap=False)
     a = fc.model_forecast(grid, by_cell).withColumnRenamed("predicted_volume", "v")
     both = a.join(fc.model_forecast(grid, by_row), ["area", "prediction_date"])
     assert both.filter("abs(v - predicted_volume) > 0.11").count() == 0
 
 
 def test_forest_forecast_with_fallback(spark, sample, grid, fallback):
-    model = fc.volume_regressor(5, 6).fit(sample)
+    model = fc.train_volume(sample, 5, 6)
     forecast = fc.model_forecast(grid, model)
     low, high = sample.agg(F.min("volume_liters"), F.max("volume_liters")).first()
     got = forecast.collect()
@@ -107,7 +107,7 @@ def test_forest_forecast_with_fallback(spark, sample, grid, fallback):
 
 
 def test_an_unknown_area_is_still_forecast(spark, sample):
-    model = fc.volume_regressor(3, 4).fit(sample)
+    model = fc.train_volume(sample, 3, 4)
     grid = fc.forecast_grid(spark.createDataFrame([("elsewhere",)], "area string"), AS_OF)
     assert fc.model_forecast(grid, model).filter("predicted_volume > 0").count() == 7
 
