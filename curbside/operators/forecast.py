@@ -42,7 +42,7 @@ def base_volumes(daily: DataFrame) -> DataFrame:
 
 def day_multipliers(daily: DataFrame) -> DataFrame:
     """How a weekday's mean volume compares with the mean of all days."""
-    days = daily.groupBy("collection_date").agg(rounded(exact_sum("total_volume")).alias("v"))
+    days = daily.groupBy("collection_date").agg(rounded(exact_sum("total_volume"), 6).alias("v"))
     mean = exact_sum("v").cast("double") / F.count("*")
     overall = days.agg(mean.alias("m")).scalar()
     by_weekday = days.groupBy(calendar.weekday_name(F.col("collection_date")).alias("day_name"))
@@ -73,18 +73,19 @@ def fallback_forecast(
     )
 
 
-def volume_cells(totals: DataFrame) -> DataFrame:
-    """Mean volume and record count of each (area, weekday, month), from their totals.
+def volume_cells(daily: DataFrame) -> DataFrame:
+    """Mean volume and record count of each (area, weekday, month), from daily totals.
 
     All features are categories, so these few rows hold what a tree on the
     records would split on: the spread within a cell is the same for any split.
     """
-    records = F.col("collections").cast("double")
-    return materialize(
-        totals.select(
-            *FEATURES, (F.col("total_volume") / records).alias("volume_liters"), records.alias("n_rows")
-        )
+    day = F.col("collection_date")
+    cells = daily.groupBy(
+        "area", calendar.weekday_name(day).alias("day_of_week"), F.month(day).alias("month")
     )
+    records = F.sum("collections").cast("double")
+    mean = exact_sum("total_volume").cast("double") / records
+    return materialize(cells.agg(mean.alias("volume_liters"), records.alias("n_rows")))
 
 
 def train_volume(

@@ -1,10 +1,16 @@
-"""The dashboard's data as one nested JSON document."""
+"""Nested JSON documents for the dashboard: totals, forecasts, latest reports.
+
+Only aggregates, forecasts and top-k rows get here.  A document is one row, so
+its sections are checked to be small.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from curbside.functions.calendar import iso_date
 from curbside.operators.aggregates import counts_by, kpi_stats
+from curbside.operators.forecast import nested_forecast
 from curbside.operators.scale import number_aggregate
 from curbside.operators.schedule import collection_schedule
 
@@ -12,6 +18,10 @@ from curbside.operators.schedule import collection_schedule
 SECTION_ROWS = 10_000
 
 
+def _json(document: Column) -> Column:
+    return F.to_json(document, {"ignoreNullFields": "false"}).alias("snapshot")
+
+
 def _amount(name: str) -> Column:
     """Two fixed decimals, so that the text does not switch to exponents."""
     return F.col(name).cast("decimal(28,2)").alias(name)
@@ -64,7 +74,37 @@ def dashboard_snapshot(
             [F.col("area"), F.col("time"), F.col("priority"), _amount("estimated_volume")],
         ).alias("collection_schedule"),
     )
-    return kpi_stats(facts).select(F.to_json(document).alias("snapshot"))
+    return kpi_stats(facts).select(_json(document))
+
+
+def forecast_snapshot(forecast: DataFrame) -> DataFrame:
+    """Dates, areas, and per area the volumes in the order of the dates."""
+    days = number_aggregate(forecast.select("prediction_date").distinct(), ["prediction_date"], "at")
+    areas = number_aggregate(nested_forecast(forecast), ["area"], "at")
+    volume = lambda day: day["predicted_volume"].cast("decimal(28,1)")
+    per_area = _section(areas, "at", [F.col("area"), F.transform("days", volume).alias("volumes")])
+    dates = _section(days, "at", [iso_date(F.col("prediction_date")).alias("date")])
+    sections = forecast.sparkSession.range(1).select(
+        dates.alias("dates"), per_area.alias("per_area")
+    )
+    document = F.struct(
+        F.transform("dates", lambda d: d["date"]).alias("dates"),
+        F.map_from_entries("per_area").alias("predictions"),
+        F.transform("per_area", lambda a: a["area"]).alias("areas"),
+    )
+    return sections.select(_json(document))
+
+
+def reports_snapshot(latest: DataFrame) -> DataFrame:
+    """The latest reports, newest first, and how many they are."""
+    rows = number_aggregate(latest, [F.desc("created_at"), F.desc("id")], "at")
+    fields = [F.col(c) for c in latest.columns if c != "created_at"]
+    time = F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at")
+    document = F.struct(
+        _section(rows, "at", [*fields, time]).alias("reports"),
+        rows.agg(F.count("*")).scalar().alias("count"),
+    )
+    return latest.sparkSession.range(1).select(_json(document))
 
 
 def write_snapshot(snapshot: DataFrame, path: str) -> None:

@@ -168,11 +168,11 @@ MEAN_LIMITS = f"""limits AS (
   SELECT {_mean("total_volume")} AS high, {_mean("total_volume")} * 0.99 AS medium FROM area_totals)"""
 
 DAILY = f"""daily AS (
-  SELECT area, collection_date, {_total("volume_liters")} AS total_volume
+  SELECT area, collection_date, {_total("volume_liters", 6)} AS total_volume
   FROM collections GROUP BY area, collection_date)"""
 BASE = f"base AS (SELECT area, {_mean('total_volume')} AS base_volume FROM daily GROUP BY area)"
 FACTORS = f"""per_day AS (
-  SELECT collection_date, {_total("total_volume")} AS v FROM daily GROUP BY collection_date),
+  SELECT collection_date, {_total("total_volume", 6)} AS v FROM daily GROUP BY collection_date),
 factors AS (
   SELECT dayname(collection_date) AS day_of_week,
          {_mean("v")} / (SELECT {_mean("v")} FROM per_day) AS multiplier
@@ -347,6 +347,14 @@ SELECT * EXCLUDE (created_at), {_REPORT_TIME} AS created_at FROM cleaned""",
     "latest_reports": f"""WITH {REPORTS}
 SELECT id, reporter_name, location, waste_type, description, status, {_REPORT_TIME} AS created_at
 FROM reports ORDER BY reports.created_at DESC, id DESC LIMIT 50""",
+    "reports_snapshot": f"""WITH {REPORTS}, latest AS (
+  SELECT id, reporter_name, location, waste_type, description, status,
+         strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at, created_at AS sent
+  FROM reports ORDER BY sent DESC, id DESC LIMIT 50)
+SELECT '{{"reports":[' || string_agg(to_json(struct_pack(
+         id := id, reporter_name := reporter_name, location := location, waste_type := waste_type,
+         description := description, status := status, created_at := created_at))::VARCHAR,
+         ',' ORDER BY sent DESC, id DESC) || '],"count":' || COUNT(*) || '}}' AS snapshot FROM latest""",
     "report_display": f"""WITH {CLEAN_REPORTS}
 SELECT c.id, c.reporter_name, c.location, lower(c.waste_type) AS type_badge,
        COALESCE(NULLIF(c.description, ''), '—') AS description_text,
@@ -469,6 +477,14 @@ SELECT (SELECT {_up("total")} FROM days WHERE day_no = 0) AS day1_total,
            AS capacity_pct FROM forecast)
 SELECT *, CASE WHEN capacity_pct > 70 THEN 'high' WHEN capacity_pct > 45 THEN 'mid' ELSE 'low' END AS band
 FROM used""",
+    "forecast_snapshot": f"""WITH {FORECAST}, per_area AS (
+  SELECT area, '"' || area || '":[' || string_agg(CAST(CAST(predicted_volume AS DECIMAL(28,1)) AS VARCHAR),
+         ',' ORDER BY day_no) || ']' AS volumes FROM forecast GROUP BY area)
+SELECT '{{"dates":[' || (SELECT string_agg('"' || CAST(d AS VARCHAR) || '"', ',' ORDER BY d)
+                        FROM (SELECT DISTINCT prediction_date AS d FROM forecast))
+  || '],"predictions":{{' || string_agg(volumes, ',' ORDER BY area)
+  || '}},"areas":[' || string_agg('"' || area || '"', ',' ORDER BY area) || ']}}' AS snapshot
+FROM per_area""",
     "nested_forecast": f"""WITH {FORECAST}
 SELECT area, CAST(COUNT(*) AS INT) AS days, MAX(predicted_volume) FILTER (WHERE day_no = 0) AS first_volume,
        CAST(MAX(prediction_date) AS VARCHAR) AS last_date FROM forecast GROUP BY area""",

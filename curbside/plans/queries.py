@@ -21,7 +21,7 @@ from curbside.operators import (
     split,
 )
 from curbside.plans import bindings as b
-from curbside.plans.dashboard import dashboard_snapshot as snapshot_of
+from curbside.plans import dashboard
 from curbside.session import fresh_path, materialize
 from curbside.sources import csv as csv_source, models, tables
 from curbside.streaming import forecasts, intake, run, scoring
@@ -79,12 +79,13 @@ def _area_type_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _daily_volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Volume per area and day: the input of every forecast, stored once."""
+    """Volume and records per area and day: the input of every forecast, stored once."""
     facts = _facts(spark, sf_dir, "l_orderkey", "collection_date", "volume_liters")
     return materialize(
         agg.totals_through(
-            facts, b.area_dim(spark, sf_dir), "l_orderkey", ["area", "collection_date"],
-            {"total_volume": "volume_liters"},
+            facts.filter("volume_liters IS NOT NULL"), b.area_dim(spark, sf_dir), "l_orderkey",
+            ["area", "collection_date"], {"total_volume": "volume_liters"},
+            count_as="collections", digits=6,
         )
     )
 
@@ -156,7 +157,7 @@ def group_total(spark, sf_dir):
 
 @query
 def dashboard_snapshot(spark, sf_dir):
-    return snapshot_of(
+    return dashboard.dashboard_snapshot(
         _facts(spark, sf_dir, *b.MEASURES),
         _type_totals(spark, sf_dir),
         _area_totals(spark, sf_dir),
@@ -205,6 +206,11 @@ def latest_reports(spark, sf_dir):
     return latest.withColumn("created_at", stamp("created_at"))
 
 
+@query
+def reports_snapshot(spark, sf_dir):
+    return dashboard.reports_snapshot(rep.latest_reports(b.reports(_events(spark, sf_dir))))
+
+
 @query
 def report_display(spark, sf_dir):
     stored = rep.clean_reports(b.reports(_events(spark, sf_dir)), keep_status=True)
@@ -575,12 +581,7 @@ def model_comparison(spark, sf_dir):
 def rf_forecast(spark, sf_dir):
     daily = _daily_volumes(spark, sf_dir)
     grid = _grid(daily)
-    facts = _facts(spark, sf_dir, "l_orderkey", "day_of_week", "month", "volume_liters")
-    totals = agg.totals_through(
-        facts.filter("volume_liters IS NOT NULL"), b.area_dim(spark, sf_dir), "l_orderkey", fc.FEATURES,
-        {"total_volume": "volume_liters"}, count_as="collections",
-    )
-    model = fc.train_volume(fc.volume_cells(totals), TREES, max_depth=10, max_bins=BINS, by_cell=True)
+    model = fc.train_volume(fc.volume_cells(daily), TREES, max_depth=10, max_bins=BINS, by_cell=True)
     fallback = fc.fallback_forecast(grid, fc.base_volumes(daily), fc.day_multipliers(daily))
     forecast = fc.with_fallback(fc.model_forecast(grid, model), fallback)
     return forecast.select("area", iso("prediction_date"), "predicted_volume")
@@ -598,6 +599,11 @@ def nested_forecast(spark, sf_dir):
     )
 
 
+@query
+def forecast_snapshot(spark, sf_dir):
+    return dashboard.forecast_snapshot(_fallback(spark, sf_dir))
+
+
 # -- streams --------------------------------------------------------------------
 
 

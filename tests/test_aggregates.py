@@ -109,4 +109,6 @@ def test_snapshot_is_one_json_document(spark, sample):
     assert sum(kgs) == pytest.approx(doc["stats"]["total_waste_kg"])
     assert doc["reports_summary"] == [{"status": "pending", "count": 2}, {"status": "resolved", "count": 1}]
     assert doc["total_reports"] == 3
+    empty = json.loads(dashboard_snapshot(sample.limit(0), by_type.limit(0), by_area.limit(0), reports).first()[0])
+    assert empty["stats"]["total_waste_kg"] is None and empty["collection_schedule"] == []
     assert [x["time"] for x in doc["collection_schedule"]] == ["6:00 AM", "8:00 AM", "10:00 AM", "12:00 PM", "2:00 PM"]

@@ -83,9 +83,19 @@ def test_capacity_bands(spark):
 
 def test_cells_split_like_records_would(spark, sample, grid):
     """One tree on weighted cells predicts what one tree on all records does."""
-    totals = totals_by(sample, fc.FEATURES, {"total_volume": "volume_liters"}, count_as="collections")
-    cells = fc.volume_cells(totals)
+    first_monday = F.lit("2024-01-01").cast("date")
+    dated = sample.drop("day_of_week", "month").withColumn(
+        "collection_date", F.date_add(first_monday, (F.col("id") * 13 % 200).cast("int"))
+    )
+    daily = totals_by(
+        dated, ["area", "collection_date"], {"total_volume": "volume_liters"}, count_as="collections"
+    )
+    cells = fc.volume_cells(daily)
     assert cells.agg(F.sum("n_rows")).first()[0] == sample.count()
+    sample = dated.select(
+        "area", F.date_format("collection_date", "EEEE").alias("day_of_week"),
+        F.month("collection_date").alias("month"), "volume_liters",
+    )
     by_cell = fc.train_volume(cells, 1, 5, by_cell=True)
     by_row = fc.train_volume(sample, 1, 5, bootstrap=False)
     a = fc.model_forecast(grid, by_cell).withColumnRenamed("predicted_volume", "v")
