@@ -31,6 +31,7 @@ QUERIES: dict[str, Query] = {}
 
 #: Size of the models trained here, the same at every scale.
 TREES, DEPTH, BINS = 20, 8, 32
+FEATURES = ["weight_kg", "moisture_pct", "recyclable", "material_type"]
 
 
 def query(f: Query) -> Query:
@@ -527,14 +528,16 @@ def insert_if_absent(spark, sf_dir):
 # -- models: no SQL form --------------------------------------------------------
 
 
-def _training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All collections, equal rows collapsed into one with a weight, stored once."""
+def _training_rows(spark: SparkSession, sf_dir: str, *parts: str) -> DataFrame:
+    """All collections, equal rows collapsed into one with a weight, stored once.
+
+    ``parts`` asks for the split, the fold, or both; rows collapse less with them.
+    """
     columns = ["l_orderkey", "l_partkey", "waste_type", *b.MEASURES, "material_type"]
     rows = b.collections(spark, sf_dir, columns)
     key = F.concat_ws("-", "l_orderkey", "l_partkey")
     parted = split.assign_folds(split.hash_split(rows.withColumn("key", key), "key"), "key", seed=7)
-    used = ["waste_type", "weight_kg", "moisture_pct", "recyclable", "material_type", "split", "fold"]
-    return classify.collapse(parted, used)
+    return classify.collapse(parted, ["waste_type", *FEATURES, *parts])
 
 
 def _forest_model(rows: DataFrame) -> PipelineModel:
@@ -543,7 +546,7 @@ def _forest_model(rows: DataFrame) -> PipelineModel:
 
 @query
 def rf_classify(spark, sf_dir):
-    rows = _training_rows(spark, sf_dir)
+    rows = _training_rows(spark, sf_dir, "split")
     model = _forest_model(rows.filter("split = 'train'"))
     scored = classify.score(rows.filter("split = 'test'"), model)
     return evaluate.confusion_matrix(
@@ -567,7 +570,7 @@ def feature_importance(spark, sf_dir):
 
 @query
 def model_comparison(spark, sf_dir):
-    rows = _training_rows(spark, sf_dir)
+    rows = _training_rows(spark, sf_dir, "split", "fold")
     n = rows.agg(F.sum(classify.WEIGHT)).first()[0]
     kinds = {
         "Random Forest": lambda df: _forest_model(df),
