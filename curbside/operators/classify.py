@@ -140,12 +140,14 @@ def collapse(df: DataFrame, columns: list[str]) -> DataFrame:
 
     Measurements have few digits, so at scale this is far smaller than the
     records, and a group of copies costs as much as a single row.  Impurities,
-    losses and counts are those of the full table.  The rows are spread over
-    all partitions, since each fit reads them many times.
+    losses and counts are those of the full table.  Each fit reads the rows many
+    times, so they are spread over all cores even where they are few.
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    counts = df.groupBy(*columns).agg(F.count("*").cast("double").alias(WEIGHT))
-    return materialize(counts.repartition(parts, *columns))
+    counts = materialize(df.groupBy(*columns).agg(F.count("*").cast("double").alias(WEIGHT)))
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if counts.rdd.getNumPartitions() >= cores:
+        return counts
+    return materialize(counts.repartition(cores, *columns))
 
 
 def forest(trees: int = 100, max_depth: int = 30, max_bins: int = 32, seed: int = 42):

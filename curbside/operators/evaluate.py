@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, functions as F
@@ -131,32 +133,32 @@ def compare_models(
     label: str = "waste_type",
     k: int = 5,
     weight: str | None = None,
+    parallelism: int = 4,
 ) -> DataFrame:
     """Test accuracy, and mean and population std over the folds, per model.
 
     ``df`` has columns ``split`` and ``fold`` and should be stored already: each
-    model is fitted k + 1 times.  All metrics come from one aggregation over the
-    scored rows.  The best model is first; ties keep the given order.
+    model is fitted k + 1 times, some of them at once.  All metrics come from one
+    aggregation over the scored rows.  The best model is first; ties keep the
+    given order.
     """
     rows_of = F.col(weight) if weight else F.lit(1.0)
-    frames = []
-    for order, (name, fit) in enumerate(train.items()):
-        runs = [("test", fit(df.filter("split = 'train'")), df.filter("split = 'test'"))]
-        runs += [
-            (f"fold{i}", fit(df.filter(F.col("fold") != i)), df.filter(F.col("fold") == i))
-            for i in range(k)
-        ]
-        for run, model, rows in runs:
-            right = (F.col(label) == F.col("predicted_type")).cast("double")
-            frames.append(
-                score(rows, model).select(
-                    F.lit(order).alias("__order"), F.lit(name).alias("model"), F.lit(run).alias("run"),
-                    (right * rows_of).alias("right"), rows_of.alias("rows"),
-                )
-            )
-    scored = frames[0]
-    for frame in frames[1:]:
-        scored = scored.unionByName(frame)
+    parts = {"test": (df.filter("split = 'train'"), df.filter("split = 'test'"))}
+    for i in range(k):
+        parts[f"fold{i}"] = (df.filter(F.col("fold") != i), df.filter(F.col("fold") == i))
+    jobs = [(order, name, run) for order, name in enumerate(train) for run in parts]
+
+    def fit_and_score(job: tuple[int, str, str]) -> DataFrame:
+        order, name, run = job
+        fitted_on, tested_on = parts[run]
+        right = (F.col(label) == F.col("predicted_type")).cast("double")
+        return score(tested_on, train[name](fitted_on)).select(
+            F.lit(order).alias("__order"), F.lit(name).alias("model"), F.lit(run).alias("run"),
+            (right * rows_of).alias("right"), rows_of.alias("rows"),
+        )
+
+    with ThreadPoolExecutor(parallelism) as pool:
+        scored = reduce(DataFrame.unionByName, pool.map(fit_and_score, jobs))
     runs = scored.groupBy("__order", "model", "run").agg(
         (F.sum("right") / F.sum("rows")).alias("accuracy")
     )

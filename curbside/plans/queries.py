@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -35,8 +36,15 @@ FEATURES = ["weight_kg", "moisture_pct", "recyclable", "material_type"]
 
 
 def query(f: Query) -> Query:
-    QUERIES[f.__name__] = f
-    return f
+    """Register a query.  All stored times are UTC, so it runs in that zone."""
+
+    @wraps(f)
+    def in_utc(spark: SparkSession, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        return f(spark, sf_dir)
+
+    QUERIES[f.__name__] = in_utc
+    return in_utc
 
 
 def iso(column: str) -> Column:
