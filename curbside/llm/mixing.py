@@ -40,7 +40,7 @@ MOST_COPIES = 2
 CLOSE = 1e-9
 MOST_STEPS = 60
 #: Documents per block of the running sums, about.
-BLOCK = 4096
+BLOCK = 512
 
 BLANKS = " \t\n\x0b\f\r"
 

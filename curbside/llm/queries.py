@@ -7,12 +7,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from curbside.llm import mixing, quality_rules
-from curbside.llm.store import documents
+from curbside.llm import (
+    decontamination,
+    language,
+    mixing,
+    pii,
+    quality_rules,
+    quality_trees,
+    toxicity,
+    warc,
+)
+from curbside.llm.store import documents, table
 
 WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), x -> x <> '')"
 
 
+def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(documents(spark, sf_dir))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(documents(spark, sf_dir))
 
@@ -21,9 +34,35 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_policy(documents(spark, sf_dir))
 
 
+def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.resolve_pages(table(spark, sf_dir, "pages"))
+
+
+def op7_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_trees.score_quality(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.grade_toxicity(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify_languages(documents(spark, sf_dir))
+
+
+def op10_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_leaks(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_personal_data": op1_personal_data,
     "op3_mix_sources": op3_mix_sources,
     "op4_quality_rules": op4_quality_rules,
+    "op6_warc_revisits": op6_warc_revisits,
+    "op7_quality_trees": op7_quality_trees,
+    "op8_toxicity": op8_toxicity,
+    "op9_language": op9_language,
+    "op10_benchmark_leaks": op10_benchmark_leaks,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -26,6 +26,8 @@ NOT_LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
 #: Bytes of text that one step works on; a longer text is a step of its own.
 STEP_BYTES = 2 << 20
+#: Texts that one step works on, at most.
+STEP_TEXTS = 2000
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -44,14 +46,16 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def steps(
     batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = STEP_BYTES
 ) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches with about ``limit`` bytes of text each, so that
-    the arrays made from a slice stay small."""
+    """Slices of the batches with about ``limit`` bytes of text each, and no more
+    than ``STEP_TEXTS`` texts, so that the arrays made from a slice stay small."""
     for batch in batches:
         if batch.num_rows == 0:
             continue
         _, offsets = text_bytes(batch.column(column))
         number = offsets[:-1] // limit
-        cuts = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), batch.num_rows]
+        full = np.arange(batch.num_rows) // STEP_TEXTS
+        fresh = np.flatnonzero(np.diff(number) | np.diff(full)) + 1
+        cuts = [0, *fresh.tolist(), batch.num_rows]
         for start, end in zip(cuts, cuts[1:], strict=False):
             yield batch.slice(start, end - start)
 
