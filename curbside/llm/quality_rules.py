@@ -11,12 +11,14 @@ Null or blank text: no words, every measurement 0, fails ``few_words``.  A null
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from curbside.llm.text import SPACE, Hasher, mix, per_text, runs_of_words, steps, text_bytes, words
 
@@ -141,14 +143,44 @@ def measurements(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     return read.mapInArrow(task, schema)
 
 
-def failure_bits(rules: Iterable[tuple[str, str]] = RULES) -> Column:
-    """Bits of the rules that the measurements fail."""
+def failure_bits(rules: Iterable[tuple[str, str]] = RULES, inside: str = "") -> Column:
+    """Bits of the rules that the measurements fail; they are columns, or fields
+    of the column ``inside``."""
     bits = F.lit(0).cast("long")
     for place, (_, fails) in enumerate(rules):
+        if inside:
+            fails = re.sub(rf"\b({'|'.join(MEASURES)})\b", rf"`{inside}`.\1", fails)
         bits = bits.bitwiseOR(F.when(F.expr(fails), F.lit(1 << place)).otherwise(0).cast("long"))
     return bits
 
 
+def measured(docs: DataFrame, name: str, text: str = "text") -> DataFrame:
+    """The documents, all columns, with their measurements as a struct beside them."""
+    kind = pa.struct([(m, pa.int64()) for m in MEASURES])
+
+    def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher()
+        for batch in steps(batches, text):
+            found = measure_texts(*text_bytes(batch.column(text)), hasher)
+            fields = [pa.array(found[m].astype(np.int64)) for m in MEASURES]
+            struct = pa.StructArray.from_arrays(fields, fields=list(kind))
+            yield pa.RecordBatch.from_arrays([*batch.columns, struct], [*batch.schema.names, name])
+
+    struct = T.StructType([T.StructField(m, T.LongType()) for m in MEASURES])
+    return docs.mapInArrow(task, T.StructType([*docs.schema, T.StructField(name, struct)]))
+
+
+def keep_passing(docs: DataFrame, policy: str = "v1") -> DataFrame:
+    """The documents, all columns, that the base rules and the policy keep.  They
+    stay where they are: nothing is joined."""
+    name = "measured"
+    while name in docs.columns:
+        name += "_"
+    failed = failure_bits(inside=name)
+    passing = failed.bitwiseAND(F.lit(mask("base") | mask(policy))) == 0
+    return measured(docs, name).where(passing).drop(name)
+
+
 def ledger(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Measurements and failure bits of each document."""
     return measurements(docs, key, text).withColumn("failed", failure_bits())

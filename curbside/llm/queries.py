@@ -15,6 +15,7 @@ from curbside.llm import (
     pii,
     quality_rules,
     quality_trees,
+    suffix_dedup,
     toxicity,
     warc,
 )
@@ -39,6 +40,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_policy(documents(spark, sf_dir))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(documents(spark, sf_dir))
+
+
 def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.resolve_pages(table(spark, sf_dir, "pages"))
 
@@ -64,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_jaccard_join": op2_jaccard_join,
     "op3_mix_sources": op3_mix_sources,
     "op4_quality_rules": op4_quality_rules,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_warc_revisits": op6_warc_revisits,
     "op7_quality_trees": op7_quality_trees,
     "op8_toxicity": op8_toxicity,
