@@ -1,9 +1,11 @@
 """Exact sums and the three rounding rules the results need.
 
-Sums are kept as two 64-bit integers (whole units and millionths).  They are
-as fast as a double sum, do not depend on task order, and stay exact where a
-double would have run out of digits.  They turn into a decimal only once per
-group, after the aggregation.
+Sums are kept as two 64-bit integers (whole units and parts of a unit; a
+millionth unless ``places`` says otherwise).  They are as fast as a double sum,
+do not depend on task order, and stay exact where a double would have run out of
+digits.  They turn into a decimal only once per group, after the aggregation.
+
+NaN counts as missing, like null: sums pass over it, means do not count it.
 """
 
 from __future__ import annotations
@@ -12,7 +14,8 @@ from decimal import Decimal
 
 from pyspark.sql import Column, functions as F
 
-MICRO = 1_000_000
+#: Decimal places of a measure that sums keep.
+PLACES = 6
 
 #: Splits a double into two halves of 26 bits, whose products are exact.
 SPLITTER = float(2**27 + 1)
@@ -22,41 +25,46 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def known(c: Column | str) -> Column:
+    """The value as a double; NaN is null."""
+    return F.nanvl(_col(c).cast("double"), F.lit(None).cast("double"))
+
+
 def whole_part(c: Column | str) -> Column:
-    return F.floor(_col(c).cast("double"))
+    return F.floor(known(c))
 
 
-def micro_part(c: Column | str) -> Column:
-    x = _col(c).cast("double")
-    return F.floor((x - F.floor(x)) * MICRO + 0.5)
+def small_part(c: Column | str, places: int = PLACES) -> Column:
+    """What is beyond the whole units, in units of the last place kept."""
+    x = known(c)
+    return F.floor((x - F.floor(x)) * 10**places + 0.5)
 
 
-def _as_decimal(whole: Column, micro: Column) -> Column:
-    return whole.cast("decimal(20,0)") + micro.cast("decimal(20,0)") * F.lit(
-        Decimal("0.000001")
-    )
+def _as_decimal(whole: Column, small: Column, places: int) -> Column:
+    unit = F.lit(Decimal(1).scaleb(-places))
+    return whole.cast("decimal(20,0)") + small.cast("decimal(20,0)") * unit
 
 
-def exact_sum(c: Column | str) -> Column:
-    """Sum of a double measure as a decimal with six exact places."""
-    return _as_decimal(F.sum(whole_part(c)), F.sum(micro_part(c)))
+def exact_sum(c: Column | str, places: int = PLACES) -> Column:
+    """Sum of a double measure as a decimal with exact places."""
+    return _as_decimal(F.sum(whole_part(c)), F.sum(small_part(c, places)), places)
 
 
-def partial_sums(c: Column | str, name: str) -> list[Column]:
+def partial_sums(c: Column | str, name: str, places: int = PLACES) -> list[Column]:
     """First half of ``exact_sum``, for aggregating before a join."""
     return [
         F.sum(whole_part(c)).alias(f"{name}__whole"),
-        F.sum(micro_part(c)).alias(f"{name}__micro"),
+        F.sum(small_part(c, places)).alias(f"{name}__small"),
     ]
 
 
-def merged_sum(name: str) -> Column:
+def merged_sum(name: str, places: int = PLACES) -> Column:
     """Second half of ``exact_sum`` over the columns of ``partial_sums``."""
-    return _as_decimal(F.sum(f"{name}__whole"), F.sum(f"{name}__micro"))
+    return _as_decimal(F.sum(f"{name}__whole"), F.sum(f"{name}__small"), places)
 
 
-def exact_mean(c: Column | str) -> Column:
-    return exact_sum(c).cast("double") / F.count(_col(c))
+def exact_mean(c: Column | str, places: int = PLACES) -> Column:
+    return exact_sum(c, places).cast("double") / F.count(known(c))
 
 
 def rounded(decimal_total: Column, digits: int = 2) -> Column:

@@ -85,6 +85,23 @@ def kpi_stats(
     )
 
 
+#: Sums beside the area totals from which the key figures follow.
+KPI_MEASURES = {**MEASURES, "moisture_sum": "moisture_pct", "recyclable_count": "recyclable"}
+
+
+def kpi_of_areas(areas: DataFrame) -> DataFrame:
+    """``kpi_stats`` from area totals that carry ``moisture_sum``, ``moisture_count``
+    and ``recyclable_count``."""
+    mean = exact_sum("moisture_sum").cast("double") / F.sum("moisture_count")
+    return areas.agg(
+        rounded(exact_sum("total_kg")).alias("total_waste_kg"),
+        rounded(exact_sum("total_volume")).alias("total_volume"),
+        half_away(mean, 1).alias("avg_moisture"),
+        F.sum("recyclable_count").cast("bigint").alias("recyclable_count"),
+        F.coalesce(F.sum("collections"), F.lit(0)).alias("total_records"),
+    )
+
+
 def recyclable_share(count: Column, total: Column) -> Column:
     """Whole percent, 0 when there are no records."""
     return F.when(total > 0, half_up(count / total * 100)).otherwise(F.lit(0.0))
@@ -129,23 +146,39 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
     return counts.withColumn("share_pct", share).orderBy(F.desc("n"), column)
 
 
-def pivot_totals(cells: DataFrame, row: str, column: str, measure: str, values: list) -> DataFrame:
-    """Spread the totals of ``(row, column)`` cells; an empty cell is 0."""
-    return cells.groupBy(row).pivot(column, values).agg(F.first(measure)).na.fill(0.0, subset=values)
+def declared_or_other(column: Column | str, values: list[str], other: str = "other") -> Column:
+    """The value if it is declared, else ``other``; a missing value is other too."""
+    value = F.col(column) if isinstance(column, str) else column
+    return F.when(value.isin(values), value).otherwise(F.lit(other))
+
+
+def pivot_totals(
+    cells: DataFrame, row: str, column: str, measure: str, values: list, other: str = "other"
+) -> DataFrame:
+    """Spread the totals of ``(row, column)`` cells; an empty cell is 0.
+
+    What is not declared is summed up in a column ``other``, so that rows keep
+    their totals.
+    """
+    shown = cells.withColumn(column, declared_or_other(column, values, other))
+    names = [*values, other]
+    return shown.groupBy(row).pivot(column, names).agg(F.sum(measure)).na.fill(0.0, subset=names)
 
 
 def matrix_estimate(
     by_area: DataFrame,
-    type_totals: Column,
+    by_type: DataFrame,
     area: str = "area",
     total: str = "total_kg",
 ) -> DataFrame:
     """Area x type matrix guessed from the margins alone, with cell intensity.
 
-    ``type_totals`` holds the totals of a declared list of types as an array of
-    ``(waste_type, type_kg)`` structs, so each area yields that many cells.
+    ``by_type`` has a row for each type in the data; they are carried to the areas
+    as one array, so each area yields as many cells as there are types.
     """
-    cells = by_area.select(area, F.col(total).alias("__area_kg"), F.inline(type_totals))
+    pair = F.struct(F.col("waste_type"), F.col(total).alias("type_kg"))
+    types = by_type.agg(F.array_sort(F.collect_list(pair))).scalar()
+    cells = by_area.select(area, F.col(total).alias("__area_kg"), F.inline(types))
     estimate = half_up(F.col("__area_kg") * F.col("type_kg") / 1000 * 0.1, 1)
     cells = cells.select(area, "waste_type", estimate.alias("estimate"))
     peak = cells.agg(F.max("estimate")).scalar()
@@ -154,23 +187,6 @@ def matrix_estimate(
     )
 
 
-def declared_totals(totals: DataFrame, column: str, measure: str, values: list[str]) -> Column:
-    """Totals of the declared values as one array, from a one-row aggregate."""
-    return totals.agg(
-        F.array(
-            *[
-                F.struct(
-                    F.lit(v).alias("waste_type"),
-                    F.coalesce(
-                        F.max(F.when(F.col(column) == v, F.col(measure))), F.lit(0.0)
-                    ).alias("type_kg"),
-                )
-                for v in values
-            ]
-        )
-    ).scalar()
-
-
 def group_total(
     df: DataFrame,
     keys: list[str],

@@ -12,11 +12,11 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from curbside.functions import lookups
 from curbside.functions.numeric import half_even
-from curbside.operators.scale import attach
+from curbside.operators.scale import attach, number_aggregate
 from curbside.session import materialize
 
 #: Column which counts how many equal rows one training row stands for.
@@ -39,15 +39,21 @@ def _whole_number(text: Column) -> Column:
 def clean_requests(df: DataFrame) -> DataFrame:
     """Defaults for missing fields, casts for the rest.
 
-    ``cast_failed`` is 1 where a field was given but is not a number.
+    ``cast_failed`` is 1 where a field was given but is not a number.  A column of
+    numbers is cast as it is (1.0 is 1, and what comes after the point is cut);
+    only text has to look like a number of its kind.
     """
     cleaned, failures = {}, []
     for name, (dtype, default) in REQUEST_FIELDS.items():
-        given = F.col(name).cast("string")
+        given = F.col(name)
         if dtype == "string":
-            cleaned[name] = F.coalesce(given, F.lit(default))
+            cleaned[name] = F.coalesce(given.cast("string"), F.lit(default))
             continue
-        value = _whole_number(given) if dtype == "int" else given.try_cast(dtype)
+        text = isinstance(df.schema[name].dataType, (T.StringType, T.NullType))
+        if text and dtype == "int":
+            value = _whole_number(given.cast("string"))
+        else:
+            value = given.try_cast(dtype)
         failures.append(given.isNotNull() & value.isNull())
         cleaned[name] = F.when(given.isNull(), F.lit(default)).otherwise(value)
     failed = failures[0]
@@ -78,17 +84,14 @@ def encode_category(
     return coded if default is None else coded.withColumn(name, F.coalesce(name, F.lit(default)))
 
 
-def label_codes(df: DataFrame, column: str, limit: int = 10_000) -> DataFrame:
+def label_codes(df: DataFrame, column: str, max_rows: int | None = None) -> DataFrame:
     """Codes 0, 1, 2... of the values found, in alphabetical order.
 
-    A label vocabulary is part of every model, so it has to be small; more than
-    ``limit`` values raise an error, as they do in a pivot.
+    The values are numbered where they are, however many there are.
     """
     found = df.select(column).filter(F.col(column).isNotNull()).distinct()
-    values = [row[0] for row in found.limit(limit + 1).collect()]
-    if len(values) > limit:
-        raise ValueError(f"{column} has more than {limit} values; it is not a category")
-    return lookups.codes(df.sparkSession, values, column)
+    numbered = number_aggregate(found, [column], "code", max_rows)
+    return numbered.select(column, (F.col("code") - 1).alias("code"))
 
 
 def rule_classify(
@@ -140,8 +143,9 @@ def collapse(df: DataFrame, columns: list[str]) -> DataFrame:
 
     Measurements have few digits, so at scale this is far smaller than the
     records, and a group of copies costs as much as a single row.  Impurities,
-    losses and counts are those of the full table.  Each fit reads the rows many
-    times, so they are spread over all cores even where they are few.
+    losses and counts are those of the full table; a forest's random draws are
+    not, so forests are trained on records.  Each fit reads the rows many times,
+    so they are spread over all cores even where they are few.
     """
     counts = materialize(df.groupBy(*columns).agg(F.count("*").cast("double").alias(WEIGHT)))
     cores = df.sparkSession.sparkContext.defaultParallelism
@@ -182,10 +186,13 @@ def train_classifier(
     """One pipeline from raw columns to a predicted label.
 
     The codes used in training are stored with it, so scoring cannot use others.
-    A column ``n_rows``, if there is one, weighs the rows.
+    A column ``n_rows``, if there is one, weighs the rows.  Rows without a label
+    have nothing to learn from and are left out (count them with
+    ``not_null_violations``).
     """
+    df = df.filter(F.col(label).isNotNull())
     labels = StringIndexer(
-        inputCol=label, outputCol="label_code", stringOrderType="alphabetAsc", handleInvalid="skip"
+        inputCol=label, outputCol="label_code", stringOrderType="alphabetAsc", handleInvalid="error"
     ).fit(df)
     material = StringIndexer(
         inputCol=category, outputCol="material_code", stringOrderType="alphabetAsc", handleInvalid="keep"

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from curbside.functions.numeric import exact_mean, half_away
+from curbside.functions.numeric import exact_mean, half_away, known
 from curbside.operators.scale import running_total
 
 
@@ -27,46 +29,86 @@ def column_profile(df: DataFrame) -> DataFrame:
     return counts.select(F.inline(rows))
 
 
-def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> DataFrame:
-    """Quantiles with linear interpolation, exact, without gathering a column.
+def exact_quantiles(
+    df: DataFrame, columns: list[str], probs: list[float], accuracy: int = 10_000
+) -> DataFrame:
+    """Quantiles with linear interpolation, exact, without sorting a column.
 
-    Equal values are counted before the shuffle.  The counts are sorted across
-    partitions with a running total, which shows where each rank falls.
+    A sketch brackets each rank between two values; its error is known, so the
+    bracket surely holds the rank.  Then the values below each bracket are
+    counted, and only those inside, a few in ``accuracy``, are put in order.
     """
-    long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
-        [], columns, "column", "value"
-    )
-    counts = long.filter("value IS NOT NULL").groupBy("column", "value").agg(F.count("*").alias("n"))
-    placed = running_total(counts, ["column", "value"], "n", "before")
-    # One row per declared column: its ranks start after those of all columns before it.
-    earlier = W.orderBy("column").rowsBetween(W.unboundedPreceding, -1)
-    spans = (
-        placed.groupBy("column")
-        .agg(F.sum("n").alias("total"))
-        .withColumn("first", F.coalesce(F.sum("total").over(earlier), F.lit(0)))
-    )
-    rank = (F.col("total") - 1) * F.col("p")
-    wanted = spans.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in probs]))).select(
-        "column",
-        "p",
-        (rank - F.floor(rank)).alias("part"),
-        (F.col("first") + F.floor(rank)).alias("low_rank"),
-        (F.col("first") + F.ceil(rank)).alias("high_rank"),
+    spark = df.sparkSession
+    numeric = df.select(*[known(c).alias(c) for c in columns])
+    # The sketch is off by one in ``accuracy`` ranks at most; as much again holds the
+    # next rank, which interpolation needs, where a column has ``accuracy`` values.
+    # A column of fewer values has no bracket: all of it is put in order.
+    slack = 4.0 / accuracy
+    lows, highs = [max(0.0, p - slack) for p in probs], [min(1.0, p + slack) for p in probs]
+    sketched = numeric.agg(
+        *[
+            F.struct(F.count(c).alias("n"), F.percentile_approx(c, [*lows, *highs], accuracy).alias("at")).alias(c)
+            for c in columns
+        ]
+    ).first()
+    brackets = [
+        (c, p, sketched[c]["n"], sketched[c]["at"][i], sketched[c]["at"][i + len(probs)])
+        for c in columns
+        if sketched[c]["n"]
+        for i, p in enumerate(probs)
+    ]
+    if not brackets:
+        return spark.createDataFrame([], "column string, p double, value double")
+    # A sketch's ends need not be the least and largest value.
+    ends = [
+        (
+            F.lit(low if n >= accuracy and p > slack else -math.inf),
+            F.lit(high if n >= accuracy and p < 1 - slack else math.inf),
+        )
+        for _, p, n, low, high in brackets
+    ]
+    below = numeric.agg(
+        *[F.count_if(F.col(c) < ends[i][0]).alias(f"b{i}") for i, (c, *_) in enumerate(brackets)]
+    ).first()
+    inside = [
+        F.when(
+            F.col(c).between(*ends[i]),
+            F.struct(F.lit(i).alias("bracket"), F.col(c).alias("value")),
+        )
+        for i, (c, *_) in enumerate(brackets)
+    ]
+    hit = reduce(lambda x, y: x | y, [x.isNotNull() for x in inside])
+    counts = (
+        numeric.filter(hit)
+        .select(F.inline(F.array_compact(F.array(*inside))))
+        .groupBy("bracket", "value")
+        .agg(F.count("*").alias("n"))
     )
-    upto = F.col("before") + F.col("n")
-    hits = placed.join(F.broadcast(wanted), "column").select(
+    placed = running_total(counts, ["bracket", "value"], "n", "before")
+    # Ranks inside a bracket start after all values of the brackets before it.
+    spans = placed.groupBy("bracket").agg(F.min("before").alias("first"))
+    ranks = []
+    for i, (c, p, n, _, _) in enumerate(brackets):
+        rank = (n - 1) * p
+        down = math.floor(rank) - below[f"b{i}"]
+        ranks.append((i, c, float(p), rank - math.floor(rank), down, math.ceil(rank) - below[f"b{i}"]))
+    schema = "bracket int, column string, p double, part double, low_rank long, high_rank long"
+    wanted = spark.createDataFrame(ranks, schema).join(spans, "bracket")
+    place, upto = F.col("before") - F.col("first"), F.col("before") - F.col("first") + F.col("n")
+    # One row per column and probability.
+    hits = placed.join(F.broadcast(wanted), "bracket").select(
         "column",
         "p",
         "part",
-        F.when((F.col("before") <= F.col("low_rank")) & (F.col("low_rank") < upto), F.col("value")).alias("low"),
-        F.when((F.col("before") <= F.col("high_rank")) & (F.col("high_rank") < upto), F.col("value")).alias("high"),
+        F.when((place <= F.col("low_rank")) & (F.col("low_rank") < upto), F.col("value")).alias("low"),
+        F.when((place <= F.col("high_rank")) & (F.col("high_rank") < upto), F.col("value")).alias("high"),
     )
-    ends = (
+    found = (
         hits.filter("low IS NOT NULL OR high IS NOT NULL")
         .groupBy("column", "p", "part")
         .agg(F.max("low").alias("low"), F.max("high").alias("high"))
     )
-    return ends.select(
+    return found.select(
         "column", "p", (F.col("low") + (F.col("high") - F.col("low")) * F.col("part")).alias("value")
     )
 
@@ -75,12 +117,13 @@ def describe(df: DataFrame, columns: list[str], approximate: bool = False, digit
     """count, mean, sample std, min, quartiles and max per numeric column.
 
     ``approximate`` replaces the exact quartiles by a sketch: one pass, no sort.
+    NaN counts as missing.
     """
     probs = [0.25, 0.5, 0.75]
     names = ["p25", "p50", "p75"]
     per_column = []
     for c in columns:
-        x = F.col(c).cast("double")
+        x = known(c)
         per_column.append(
             F.struct(
                 F.lit(c).alias("column"),

@@ -117,13 +117,16 @@ def regression_metrics(df: DataFrame, actual: str, predicted: str, digits: int =
     )
 
 
-def prediction_errors(df: DataFrame, key: str, actual: str, predicted: str, k: int = 10) -> DataFrame:
-    """The first k rows with actual, predicted and absolute error."""
+def prediction_errors(
+    df: DataFrame, key: str, actual: str, predicted: str, k: int = 10, ties: list[str] | None = None
+) -> DataFrame:
+    """The first k rows with actual, predicted and absolute error; ``ties`` orders
+    rows with one key."""
     error = F.abs(F.col(actual) - F.col(predicted))
     return (
-        df.select(key, F.col(actual).alias("actual"), F.col(predicted).alias("predicted"), error.alias("abs_error"))
-        .orderBy(key)
+        df.orderBy(key, *(ties or []))
         .limit(k)
+        .select(key, F.col(actual).alias("actual"), F.col(predicted).alias("predicted"), error.alias("abs_error"))
     )
 
 

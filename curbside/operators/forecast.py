@@ -10,9 +10,9 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame, functions as F
 
 from curbside.functions import calendar, lookups
+from curbside.functions.hashing import hash_bucket
 from curbside.functions.numeric import exact_sum, half_even, half_up, rounded
 from curbside.operators.scale import attach
-from curbside.session import materialize
 
 FEATURES = ["area", "day_of_week", "month"]
 
@@ -59,12 +59,14 @@ def fallback_forecast(
 ) -> DataFrame:
     """Base volume of the area x factor of the weekday.
 
-    A weekday without a factor counts as 1.  ``noise`` of 0.05 varies the result by up to 5 % either way.
+    A weekday without a factor counts as 1.  ``noise`` of 0.05 varies the result by
+    up to 5 % either way, the same for an area and day on every run.
     """
     factors = multipliers.select(F.col("day_name").alias("day_of_week"), "multiplier")
     volume = F.col("base_volume") * F.coalesce("multiplier", F.lit(1.0))
     if noise:
-        volume = volume * (1 + (F.rand(seed) * 2 - 1) * noise)
+        drawn = hash_bucket(F.concat_ws("|", "area", "prediction_date"), 1_000_000, seed) / 999_999
+        volume = volume * (1 + (drawn * 2 - 1) * noise)
     with_base = attach(grid, base, ["area"], "left", max_rows=max_rows)
     return (
         attach(with_base, factors, ["day_of_week"], "left", max_rows=max_rows)
@@ -73,36 +75,18 @@ def fallback_forecast(
     )
 
 
-def volume_cells(daily: DataFrame) -> DataFrame:
-    """Mean volume and record count of each (area, weekday, month), from daily totals.
-
-    All features are categories, so these few rows hold what a tree on the
-    records would split on: the spread within a cell is the same for any split.
-    """
-    day = F.col("collection_date")
-    cells = daily.groupBy(
-        "area", calendar.weekday_name(day).alias("day_of_week"), F.month(day).alias("month")
-    )
-    records = F.sum("collections").cast("double")
-    mean = exact_sum("total_volume").cast("double") / records
-    return materialize(cells.agg(mean.alias("volume_liters"), records.alias("n_rows")))
-
-
 def train_volume(
     df: DataFrame,
     trees: int = 100,
     max_depth: int = 10,
     max_bins: int = 32,
     seed: int = 42,
-    by_cell: bool = False,
-    bootstrap: bool = True,
 ) -> PipelineModel:
     """Area, weekday and month, coded alphabetically, to volume per record.
 
-    ``by_cell`` is for training on ``volume_cells``.  Drawing whole cells at
-    random would be far coarser than drawing records, whose cell means hardly
-    move; so the cells are all used, with their weights.
+    ``df`` has one row per record, so each tree draws records at random.
     """
+    df = df.filter(F.col("volume_liters").isNotNull() & F.col("month").isNotNull())
     indexers = StringIndexer(
         inputCols=["area", "day_of_week"],
         outputCols=["area_code", "day_code"],
@@ -121,34 +105,55 @@ def train_volume(
         maxBins=bins,
         featureSubsetStrategy="all",
         seed=seed,
-        bootstrap=bootstrap and not by_cell,
+        bootstrap=True,
     )
-    if by_cell:
-        forest = forest.setWeightCol("n_rows")
     return Pipeline(stages=[indexers, features, forest]).fit(df)
 
 
+def predict_volume(df: DataFrame, model: PipelineModel, name: str = "predicted") -> DataFrame:
+    """Volume per record by the model; null where a feature is null.  An area or
+    weekday the model has not seen has a code of its own."""
+    whole = F.col("area").isNotNull() & F.col("day_of_week").isNotNull() & F.col("month").isNotNull()
+    filled = df.withColumn("__month", F.col("month")).withColumn("month", F.coalesce("month", F.lit(0)))
+    scored = model.transform(filled).withColumn("month", F.col("__month"))
+    return scored.select(*df.columns, F.when(whole, F.col("prediction")).alias(name))
+
+
 def model_forecast(
     grid: DataFrame, model: PipelineModel, per_day: float = lookups.RECORDS_PER_DAY
 ) -> DataFrame:
-    """Predicted volume per record, scaled to a day."""
-    scored = model.transform(grid)
+    """Predicted volume per record, scaled to a day; null where a feature is null."""
+    scored = predict_volume(grid, model, "__predicted")
     return scored.select(
-        *grid.columns, half_even(F.col("prediction") * per_day, 1).alias("predicted_volume")
+        *grid.columns, half_even(F.col("__predicted") * per_day, 1).alias("predicted_volume")
     )
 
 
 def with_fallback(model_based: DataFrame, fallback: DataFrame) -> DataFrame:
     """The model's value where it has one, else the fallback's."""
     keys = ["area", "prediction_date"]
-    other = fallback.select(*keys, F.col("predicted_volume").alias("__fallback"))
+    other = fallback.select(
+        *[F.col(k).alias(f"__{k}") for k in keys], F.col("predicted_volume").alias("__fallback")
+    )
+    same = F.col("area").eqNullSafe(F.col("__area")) & (
+        F.col("prediction_date") == F.col("__prediction_date")
+    )
     return (
-        model_based.join(other, keys, "left")
+        model_based.join(other, same, "left")
         .withColumn("predicted_volume", F.coalesce("predicted_volume", "__fallback"))
-        .drop("__fallback")
+        .drop("__fallback", "__area", "__prediction_date")
     )
 
 
+def forecast_volumes(grid: DataFrame, model: PipelineModel | None, fallback: DataFrame) -> DataFrame:
+    """The forecast: by the model, and by the fallback for rows the model has no
+    value for.  Without a model (none stored, or not readable) all of it falls
+    back."""
+    if model is None:
+        return fallback
+    return with_fallback(model_forecast(grid, model), fallback)
+
+
 def to_predictions(
     forecast: DataFrame,
     created_at: Column | str,

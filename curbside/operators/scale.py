@@ -1,6 +1,6 @@
 """Joins, numbering and running totals which hold up when one key is hot.
 
-* A side is broadcast only after its rows were counted.
+* A side is broadcast only after its rows were counted and their bytes summed.
 * Beyond that size, the rows of keys found hot on a sample are joined where they
   are, and only the others are shuffled.  The sample decides how a row gets to
   its match, never which rows are in the result.
@@ -10,12 +10,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from curbside.session import materialize
 
-#: Rows of a narrow table that are safe to copy to every executor.
+#: Rows, and bytes by the widths below, that are safe to copy to every executor.
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 64 << 20
 
 #: Rows of an aggregate that one task may sort.
 ONE_TASK_ROWS = 100_000
@@ -32,32 +35,64 @@ def _partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def row_bytes(df: DataFrame) -> Column:
+    """Bytes of a row in memory, about: texts and collections by their content."""
+    parts = [F.lit(16)]
+    for field in df.schema:
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            parts.append(F.coalesce(F.octet_length(field.name), F.lit(0)) + 16)
+        elif isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType, T.VariantType)):
+            parts.append(F.coalesce(F.octet_length(F.to_json(F.struct(field.name))), F.lit(0)) * 2 + 16)
+        else:
+            parts.append(F.lit(16))
+    return reduce(lambda a, b: a + b, parts).cast("bigint")
+
+
 def fits_broadcast(df: DataFrame, max_rows: int | None = None) -> bool:
-    """Count the rows.  For a stored table this reads file footers only."""
-    return df.count() <= (BROADCAST_ROWS if max_rows is None else max_rows)
+    """Whether all rows together are few and small.
+
+    For a stored table the count reads file footers only; bytes are summed where
+    rows are few and some column has no fixed width.
+    """
+    rows = df.count()
+    if rows > (BROADCAST_ROWS if max_rows is None else max_rows):
+        return False
+    if all(isinstance(f.dataType, (T.NumericType, T.DateType, T.TimestampType, T.BooleanType)) for f in df.schema):
+        return rows * 16 * (len(df.columns) + 1) <= BROADCAST_BYTES
+    return (df.agg(F.sum(row_bytes(df))).first()[0] or 0) <= BROADCAST_BYTES
 
 
 def _one_key(keys: list[str]) -> Column:
     return F.col(keys[0]) if len(keys) == 1 else F.xxhash64(*keys)
 
 
-def hot_keys(df: DataFrame, keys: list[str], fraction: float = 0.01) -> list:
-    """Keys that fill more than one fair share of the partitions.
+def hot_keys_of(df: DataFrame, links: list[list[str]], fraction: float = 0.01) -> list[list]:
+    """Per link (a list of key columns) the keys that fill more than one fair share
+    of the partitions, all links in one reading.
 
-    A frequent-items sketch over a sample finds them in one pass; what is merged
-    and returned is bounded by the sketch, whatever the number of keys.  Several
-    key columns are taken as one by their hash.
+    A frequent-items sketch over a sample finds them; what is merged and returned
+    is bounded by the sketch, whatever the number of keys.  Several key columns
+    are taken as one by their hash.
     """
     shares = _partitions(df)
-    sketch = F.expr(f"approx_top_k(__key, {shares}, {max(_TRACKED_KEYS, 10 * shares)})")
-    found = (
-        df.select(_one_key(keys).alias("__key"))
-        .filter("__key IS NOT NULL")
-        .sample(fraction, seed=11)
-        .agg(sketch.alias("top"), F.count("*").alias("rows"))
-        .first()
-    )
-    return [hit["item"] for hit in found["top"] if hit["count"] * shares > found["rows"]]
+    tracked = max(_TRACKED_KEYS, 10 * shares)
+    columns = [_one_key(keys).alias(f"__key{i}") for i, keys in enumerate(links)]
+    sketches = [
+        F.struct(
+            F.expr(f"approx_top_k(__key{i}, {shares}, {tracked}) FILTER (WHERE __key{i} IS NOT NULL)").alias("top"),
+            F.count(f"__key{i}").alias("rows"),
+        ).alias(f"s{i}")
+        for i in range(len(links))
+    ]
+    found = df.select(*columns).sample(fraction, seed=11).agg(*sketches).first()
+    return [
+        [hit["item"] for hit in found[f"s{i}"]["top"] or [] if hit["count"] * shares > found[f"s{i}"]["rows"]]
+        for i in range(len(links))
+    ]
+
+
+def hot_keys(df: DataFrame, keys: list[str], fraction: float = 0.01) -> list:
+    return hot_keys_of(df, [keys], fraction)[0]
 
 
 def attach(
@@ -68,19 +103,21 @@ def attach(
     max_rows: int | None = None,
     small: bool | None = None,
     fraction: float = 0.01,
+    hot: list | None = None,
 ) -> DataFrame:
     """Join a large table with one that has each key once.
 
     A small ``dim`` is broadcast.  Of a large one only the rows of hot keys are,
     no more than there are partitions: the crowded rows, and those without a
     key, stay where they are and only the rest is shuffled.  ``small`` hands in
-    a size check already made.
+    a size check already made, ``hot`` hot keys already found.
     """
     if how not in ("inner", "left"):
         raise ValueError("how must be inner or left")
     if fits_broadcast(dim, max_rows) if small is None else small:
         return fact.join(F.broadcast(dim), keys, how)
-    hot = hot_keys(fact, keys, fraction)
+    if hot is None:
+        hot = hot_keys(fact, keys, fraction)
     if not hot:
         return fact.join(dim, keys, how)
     is_hot = F.coalesce(_one_key(keys).isin(hot), F.lit(True))

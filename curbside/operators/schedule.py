@@ -57,10 +57,11 @@ def zone_layer(
     high: Column | float = lookups.HIGH_ABOVE_LITERS,
     medium: Column | float = lookups.MEDIUM_ABOVE_LITERS,
 ) -> DataFrame:
-    """Areas with coordinates, marker size, priority and next pickup time."""
+    """Areas with coordinates, marker size, priority and next pickup time.  An area
+    that is in no zone stays, without coordinates."""
     radius = F.lit(300) + F.col(volume) * 10
     layer = (
-        attach(volumes, zones, ["area"])
+        attach(volumes, zones, ["area"], "left")
         .withColumn("priority", priority_band(F.col(volume), high, medium))
         .withColumn("radius", radius)
         .withColumn("halo_radius", radius * 1.5)

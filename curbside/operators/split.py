@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from curbside.functions.hashing import hash_bucket, seeded_digest
-from curbside.operators.scale import ONE_TASK_ROWS, number_rows
+from curbside.operators.scale import attach, number_aggregate, number_rows
 from curbside.session import materialize
 
 
@@ -19,68 +19,89 @@ def assign_folds(df: DataFrame, key: str, k: int = 5, seed: int = 42) -> DataFra
     return df.withColumn("fold", hash_bucket(F.col(key), k, seed))
 
 
-def _ranked_with_classes(
-    df: DataFrame, label: str, key: str, seed: int
-) -> tuple[DataFrame, DataFrame]:
-    """Rows numbered in (class, seeded digest) order, and one row per class.
+def _digested(df: DataFrame, label: str, key: str, seed: int) -> DataFrame:
+    return df.withColumns({"__digest": seeded_digest(F.col(key), seed), "__label": F.col(label)})
 
-    One distributed sort; a hot class spans many partitions.  ``key`` must be
-    unique.
-    """
-    digest = "__digest"
-    rows = number_rows(
-        df.withColumn(digest, seeded_digest(F.col(key), seed)), [label, digest, key], "__n"
-    ).drop(digest)
-    classes = materialize(
-        rows.groupBy(F.col(label).alias("__label")).agg(
-            F.min("__n").alias("first"), F.count("*").alias("size")
-        )
-    )
-    if classes.count() > ONE_TASK_ROWS:
-        raise ValueError(f"{label} has too many values for a class label")
-    return rows, classes
+
+#: Columns that name a class; a null label is a class too.
+CLASS = ["__name", "__none"]
+
+
+def _by_class(df: DataFrame, label: str) -> DataFrame:
+    """The columns ``CLASS`` in place of the label, for a plain join."""
+    name = F.coalesce(F.col(label).cast("string"), F.lit(""))
+    return df.withColumns({"__name": name, "__none": F.col(label).isNull()}).drop(label)
 
 
-def test_quota(classes: DataFrame, test_pct: int = 20) -> DataFrame:
+def test_quota(classes: DataFrame, test_pct: int = 20, max_rows: int | None = None) -> DataFrame:
     """Test rows per class, as whole numbers which add up to the overall share.
 
     Each class gets the whole part of its share; what is then missing goes to
     the classes with the largest remainders.  ``classes`` has one row per class.
     """
-    # Windows over the class table, which is as small as the label vocabulary.
-    everything = W.partitionBy()
-    by_rest = W.orderBy(F.desc("rest"), "__label")
     share = F.col("size") * test_pct
-    quotas = (
-        classes.withColumn("whole", F.floor(share / 100))
-        .withColumn("rest", share % 100)
-        .withColumn("total", F.ceil(F.sum("size").over(everything) * test_pct / 100))
-        .withColumn("missing", F.col("total") - F.sum("whole").over(everything))
-        .withColumn("place", F.row_number().over(by_rest))
+    parts = classes.withColumn("whole", F.floor(share / 100)).withColumn("rest", share % 100)
+    placed = number_aggregate(parts, [F.desc("rest"), "__label"], "place", max_rows)
+    missing = placed.agg(F.ceil(F.sum("size") * test_pct / 100) - F.sum("whole")).scalar()
+    extra = F.when(F.col("place") <= missing, 1).otherwise(0)
+    return placed.select(*classes.columns, (F.col("whole") + extra).alias("quota"))
+
+
+def _cuts(rows: DataFrame, quotas: DataFrame, key: str, prefix: int) -> DataFrame:
+    """Per class the (digest, key) of the last row inside its quota.
+
+    Counts by the first digits of the digest say in which stretch of the digests
+    the quota ends; only the rows of that stretch are put in order.
+    """
+    stretch = F.substring("__digest", 1, prefix)
+    counts = rows.groupBy("__label", stretch.alias("__stretch")).agg(F.count("*").alias("n"))
+    upto = W.partitionBy("__label").orderBy("__stretch").rowsBetween(W.unboundedPreceding, W.currentRow)
+    q = quotas.select(F.col("__label").alias("__of"), "quota")
+    ends = (
+        counts.withColumn("upto", F.sum("n").over(upto))
+        .join(q, F.col("__label").eqNullSafe(F.col("__of")))
+        .withColumn("before", F.col("upto") - F.col("n"))
+        .filter("before < quota AND quota <= upto")
+        .select("__of", F.col("__stretch").alias("__end"), (F.col("quota") - F.col("before")).alias("nth"))
+    )
+    inside = rows.select("__label", "__digest", F.col(key).alias("__key")).join(
+        ends, F.col("__label").eqNullSafe(F.col("__of")) & (stretch == F.col("__end"))
+    )
+    in_order = W.partitionBy("__of").orderBy("__digest", "__key")
+    return (
+        inside.withColumn("place", F.row_number().over(in_order))
+        .filter("place = nth")
+        .select("__of", F.struct("__digest", F.col("__key")).alias("__cut"))
     )
-    extra = F.when(F.col("place") <= F.col("missing"), 1).otherwise(0)
-    return quotas.select(*classes.columns, (F.col("whole") + extra).alias("quota"))
 
 
 def stratified_split(
-    df: DataFrame, label: str, key: str, test_pct: int = 20, seed: int = 42
+    df: DataFrame, label: str, key: str, test_pct: int = 20, seed: int = 42, prefix: int = 4
 ) -> DataFrame:
-    """Exact split: each class gives its quota of test rows."""
-    rows, classes = _ranked_with_classes(df, label, key, seed)
-    quotas = F.broadcast(test_quota(classes, test_pct))
-    rank = F.col("__n") - F.col("first") + 1
-    part = F.when(rank <= F.col("quota"), "test").otherwise("train")
-    return rows.join(quotas, F.col(label).eqNullSafe(F.col("__label"))).select(
-        *df.columns, part.alias("split")
-    )
+    """Exact split: each class gives its quota of test rows.
+
+    Rows are told apart by where the digest of their key lies; they are counted
+    and compared with the cut of their class, not sorted.  ``key`` must be unique.
+    """
+    rows = _digested(df, label, key, seed)
+    classes = rows.groupBy("__label").agg(F.count("*").alias("size"))
+    cuts = materialize(_cuts(rows, test_quota(classes, test_pct), key, prefix))
+    cuts, keyed = _by_class(cuts, "__of"), _by_class(rows, "__label")
+    own = F.struct("__digest", F.col(key).alias("__key"))
+    part = F.when(own <= F.col("__cut"), "test").otherwise("train")
+    return attach(keyed, cuts, CLASS, "left").select(*df.columns, part.alias("split"))
 
 
 def stratified_folds(
     df: DataFrame, label: str, key: str, k: int = 5, seed: int = 42
 ) -> DataFrame:
-    """Exact folds: the sizes of a class differ by at most one between folds."""
-    rows, classes = _ranked_with_classes(df, label, key, seed)
-    fold = ((F.col("__n") - F.col("first")) % k).cast("int")
-    return rows.join(F.broadcast(classes), F.col(label).eqNullSafe(F.col("__label"))).select(
-        *df.columns, fold.alias("fold")
-    )
+    """Exact folds: the sizes of a class differ by at most one between folds.
+
+    Rows are numbered in (class, digest) order by one distributed sort; a hot
+    class spans many partitions.  ``key`` must be unique.
+    """
+    rows = number_rows(_digested(df, label, key, seed), ["__label", "__digest", key], "__n")
+    classes = materialize(rows.groupBy(F.col("__label").alias("__of")).agg(F.min("__n").alias("__first")))
+    fold = ((F.col("__n") - F.col("__first")) % k).cast("int")
+    first, keyed = _by_class(classes, "__of"), _by_class(rows, "__label")
+    return attach(keyed, first, CLASS, "left").select(*df.columns, fold.alias("fold"))

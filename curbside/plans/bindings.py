@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from curbside.functions import lookups
-from curbside.operators.scale import attach
+from curbside.operators.scale import attach, fits_broadcast, hot_keys_of
 
 AREA_OF_PRIORITY = {
     "1-URGENT": "Clock Tower",
@@ -99,14 +99,22 @@ FROM_PART = ["waste_type", "material_type"]
 
 def collections(spark: SparkSession, sf_dir: str, columns: list[str]) -> DataFrame:
     """Collections with the columns asked for; only the tables behind them are joined."""
-    df = collection_facts(spark, sf_dir)
-    for names, dim, link in (
-        (FROM_ORDERS, area_dim, "l_orderkey"),
-        (FROM_PART, part_dim, "l_partkey"),
-    ):
-        wanted = [c for c in names if c in columns]
-        if wanted:
-            df = attach(df, dim(spark, sf_dir).select(link, *wanted), [link])
+    facts = collection_facts(spark, sf_dir)
+    sides = [
+        ([link], dim(spark, sf_dir).select(link, *wanted))
+        for names, dim, link in (
+            (FROM_ORDERS, area_dim, "l_orderkey"),
+            (FROM_PART, part_dim, "l_partkey"),
+        )
+        if (wanted := [c for c in names if c in columns])
+    ]
+    small = [fits_broadcast(dim) for _, dim in sides]
+    # Hot keys of all large sides come from one reading, before any join.
+    large = [keys for (keys, _), fits in zip(sides, small) if not fits]
+    hot = dict(zip([keys[0] for keys in large], hot_keys_of(facts, large) if large else []))
+    df = facts
+    for (keys, dim), fits in zip(sides, small):
+        df = attach(df, dim, keys, small=fits, hot=hot.get(keys[0]))
     return df.select(*columns)
 
 

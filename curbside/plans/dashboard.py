@@ -1,23 +1,22 @@
 """Nested JSON documents for the dashboard: totals, forecasts, latest reports.
 
-Only aggregates, forecasts and top-k rows get here.  A document is one row, so
-its sections are checked to be small.
+Only aggregates, forecasts and top-k rows get here.  A document is one row; where
+a section may have more rows than a row can hold, ``section_lines`` gives the same
+items as lines of JSON, one row each, which many tasks write.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from curbside.functions.calendar import iso_date
-from curbside.operators.aggregates import counts_by, kpi_stats
+from curbside.operators.aggregates import counts_by, kpi_of_areas
 from curbside.operators.forecast import nested_forecast
 from curbside.operators.scale import number_aggregate
 from curbside.operators.schedule import collection_schedule
 
-#: Rows a section of the document may have.
-SECTION_ROWS = 10_000
-
-
 def _json(document: Column) -> Column:
     return F.to_json(document, {"ignoreNullFields": "false"}).alias("snapshot")
 
@@ -28,20 +27,24 @@ def _amount(name: str) -> Column:
 
 
 def _section(rows: DataFrame, order: str, fields: list[Column]) -> Column:
-    """The rows of a small aggregate as an ordered array."""
-    if rows.count() > SECTION_ROWS:
-        raise ValueError(
-            f"a section has more than {SECTION_ROWS} rows; write its table instead of one document"
-        )
+    """The rows of an aggregate as an ordered array."""
     item = F.struct(F.col(order).alias("at"), F.struct(*fields).alias("item"))
     ordered = F.sort_array(F.collect_list(item))
     return rows.agg(F.transform(ordered, lambda x: x["item"])).scalar()
 
 
-def dashboard_snapshot(
-    facts: DataFrame, by_type: DataFrame, by_area: DataFrame, reports: DataFrame
-) -> DataFrame:
-    """One row with the JSON text.  Only aggregates reach it.
+def section_lines(rows: DataFrame, section: str, order: str, fields: list[Column]) -> DataFrame:
+    """The rows of an aggregate as lines: section, position in it, JSON of the item."""
+    item = F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
+    return rows.select(
+        F.lit(section).alias("section"), F.col(order).cast("bigint").alias("position"), item.alias("item")
+    )
+
+
+def dashboard_sections(
+    by_type: DataFrame, by_area: DataFrame, reports: DataFrame
+) -> dict[str, tuple[DataFrame, str, list[Column]]]:
+    """Name of each section with its rows, their order and the fields shown.
 
     The schedule comes from the area totals, so the records are read once for
     both.
@@ -50,7 +53,32 @@ def dashboard_snapshot(
     types = number_aggregate(by_type, [F.desc("total_kg"), "waste_type"], at)
     areas = number_aggregate(by_area, [F.desc("total_kg"), "area"], at)
     statuses = number_aggregate(counts_by(reports, "status"), ["status"], at)
-    schedule = collection_schedule(areas)
+    amounts = [_amount("total_kg"), _amount("total_volume")]
+    run = [F.col("area"), F.col("time"), F.col("priority"), _amount("estimated_volume")]
+    return {
+        "waste_by_type": (types, at, [F.col("waste_type"), *amounts]),
+        "waste_by_area": (areas, at, [F.col("area"), *amounts, F.col("collections")]),
+        "reports_summary": (statuses, at, [F.col("status"), F.col("count")]),
+        "collection_schedule": (collection_schedule(areas), "run_order", run),
+    }
+
+
+def dashboard_lines(by_type: DataFrame, by_area: DataFrame, reports: DataFrame) -> DataFrame:
+    """All sections as lines of JSON, whatever their size."""
+    sections = dashboard_sections(by_type, by_area, reports)
+    lines = [section_lines(rows, name, order, f) for name, (rows, order, f) in sections.items()]
+    return reduce(DataFrame.unionAll, lines)
+
+
+def dashboard_snapshot(by_type: DataFrame, by_area: DataFrame, reports: DataFrame) -> DataFrame:
+    """One row with the JSON text.
+
+    ``by_area`` carries, besides the totals, the sum and number of the moistures
+    and the recyclable records, so the key figures cost no reading of their own.
+    """
+    sections = dashboard_sections(by_type, by_area, reports)
+    areas, statuses = sections["waste_by_area"][0], sections["reports_summary"][0]
+    shown = {name: _section(*section).alias(name) for name, section in sections.items()}
     stats = F.struct(
         _amount("total_waste_kg"),
         _amount("total_volume"),
@@ -59,22 +87,14 @@ def dashboard_snapshot(
         "total_records",
     )
     document = F.struct(
-        _section(types, at, [F.col("waste_type"), _amount("total_kg"), _amount("total_volume")]).alias(
-            "waste_by_type"
-        ),
-        _section(
-            areas, at,
-            [F.col("area"), _amount("total_kg"), _amount("total_volume"), F.col("collections")],
-        ).alias("waste_by_area"),
-        _section(statuses, at, [F.col("status"), F.col("count")]).alias("reports_summary"),
+        shown["waste_by_type"],
+        shown["waste_by_area"],
+        shown["reports_summary"],
         stats.alias("stats"),
         statuses.agg(F.coalesce(F.sum("count"), F.lit(0))).scalar().alias("total_reports"),
-        _section(
-            schedule, "run_order",
-            [F.col("area"), F.col("time"), F.col("priority"), _amount("estimated_volume")],
-        ).alias("collection_schedule"),
+        shown["collection_schedule"],
     )
-    return kpi_stats(facts).select(_json(document))
+    return kpi_of_areas(areas).select(_json(document))
 
 
 def forecast_snapshot(forecast: DataFrame) -> DataFrame:

@@ -260,8 +260,8 @@ _REPORT_TYPES = {
 }
 
 
-def _json_rows(source: str, order: str, fields: list[tuple[str, str]]) -> str:
-    """A JSON array of objects, put together as text."""
+def _json_item(fields: list[tuple[str, str]]) -> str:
+    """A JSON object, put together as text."""
     parts = []
     for name, kind in fields:
         if kind == "text":
@@ -270,11 +270,27 @@ def _json_rows(source: str, order: str, fields: list[tuple[str, str]]) -> str:
             parts.append(f"'\"{name}\":' || CAST(CAST({name} AS DECIMAL(28,2)) AS VARCHAR)")
         else:
             parts.append(f"'\"{name}\":' || CAST({name} AS VARCHAR)")
-    item = "'{' || " + " || ',' || ".join(parts) + " || '}'"
-    return f"(SELECT '[' || string_agg({item}, ',' ORDER BY {order}) || ']' FROM {source})"
+    return "'{' || " + " || ',' || ".join(parts) + " || '}'"
+
+
+def _json_rows(source: str, order: str, fields: list[tuple[str, str]]) -> str:
+    """A JSON array of objects, put together as text."""
+    return f"(SELECT '[' || string_agg({_json_item(fields)}, ',' ORDER BY {order}) || ']' FROM {source})"
 
 
 _AMOUNTS = [("total_kg", "amount"), ("total_volume", "amount")]
+_SECTIONS = [
+    ("waste_by_type", "type_totals", "total_kg DESC, waste_type", [("waste_type", "text"), *_AMOUNTS]),
+    (
+        "waste_by_area", "area_totals", "total_kg DESC, area",
+        [("area", "text"), *_AMOUNTS, ("collections", "count")],
+    ),
+    ("reports_summary", "statuses", "status", [("status", "text"), ("count", "count")]),
+    (
+        "collection_schedule", "schedule", "run_order",
+        [("area", "text"), ("time", "text"), ("priority", "text"), ("estimated_volume", "amount")],
+    ),
+]
 SNAPSHOT = f"""WITH {COLLECTIONS}, {REPORTS}, {AREA_TOTALS}, {TYPE_TOTALS}, {STATS},
 limits AS (SELECT 400.0 AS high, 200.0 AS medium), {SCHEDULE},
 statuses AS (SELECT status, COUNT(*) AS count FROM reports GROUP BY status)
@@ -290,6 +306,60 @@ SELECT '{{"waste_by_type":' || {_json_rows("type_totals", "total_kg DESC, waste_
   || '}}' AS snapshot
 FROM stats"""
 
+_DECLARED = sorted(lookups.WASTE_TYPES)
+
+
+def _kilograms(condition: str) -> str:
+    return (
+        f"COALESCE(CAST(ROUND(SUM(CAST(weight_kg AS DECIMAL(18,6))) FILTER (WHERE {condition}), 2) "
+        "AS DOUBLE), 0.0)"
+    )
+
+
+def _histogram(column: str) -> str:
+    return f"""bounds AS (
+  SELECT MIN({column}) AS lo, MAX({column}) AS hi FROM collections), counted AS (
+  SELECT LEAST(CAST(FLOOR(({column} - lo) / (hi - lo) * 20) AS BIGINT), 19) AS bin, COUNT(*) AS n
+  FROM collections CROSS JOIN bounds GROUP BY 1), bins AS (
+  SELECT r.bin, lo + r.bin * ((hi - lo) / 20) AS bin_start, lo + (r.bin + 1) * ((hi - lo) / 20) AS bin_end,
+         COALESCE(n, 0) AS n
+  FROM range(20) AS r(bin) CROSS JOIN bounds LEFT JOIN counted ON counted.bin = r.bin)"""
+
+
+def _histogram_with_mean(column: str) -> str:
+    return f"""WITH {COLLECTIONS}, {_histogram(column)}
+SELECT *, (SELECT {_even(_mean(column), 2)} FROM collections) AS mean FROM bins"""
+
+
+#: Exact split of ``records`` (id, waste_type) by class.
+SPLIT = """ranked AS (
+  SELECT id, waste_type, ROW_NUMBER() OVER (PARTITION BY waste_type ORDER BY md5(id || '|42'), id) AS rank
+  FROM records), sizes AS (SELECT waste_type, COUNT(*) AS size FROM records GROUP BY waste_type),
+quotas AS (
+  SELECT waste_type, size * 20 // 100 AS whole,
+         CEIL(SUM(size) OVER () * 20 / 100) - SUM(size * 20 // 100) OVER () AS missing,
+         ROW_NUMBER() OVER (ORDER BY size * 20 % 100 DESC, waste_type) AS place FROM sizes),
+parted AS (
+  SELECT id, waste_type,
+         CASE WHEN rank <= whole + CASE WHEN place <= missing THEN 1 ELSE 0 END THEN 'test' ELSE 'train' END AS split
+  FROM ranked JOIN quotas USING (waste_type))"""
+
+_LABELLED_ORDER = "digest, weight_kg, moisture_pct, recyclable, material_type"
+#: Test rows per class of the rows that the classifiers learn from.
+SUPPORT = f"""{COLLECTIONS}, labelled AS (
+  SELECT *, md5(l_orderkey || '-' || l_partkey || '|42') AS digest FROM collections
+  WHERE waste_type IS NOT NULL ORDER BY {_LABELLED_ORDER} LIMIT 2000),
+records AS (SELECT *, ROW_NUMBER() OVER (ORDER BY {_LABELLED_ORDER}) AS id FROM labelled),
+{SPLIT}, classes(label) AS (VALUES {", ".join(f"('{t}')" for t in b.ALL_TYPES)}),
+support AS (
+  SELECT label, COUNT(id) AS support
+  FROM classes LEFT JOIN parted ON parted.waste_type = label AND split = 'test' GROUP BY label)"""
+
+_KEY = "(l_orderkey || '-' || l_partkey)"
+TESTED = f"""{COLLECTIONS}, tested AS (
+  SELECT {_KEY} AS key, volume_liters FROM collections
+  WHERE volume_liters IS NOT NULL AND {_bucket(_KEY, 100, 42)} < 20)"""
+
 ORACLE_SQL = {
     "waste_by_area": f"""WITH {COLLECTIONS}, {AREA_TOTALS}
 SELECT *, collections * 10 AS collections_scaled FROM area_totals ORDER BY total_kg DESC, area""",
@@ -313,10 +383,11 @@ SELECT CASE WHEN recyclable = 1 THEN 'Recyclable' ELSE 'Non-Recyclable' END AS l
 SELECT waste_type, n, {_up("n / (SELECT SUM(n) FROM counts) * 100", 1)} AS share_pct
 FROM counts ORDER BY n DESC, waste_type""",
     "area_type_pivot": f"""WITH {COLLECTIONS}
-SELECT area, {", ".join(
-        f'''COALESCE(CAST(ROUND(SUM(CAST(weight_kg AS DECIMAL(18,6))) FILTER (WHERE waste_type = '{t}'), 2)
-          AS DOUBLE), 0.0) AS "{t}"''' for t in b.ALL_TYPES)}
+SELECT area, {", ".join(f'{_kilograms(f"waste_type = '{t}'")} AS "{t}"' for t in _DECLARED)},
+       {_kilograms("waste_type IS NULL OR waste_type NOT IN (" + ", ".join(f"'{t}'" for t in _DECLARED) + ")")} AS other
 FROM collections GROUP BY area ORDER BY area""",
+    "area_type_matrix": f"""WITH {COLLECTIONS}
+SELECT area, waste_type, {_total("weight_kg")} AS total_kg FROM collections GROUP BY area, waste_type""",
     "heatmap_estimate": f"""WITH {COLLECTIONS}, {AREA_TOTALS}, {TYPE_TOTALS}, cells AS (
   SELECT a.area, t.waste_type, {_up("a.total_kg * t.total_kg / 1000 * 0.1::DOUBLE", 1)} AS estimate
   FROM area_totals a CROSS JOIN type_totals t)
@@ -327,6 +398,14 @@ SELECT *, estimate / (SELECT MAX(estimate) FROM cells) AS intensity FROM cells""
 SELECT l_orderkey, l_partkey, area, day_of_week, volume_liters, group_total
 FROM collections JOIN totals USING (area, day_of_week)""",
     "dashboard_snapshot": SNAPSHOT,
+    "dashboard_lines": f"""WITH {COLLECTIONS}, {REPORTS}, {AREA_TOTALS}, {TYPE_TOTALS},
+limits AS (SELECT 400.0 AS high, 200.0 AS medium), {SCHEDULE},
+statuses AS (SELECT status, COUNT(*) AS count FROM reports GROUP BY status)
+""" + " UNION ALL ".join(
+        f"SELECT '{name}' AS section, ROW_NUMBER() OVER (ORDER BY {order}) AS position, "
+        f"{_json_item(fields)} AS item FROM {source}"
+        for name, source, order, fields in _SECTIONS
+    ),
     "collection_schedule": f"""WITH {COLLECTIONS}, {AREA_TOTALS}, {MEAN_LIMITS}, {SCHEDULE}
 SELECT * FROM schedule ORDER BY run_order""",
     "quick_schedule": f"""WITH {COLLECTIONS}, {AREA_TOTALS}, {MEAN_LIMITS}, {SCHEDULE}
@@ -340,7 +419,7 @@ ranked AS (
          CASE WHEN base_volume > (SELECT MAX(base_volume) FROM base) * 0.999::DOUBLE THEN 'High'
               WHEN base_volume > (SELECT MAX(base_volume) FROM base) * 0.99::DOUBLE THEN 'Medium'
               ELSE 'Low' END AS priority
-  FROM base JOIN zones USING (area))
+  FROM base LEFT JOIN zones USING (area))
 SELECT ranked.*, next_pickup, color FROM ranked JOIN styles USING (priority)""",
     "clean_reports": f"""WITH {CLEAN_REPORTS}
 SELECT * EXCLUDE (created_at), {_REPORT_TIME} AS created_at FROM cleaned""",
@@ -393,13 +472,9 @@ SELECT id, reporter_name, location, waste_type, status FROM cleaned""",
     ),
     "describe": f"WITH {COLLECTIONS} "
     + " UNION ALL ".join(_describe_one(c) for c in ("weight_kg", "moisture_pct", "volume_liters")),
-    "histogram": f"""WITH {COLLECTIONS}, bounds AS (
-  SELECT MIN(volume_liters) AS lo, MAX(volume_liters) AS hi FROM collections), counted AS (
-  SELECT LEAST(CAST(FLOOR((volume_liters - lo) / (hi - lo) * 20) AS BIGINT), 19) AS bin, COUNT(*) AS n
-  FROM collections CROSS JOIN bounds GROUP BY 1)
-SELECT r.bin, lo + r.bin * ((hi - lo) / 20) AS bin_start, lo + (r.bin + 1) * ((hi - lo) / 20) AS bin_end,
-       COALESCE(n, 0) AS n
-FROM range(20) AS r(bin) CROSS JOIN bounds LEFT JOIN counted ON counted.bin = r.bin""",
+    "histogram": f"WITH {COLLECTIONS}, {_histogram('volume_liters')} SELECT * FROM bins",
+    "histogram_weight": _histogram_with_mean("weight_kg"),
+    "histogram_moisture": _histogram_with_mean("moisture_pct"),
     "correlation_pairs": f"WITH {COLLECTIONS} "
     + " UNION ALL ".join(
         f"SELECT '{c}' AS row_column, '{a}' AS col_column, {_away(f'corr({c}, {a})', 4)} AS r FROM collections"
@@ -426,16 +501,7 @@ FROM part""",
 SELECT id, waste_type, CASE WHEN {_bucket("id", 100, 42)} < 20 THEN 'test' ELSE 'train' END AS split
 FROM records""",
     "assign_folds": f"WITH {RECORDS} SELECT id, waste_type, {_bucket('id', 5, 42)} AS fold FROM records",
-    "stratified_split": f"""WITH {RECORDS}, ranked AS (
-  SELECT id, waste_type, ROW_NUMBER() OVER (PARTITION BY waste_type ORDER BY md5(id || '|42'), id) AS rank
-  FROM records), sizes AS (SELECT waste_type, COUNT(*) AS size FROM records GROUP BY waste_type),
-quotas AS (
-  SELECT waste_type, size * 20 // 100 AS whole,
-         CEIL(SUM(size) OVER () * 20 / 100) - SUM(size * 20 // 100) OVER () AS missing,
-         ROW_NUMBER() OVER (ORDER BY size * 20 % 100 DESC, waste_type) AS place FROM sizes)
-SELECT id, waste_type,
-       CASE WHEN rank <= whole + CASE WHEN place <= missing THEN 1 ELSE 0 END THEN 'test' ELSE 'train' END AS split
-FROM ranked JOIN quotas USING (waste_type)""",
+    "stratified_split": f"WITH {RECORDS}, {SPLIT} SELECT * FROM parted",
     "stratified_folds": f"""WITH {RECORDS}
 SELECT id, waste_type, CAST((ROW_NUMBER() OVER (
          PARTITION BY waste_type ORDER BY md5(id || '|42'), id) - 1) % 5 AS INT) AS fold FROM records""",
@@ -493,8 +559,6 @@ SELECT area, CAST(COUNT(*) AS INT) AS days, MAX(predicted_volume) FILTER (WHERE
 SELECT * EXCLUDE (created_at), {_REPORT_TIME} AS created_at FROM cleaned""",
     "stream_daily_counts": f"""WITH {REPORTS}
 SELECT CAST(CAST(created_at AS DATE) AS VARCHAR) AS day, status, COUNT(*) AS n FROM reports
-WHERE CAST(created_at AS DATE) + INTERVAL 1 DAY
-      <= (SELECT MAX(created_at) FROM reports) - INTERVAL 1 HOUR
 GROUP BY 1, 2""",
     "stream_status_counts": f"WITH {REPORTS} SELECT status, COUNT(*) AS n FROM reports GROUP BY status",
     "stream_scoring": f"""WITH {REQUESTS}, {ADVICE}, ruled AS (
@@ -505,4 +569,27 @@ SELECT id, CASE WHEN cast_failed = 1 THEN 'quarantined' ELSE 'scored' END AS out
                   ("predicted_type", "confidence", "recommendation", "color", "segregation_tip"))}
 FROM advised""",
     "stream_insert_if_absent": FIRST_WINS,
+    "stream_model_scoring_rows": f"""WITH {REQUESTS}
+SELECT id, CASE WHEN cast_failed = 1 THEN 'quarantined' ELSE 'scored' END AS outcome,
+       CASE WHEN cast_failed = 0 THEN TRUE END AS typed FROM cleaned""",
+    "rf_classify_support": f"WITH {SUPPORT} SELECT * FROM support",
+    "score_batch_ids": f"WITH {REQUESTS} SELECT id, TRUE AS valid FROM cleaned WHERE cast_failed = 0",
+    "feature_importance_sum": "SELECT CAST(4 AS BIGINT) AS features, 1.0::DOUBLE AS total",
+    "model_comparison_rows": """SELECT model, TRUE AS valid
+FROM (VALUES ('Random Forest'), ('Decision Tree'), ('Logistic Regression')) AS m(model)""",
+    "best_model_support": f"""WITH {SUPPORT} SELECT label AS name, support FROM support
+UNION ALL SELECT name, (SELECT CAST(SUM(support) AS BIGINT) FROM support)
+FROM (VALUES ('accuracy'), ('macro avg'), ('weighted avg')) AS m(name)""",
+    "volume_model_support": f"WITH {TESTED} SELECT COUNT(*) AS n FROM tested",
+    "volume_model_samples": f"""WITH {TESTED}
+SELECT key, volume_liters AS actual FROM tested ORDER BY key, volume_liters LIMIT 10""",
+    "volume_residual_rows": f"WITH {TESTED} SELECT CAST(20 AS BIGINT) AS bins, COUNT(*) AS n FROM tested",
+    "rf_forecast_keys": f"""WITH {COLLECTIONS}, {DAILY}, {BASE}, {GRID}
+SELECT area, CAST(prediction_date AS VARCHAR) AS prediction_date, TRUE AS valid,
+       CAST(NULL AS DOUBLE) AS fallback_volume FROM grid
+UNION ALL SELECT NULL, CAST(prediction_date AS VARCHAR), TRUE,
+       (SELECT {_even("AVG(base_volume)", 1)} FROM base)
+FROM (SELECT DISTINCT prediction_date FROM grid)""",
+    "forecast_without_model": f"""WITH {FORECAST}
+SELECT area, CAST(prediction_date AS VARCHAR) AS prediction_date, predicted_volume FROM forecast""",
 }

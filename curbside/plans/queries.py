@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from functools import wraps
 
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from curbside import schemas
 from curbside.functions import calendar, lookups
+from curbside.functions.hashing import seeded_digest
 from curbside.operators import (
     aggregates as agg,
     classify,
@@ -21,17 +23,21 @@ from curbside.operators import (
     schedule as sched,
     split,
 )
+from curbside.operators.scale import number_aggregate
 from curbside.plans import bindings as b
 from curbside.plans import dashboard
-from curbside.session import fresh_path, materialize
+from curbside.session import fresh_path, kept_path, materialize
 from curbside.sources import csv as csv_source, models, tables
 from curbside.streaming import forecasts, intake, run, scoring
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-#: Size of the models trained here, the same at every scale.
-TREES, DEPTH, BINS = 20, 8, 32
+#: Size of the forests; 30 is the deepest tree Spark grows.
+TREES, DEPTH, VOLUME_DEPTH, BINS = 100, 30, 10, 32
+#: Labelled rows that a classifier is trained and tested on, at most: those with the
+#: least digests.  The volume model takes all records.
+CLASSIFIER_ROWS = 2_000
 FEATURES = ["weight_kg", "moisture_pct", "recyclable", "material_type"]
 
 
@@ -77,10 +83,14 @@ def _type_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _area_type_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _area_type_cells(spark: SparkSession, sf_dir: str, declared: list[str] | None = None) -> DataFrame:
+    """Kilograms by area and type; with ``declared`` the other types are one."""
+    types = b.part_dim(spark, sf_dir).select("l_partkey", "waste_type")
+    if declared is not None:
+        types = types.withColumn("waste_type", agg.declared_or_other("waste_type", declared))
     return agg.totals_through(
         b.collections(spark, sf_dir, ["area", "l_partkey", "weight_kg"]),
-        b.part_dim(spark, sf_dir).select("l_partkey", "waste_type"),
+        types,
         "l_partkey",
         ["area", "waste_type"],
         {"total_kg": "weight_kg"},
@@ -140,15 +150,23 @@ def value_counts(spark, sf_dir):
 
 @query
 def area_type_pivot(spark, sf_dir):
-    return agg.pivot_totals(
-        _area_type_cells(spark, sf_dir), "area", "waste_type", "total_kg", b.ALL_TYPES
-    ).orderBy("area")
+    """A column for each declared type; ``Mixed`` is none of them and goes to ``other``."""
+    declared = sorted(lookups.WASTE_TYPES)
+    cells = _area_type_cells(spark, sf_dir, declared)
+    return agg.pivot_totals(cells, "area", "waste_type", "total_kg", declared).orderBy("area")
+
+
+@query
+def area_type_matrix(spark, sf_dir):
+    """The same in long form, with the types found in the data."""
+    return _area_type_cells(spark, sf_dir)
 
 
 @query
 def heatmap_estimate(spark, sf_dir):
-    types = agg.declared_totals(_type_totals(spark, sf_dir), "waste_type", "total_kg", b.ALL_TYPES)
-    return agg.matrix_estimate(materialize(_area_totals(spark, sf_dir)), types)
+    return agg.matrix_estimate(
+        materialize(_area_totals(spark, sf_dir)), materialize(_type_totals(spark, sf_dir))
+    )
 
 
 @query
@@ -164,10 +182,32 @@ def group_total(spark, sf_dir):
     return agg.group_total(rows, keys, "volume_liters", totals=totals)
 
 
+def _area_key_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Area totals that carry what the key figures need."""
+    facts = _facts(spark, sf_dir, "l_orderkey", *b.MEASURES).withColumns(
+        {
+            "has_moisture": F.when(F.col("moisture_pct").isNotNull(), 1.0).otherwise(0.0),
+            "recyclable": F.when(F.col("recyclable") == 1, 1.0).otherwise(0.0),
+        }
+    )
+    measures = {**agg.KPI_MEASURES, "moisture_count": "has_moisture"}
+    return agg.totals_through(
+        facts, b.area_dim(spark, sf_dir), "l_orderkey", ["area"], measures, count_as="collections", digits=6
+    )
+
+
 @query
 def dashboard_snapshot(spark, sf_dir):
     return dashboard.dashboard_snapshot(
-        _facts(spark, sf_dir, *b.MEASURES),
+        _type_totals(spark, sf_dir),
+        _area_key_figures(spark, sf_dir),
+        b.reports(_events(spark, sf_dir)),
+    )
+
+
+@query
+def dashboard_lines(spark, sf_dir):
+    return dashboard.dashboard_lines(
         _type_totals(spark, sf_dir),
         _area_totals(spark, sf_dir),
         b.reports(_events(spark, sf_dir)),
@@ -323,6 +363,23 @@ def histogram(spark, sf_dir):
     return eda.histogram(_facts(spark, sf_dir, "volume_liters"), "volume_liters")
 
 
+@query
+def histogram_weight(spark, sf_dir):
+    """Weights as shown in the notebook: the bins, and the mean beside each."""
+    return _histogram_with_mean(spark, sf_dir, "weight_kg")
+
+
+@query
+def histogram_moisture(spark, sf_dir):
+    return _histogram_with_mean(spark, sf_dir, "moisture_pct")
+
+
+def _histogram_with_mean(spark: SparkSession, sf_dir: str, column: str) -> DataFrame:
+    facts = _facts(spark, sf_dir, column)
+    mean = facts.agg(fc.half_even(agg.exact_mean(column), 2)).scalar()
+    return eda.histogram(facts, column).withColumn("mean", mean)
+
+
 @query
 def correlation_pairs(spark, sf_dir):
     columns = [*b.MEASURES, "month"]
@@ -533,68 +590,251 @@ def insert_if_absent(spark, sf_dir):
     return _stored_predictions(spark, path)
 
 
-# -- models: no SQL form --------------------------------------------------------
+# -- models ---------------------------------------------------------------------
+
+
+def _kept(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """Where this application keeps a model or table made from the tables, so that
+    several queries share it."""
+    return kept_path(spark, f"{hashlib.md5(sf_dir.encode()).hexdigest()}/{name}")
+
+
+def _kept_table(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    path = _kept(spark, sf_dir, name)
+    stored = tables.read_or_none(spark, path)
+    if stored is None:
+        make().write.parquet(path)
+        stored = spark.read.parquet(path)
+    return stored
+
+
+def _labelled_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows classifiers learn from, with id, exact split and exact folds."""
 
+    def make() -> DataFrame:
+        columns = ["waste_type", *FEATURES]
+        rows = b.collections(spark, sf_dir, ["l_orderkey", "l_partkey", *columns])
+        digest = seeded_digest(F.concat_ws("-", "l_orderkey", "l_partkey"), 42).alias("digest")
+        order = ["digest", *FEATURES]
+        chosen = rows.filter("waste_type IS NOT NULL").select(digest, *columns)
+        chosen = chosen.orderBy(*order).limit(CLASSIFIER_ROWS)
+        numbered = number_aggregate(chosen, order, "id").select("id", *columns)
+        parted = split.stratified_split(numbered, "waste_type", "id")
+        return split.stratified_folds(parted, "waste_type", "id", seed=7)
 
-def _training_rows(spark: SparkSession, sf_dir: str, *parts: str) -> DataFrame:
-    """All collections, equal rows collapsed into one with a weight, stored once.
+    cores = spark.sparkContext.defaultParallelism
+    return materialize(_kept_table(spark, sf_dir, "labelled_rows", make).repartition(cores, "id"))
 
-    ``parts`` asks for the split, the fold, or both; rows collapse less with them.
-    """
-    columns = ["l_orderkey", "l_partkey", "waste_type", *b.MEASURES, "material_type"]
-    rows = b.collections(spark, sf_dir, columns)
-    key = F.concat_ws("-", "l_orderkey", "l_partkey")
-    parted = split.assign_folds(split.hash_split(rows.withColumn("key", key), "key"), "key", seed=7)
-    return classify.collapse(parted, ["waste_type", *FEATURES, *parts])
 
+def _kinds() -> dict[str, Callable[[DataFrame], PipelineModel]]:
+    """The classifiers compared.  The forest draws records; the others see equal
+    rows once, with their number as weight."""
+    columns = ["waste_type", *FEATURES]
 
-def _forest_model(rows: DataFrame) -> PipelineModel:
-    return classify.train_classifier(rows, classify.forest(TREES, DEPTH, BINS))
+    def weighed(df: DataFrame, classifier) -> PipelineModel:
+        return classify.train_classifier(classify.collapse(df, columns), classifier)
+
+    return {
+        "Random Forest": lambda df: classify.train_classifier(df, classify.forest(TREES, DEPTH, BINS)),
+        "Decision Tree": lambda df: weighed(df, classify.tree(8, BINS)),
+        "Logistic Regression": lambda df: weighed(df, classify.logistic(df.count())),
+    }
+
+
+def _classifier(spark: SparkSession, sf_dir: str, kind: str = "Random Forest") -> PipelineModel:
+    """Trained on the training rows by the first query that asks, then loaded."""
+
+    def train() -> PipelineModel:
+        return _kinds()[kind](_labelled_rows(spark, sf_dir).filter("split = 'train'"))
+
+    return models.load_or_train(_kept(spark, sf_dir, kind.replace(" ", "_")), train)
+
+
+def _test_confusion(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """Predictions of a classifier for the test rows, against their labels."""
+    tested = _labelled_rows(spark, sf_dir).filter("split = 'test'")
+    scored = classify.score(tested, _classifier(spark, sf_dir, kind))
+    return evaluate.confusion_matrix(scored, "waste_type", "predicted_type", b.ALL_TYPES)
 
 
 @query
 def rf_classify(spark, sf_dir):
-    rows = _training_rows(spark, sf_dir, "split")
-    model = _forest_model(rows.filter("split = 'train'"))
-    scored = classify.score(rows.filter("split = 'test'"), model)
-    return evaluate.confusion_matrix(
-        scored, "waste_type", "predicted_type", b.ALL_TYPES, classify.WEIGHT
-    )
+    return _test_confusion(spark, sf_dir, "Random Forest")
+
+
+@query
+def rf_classify_support(spark, sf_dir):
+    """What SQL can know of ``rf_classify``: the test rows of each class."""
+    cells = rf_classify(spark, sf_dir)
+    return cells.groupBy("label").agg(F.sum("n").cast("bigint").alias("support"))
 
 
 @query
 def score_batch(spark, sf_dir):
-    path = fresh_path(spark, "classifier")
-    models.load_or_train(path, lambda: _forest_model(_training_rows(spark, sf_dir)))
-    model = models.load_model(path)
-    good, _ = classify.classify_requests(b.requests(_events(spark, sf_dir)), model)
+    good, _ = classify.classify_requests(b.requests(_events(spark, sf_dir)), _classifier(spark, sf_dir))
     return good.select("id", *scoring.RESULT)
 
 
+@query
+def score_batch_ids(spark, sf_dir):
+    """What SQL can know of ``score_batch``: who is scored, with a known type, a
+    probability, and the advice of that type."""
+    known = F.col("predicted_type").isin(b.ALL_TYPES) & F.col("confidence").between(0, 1)
+    return score_batch(spark, sf_dir).select("id", (known & F.col("recommendation").isNotNull()).alias("valid"))
+
+
 @query
 def feature_importance(spark, sf_dir):
-    return classify.feature_importance(spark, _forest_model(_training_rows(spark, sf_dir)))
+    return classify.feature_importance(spark, _classifier(spark, sf_dir))
+
+
+@query
+def feature_importance_sum(spark, sf_dir):
+    shares = feature_importance(spark, sf_dir)
+    return shares.agg(F.count("*").alias("features"), F.round(F.sum("importance"), 6).alias("total"))
+
+
+def _comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def make() -> DataFrame:
+        return evaluate.compare_models(_labelled_rows(spark, sf_dir), _kinds())
+
+    return _kept_table(spark, sf_dir, "comparison", make).orderBy(F.desc("cv_mean"), F.desc("model"))
 
 
 @query
 def model_comparison(spark, sf_dir):
-    rows = _training_rows(spark, sf_dir, "split", "fold")
-    n = rows.agg(F.sum(classify.WEIGHT)).first()[0]
-    kinds = {
-        "Random Forest": lambda df: _forest_model(df),
-        "Decision Tree": lambda df: classify.train_classifier(df, classify.tree(DEPTH, BINS)),
-        "Logistic Regression": lambda df: classify.train_classifier(df, classify.logistic(n)),
-    }
-    return evaluate.compare_models(rows, kinds, weight=classify.WEIGHT)
+    return _comparison(spark, sf_dir)
 
 
 @query
-def rf_forecast(spark, sf_dir):
+def model_comparison_rows(spark, sf_dir):
+    """What SQL can know of ``model_comparison``: the models, with shares as scores."""
+    shares = F.col("test_accuracy").between(0, 1) & F.col("cv_mean").between(0, 1) & (F.col("cv_std") >= 0)
+    return model_comparison(spark, sf_dir).select("model", shares.alias("valid"))
+
+
+def _best_kind(spark: SparkSession, sf_dir: str) -> str:
+    return evaluate.best_model(_comparison(spark, sf_dir)).first()["model"]
+
+
+@query
+def best_model_confusion(spark, sf_dir):
+    """The matrix of the best model's own predictions for the test rows."""
+    return _test_confusion(spark, sf_dir, _best_kind(spark, sf_dir))
+
+
+@query
+def best_model_report(spark, sf_dir):
+    return evaluate.classification_report(best_model_confusion(spark, sf_dir))
+
+
+@query
+def best_model_support(spark, sf_dir):
+    """What SQL can know of ``best_model_report``: support of each line."""
+    return best_model_report(spark, sf_dir).select("name", "support")
+
+
+def _volume_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All records with their key and an 80/20 split that SQL can repeat."""
+    columns = ["l_orderkey", "l_partkey", *fc.FEATURES, "volume_liters"]
+    rows = b.collections(spark, sf_dir, columns).filter("volume_liters IS NOT NULL")
+    keyed = rows.withColumn("key", F.concat_ws("-", "l_orderkey", "l_partkey"))
+    return split.hash_split(keyed, "key").drop("l_orderkey", "l_partkey")
+
+
+def _volume_model(spark: SparkSession, sf_dir: str) -> PipelineModel:
+    def train() -> PipelineModel:
+        rows = _volume_records(spark, sf_dir).filter("split = 'train'")
+        return fc.train_volume(materialize(rows.drop("key")), TREES, VOLUME_DEPTH, BINS)
+
+    return models.load_or_train(_kept(spark, sf_dir, "volume"), train)
+
+
+def _volume_tested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tested = _volume_records(spark, sf_dir).filter("split = 'test'")
+    return fc.predict_volume(tested, _volume_model(spark, sf_dir))
+
+
+@query
+def volume_model_metrics(spark, sf_dir):
+    return evaluate.regression_metrics(_volume_tested(spark, sf_dir), "volume_liters", "predicted")
+
+
+@query
+def volume_model_support(spark, sf_dir):
+    """What SQL can know of the evaluation: test rows, all of them predicted."""
+    return volume_model_metrics(spark, sf_dir).select("n")
+
+
+@query
+def volume_model_errors(spark, sf_dir):
+    tested = _volume_tested(spark, sf_dir)
+    return evaluate.prediction_errors(tested, "key", "volume_liters", "predicted", ties=["volume_liters"])
+
+
+@query
+def volume_model_samples(spark, sf_dir):
+    """What SQL can know of ``volume_model_errors``: which rows are shown."""
+    return volume_model_errors(spark, sf_dir).select("key", "actual")
+
+
+def _volume_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    error = F.col("volume_liters") - F.col("predicted")
+    return materialize(_volume_tested(spark, sf_dir).select(error.alias("error"), F.lit(0.0).alias("none")))
+
+
+@query
+def volume_residuals(spark, sf_dir):
+    """The histogram of the model's residuals, their mean and spread beside it."""
+    errors = _volume_errors(spark, sf_dir)
+    stats = eda.residual_stats(errors, "error", "none").select(F.col("mean"), F.col("std"))
+    return eda.histogram(errors, "error", 20).join(F.broadcast(stats))
+
+
+@query
+def volume_residual_rows(spark, sf_dir):
+    """What SQL can know of the histogram: 20 bins that hold all test rows."""
+    bins = eda.histogram(_volume_errors(spark, sf_dir), "error", 20)
+    return bins.agg(F.count("*").alias("bins"), F.sum("n").cast("bigint").alias("n"))
+
+
+def _forecast(spark: SparkSession, sf_dir: str, model: PipelineModel | None) -> DataFrame:
+    """Seven days for each area; an area without a name has no features, so the
+    model has no value for it."""
     daily = _daily_volumes(spark, sf_dir)
-    grid = _grid(daily)
-    model = fc.train_volume(fc.volume_cells(daily), TREES, max_depth=10, max_bins=BINS, by_cell=True)
-    fallback = fc.fallback_forecast(grid, fc.base_volumes(daily), fc.day_multipliers(daily))
-    forecast = fc.with_fallback(fc.model_forecast(grid, model), fallback)
+    areas = daily.select("area").distinct()
+    unnamed = areas.limit(1).select(F.lit(None).cast("string").alias("area"))
+    grid = fc.forecast_grid(areas.unionAll(unnamed), _as_of(daily))
+    base = fc.base_volumes(daily)
+    usual = base.agg(F.avg("base_volume")).scalar()
+    factors = fc.day_multipliers(daily)
+    named = fc.fallback_forecast(grid.filter("area IS NOT NULL"), base, factors)
+    other = grid.filter("area IS NULL").withColumn("predicted_volume", fc.half_even(usual, 1))
+    return fc.forecast_volumes(grid, model, named.unionByName(other))
+
+
+@query
+def rf_forecast(spark, sf_dir):
+    forecast = _forecast(spark, sf_dir, _volume_model(spark, sf_dir))
+    return forecast.select("area", iso("prediction_date"), "predicted_volume")
+
+
+@query
+def rf_forecast_keys(spark, sf_dir):
+    """What SQL can know of ``rf_forecast``: areas and days, each with a volume; the
+    days of the area without features are the fallback's."""
+    forecast = rf_forecast(spark, sf_dir)
+    own = F.when(F.col("area").isNull(), F.col("predicted_volume"))
+    return forecast.select(
+        "area", "prediction_date", (F.col("predicted_volume") > 0).alias("valid"), own.alias("fallback_volume")
+    )
+
+
+@query
+def forecast_without_model(spark, sf_dir):
+    """No model is stored where this looks, so all of the grid falls back."""
+    model = models.load_or_none(fresh_path(spark, "no_model"))
+    forecast = _forecast(spark, sf_dir, model).filter("area IS NOT NULL")
     return forecast.select("area", iso("prediction_date"), "predicted_volume")
 
 
@@ -622,25 +862,50 @@ def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run.read_table_stream(spark, f"{sf_dir}/events.parquet")
 
 
+def _scattered_events(spark: SparkSession, sf_dir: str, files: int = 8) -> DataFrame:
+    """All events as a stream of files which each hold events of all times, a few
+    files per batch: arrival has nothing to do with event time."""
+    path = fresh_path(spark, "scattered")
+    _events(spark, sf_dir).repartition(files, F.xxhash64("event_id")).write.parquet(path)
+    return run.read_table_stream(spark, path, files_per_batch=3)
+
+
 @query
 def stream_report_intake(spark, sf_dir):
     out, state = fresh_path(spark, "reports"), fresh_path(spark, "state")
-    intake.store_intake(b.reports(_event_stream(spark, sf_dir)), out, state)
+    intake.store_intake(b.reports(_scattered_events(spark, sf_dir)), out, state)
     return spark.read.parquet(out).withColumn("created_at", stamp("created_at"))
 
 
 @query
 def stream_daily_counts(spark, sf_dir):
     out, state = fresh_path(spark, "daily"), fresh_path(spark, "state")
-    intake.store_daily_counts(b.reports(_event_stream(spark, sf_dir)), out, state)
-    return spark.read.parquet(out).withColumn("day", iso("day"))
+    intake.store_daily_counts(b.reports(_scattered_events(spark, sf_dir)), out, state)
+    return intake.read_counts(spark, out).withColumn("day", iso("day"))
 
 
 @query
 def stream_status_counts(spark, sf_dir):
     out, state = fresh_path(spark, "totals"), fresh_path(spark, "state")
-    intake.store_running_counts(b.reports(_event_stream(spark, sf_dir)), out, state)
-    return spark.read.parquet(out)
+    intake.store_running_counts(b.reports(_scattered_events(spark, sf_dir)), out, state)
+    return intake.read_counts(spark, out)
+
+
+@query
+def stream_model_scoring(spark, sf_dir):
+    """As ``stream_scoring``, by the stored classifier."""
+    out, state = fresh_path(spark, "scored"), fresh_path(spark, "state")
+    model = _classifier(spark, sf_dir)
+    scoring.score_stream(b.requests(_event_stream(spark, sf_dir)), out, state, model)
+    return spark.read.parquet(out).select("id", "outcome", *scoring.RESULT)
+
+
+@query
+def stream_model_scoring_rows(spark, sf_dir):
+    """What SQL can know of it: the outcome of each request, and that scored ones
+    have a known type."""
+    rows = stream_model_scoring(spark, sf_dir)
+    return rows.select("id", "outcome", F.col("predicted_type").isin(b.ALL_TYPES).alias("typed"))
 
 
 @query

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections import defaultdict
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders handed out by ``fresh_path``, by application.
+_HANDED_OUT: dict[str, list[str]] = defaultdict(list)
+
 
 def build_session(app: str = "curbside", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators count on.
@@ -21,6 +25,11 @@ def build_session(app: str = "curbside", master: str | None = None, **conf: str)
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # Files of a checkpoint go when no frame refers to it any more.
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+        "spark.sql.streaming.stateStore.providerClass": (
+            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+        ),
         **conf,
     }
     builder = SparkSession.builder.appName(app)
@@ -52,8 +61,29 @@ def work_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder which nothing else uses."""
-    return f"{work_dir(spark)}/curbside-{uuid.uuid4().hex}/{name}"
+    """A path in the shared folder which nothing else uses, until ``clean_up``."""
+    folder = f"{work_dir(spark)}/curbside-{uuid.uuid4().hex}"
+    _HANDED_OUT[spark.sparkContext.applicationId].append(folder)
+    return f"{folder}/{name}"
+
+
+def kept_path(spark: SparkSession, name: str) -> str:
+    """A path which all queries of this application share, as for a trained model."""
+    return f"{work_dir(spark)}/curbside-kept-{spark.sparkContext.applicationId}/{name}"
+
+
+def clean_up(spark: SparkSession, kept: bool = False) -> int:
+    """Delete what this application wrote under ``fresh_path``: scratch tables,
+    stream state, stored results; and with ``kept`` what is under ``kept_path``.
+    To be called when the results that were read from there are no longer needed.
+    Gives the number of folders."""
+    folders = _HANDED_OUT.pop(spark.sparkContext.applicationId, [])
+    folders += [kept_path(spark, "")] if kept else []
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(hadoop).delete(path, True)
+    return len(folders)
 
 
 def materialize(df: DataFrame) -> DataFrame:

@@ -36,8 +36,11 @@ def assign_dates(
     id_column: str = "id",
     name: str = "collection_date",
 ) -> DataFrame:
-    """The n-th record (from 0) is dated n days before ``as_of``; ids are dense from 1."""
-    back = (F.col(id_column) - 1).cast("int")
+    """The n-th record (from 0) is dated n days before ``as_of``; ids are dense from 1.
+
+    A record so far back that no date can say it has none.
+    """
+    back = (F.col(id_column).cast("bigint") - 1).try_cast("int")
     return df.withColumn(name, F.date_sub(as_date(as_of), back))
 
 

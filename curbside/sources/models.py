@@ -17,11 +17,18 @@ def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
-def load_or_train(path: str, train: Callable[[], PipelineModel]) -> PipelineModel:
-    """The stored model, or a newly trained one if it is missing or unreadable."""
+def load_or_none(path: str) -> PipelineModel | None:
+    """The stored model, or none if it is missing or unreadable."""
     try:
         return load_model(path)
     except (Py4JJavaError, PySparkException, ValueError):
+        return None
+
+
+def load_or_train(path: str, train: Callable[[], PipelineModel]) -> PipelineModel:
+    """The stored model, or a newly trained one if it is missing or unreadable."""
+    model = load_or_none(path)
+    if model is None:
         model = train()
         save_model(model, path)
-        return model
+    return model

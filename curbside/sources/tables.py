@@ -5,9 +5,12 @@ There is no transaction log, so each table has one writer at a time.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from curbside.operators.quality import keep_first
 from curbside.session import materialize
 
 
@@ -37,20 +40,42 @@ def append(df: DataFrame, path: str, partition_by: list[str] | None = None) -> N
     df.write.mode("append").partitionBy(*(partition_by or [])).parquet(path)
 
 
-def only_absent(new: DataFrame, present: DataFrame, keys: list[str], day: str | None = None) -> DataFrame:
-    """Rows of ``new`` whose key is not in ``present``; one row per key.
+def only_absent(
+    new: DataFrame,
+    present: DataFrame,
+    keys: list[str],
+    day: str | None = None,
+    order_by: list[str] | None = None,
+) -> DataFrame:
+    """Rows of ``new`` whose key is not in ``present``; one row per key, the first
+    in ``order_by`` (by default in the order of the other columns).
 
-    With ``day``, the partition column, only the days found in ``new`` are read.
+    Keys are compared with null as a value like others, so that a row with a null
+    key is found again as well.  With ``day``, the partition column, only the days
+    found in ``new`` are read.
     """
-    new = materialize(new.dropDuplicates(keys))
+    new = materialize(first_of_key(new, keys, order_by))
     if day is not None:
-        low, high = new.agg(F.min(day), F.max(day)).first()
-        present = present.filter(F.col(day).between(F.lit(low), F.lit(high)))
-    return new.join(present.select(*keys), keys, "left_anti")
+        low, high, some = new.agg(F.min(day), F.max(day), F.count_if(F.col(day).isNull())).first()
+        inside = F.col(day).between(F.lit(low), F.lit(high))
+        present = present.filter(inside | F.col(day).isNull() if some else inside)
+    old = present.select(*[F.col(k).alias(f"__{k}") for k in keys])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
+    return new.join(old, same, "left_anti")
+
+
+def first_of_key(new: DataFrame, keys: list[str], order_by: list[str] | None = None) -> DataFrame:
+    """One row per key."""
+    rest = [c for c in new.columns if c not in keys]
+    return keep_first(new, keys, rest if order_by is None else order_by) if rest else new.distinct()
 
 
 def insert_if_absent(
-    new: DataFrame, path: str, keys: list[str], partition_by: str | None = None
+    new: DataFrame,
+    path: str,
+    keys: list[str],
+    partition_by: str | None = None,
+    order_by: list[str] | None = None,
 ) -> None:
     """Append rows with a new key.  Rows already there stay as they are.
 
@@ -58,8 +83,8 @@ def insert_if_absent(
     """
     present = read_or_none(new.sparkSession, path)
     if present is None:
-        rows = new.dropDuplicates(keys)
+        rows = first_of_key(new, keys, order_by)
     else:
         # The files of the table are listed here, so those added are not read.
-        rows = only_absent(new, present, keys, partition_by)
+        rows = only_absent(new, present, keys, partition_by, order_by)
     append(rows, path, [partition_by] if partition_by else None)

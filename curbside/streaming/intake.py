@@ -1,57 +1,73 @@
-"""Report intake and live status counts."""
+"""Report intake and live counts.
+
+No report is lost, whatever the order in which files arrive: nothing is thrown
+away for being old.  Repeats are recognised by a keyed state that holds every id
+seen, spread over the partitions of the state store; give the session the RocksDB
+provider (``build_session`` does) and it lives on disk.
+
+Counts are written as one folder of partial counts per batch and summed when they
+are read.  A batch that is run again after a crash replaces its own folder, so it
+counts once; no table is ever replaced as a whole.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from curbside.operators.reports import clean_reports
 from curbside.streaming.run import drain
 
 
-def intake(reports: DataFrame, delay: str = "1 hour", keys: tuple[str, ...] = ("id",)) -> DataFrame:
-    """Cleaned reports, each once.
+def once(reports: DataFrame, keys: tuple[str, ...] = ("id",)) -> DataFrame:
+    """Each report once: the first to arrive.  A report without a key is no
+    repeat of another."""
+    missing = F.expr(" OR ".join(f"`{k}` IS NULL" for k in keys))
+    own = F.when(missing, F.uuid())
+    return reports.withColumn("__own", own).dropDuplicates([*keys, "__own"]).drop("__own")
+
 
-    A repeat is recognised while its event time is within the watermark; the
-    state holds only keys younger than that.
-    """
-    once = reports.withWatermark("created_at", delay).dropDuplicatesWithinWatermark(list(keys))
-    return clean_reports(once)
+def intake(reports: DataFrame, keys: tuple[str, ...] = ("id",)) -> DataFrame:
+    """Cleaned reports, each once."""
+    return clean_reports(once(reports, keys))
 
 
-def store_intake(reports: DataFrame, out: str, checkpoint: str, delay: str = "1 hour") -> None:
+def store_intake(reports: DataFrame, out: str, checkpoint: str) -> None:
     """Append to a Parquet table; its commit log makes each batch count once."""
-    writer = intake(reports, delay).writeStream.format("parquet").outputMode("append")
+    writer = intake(reports).writeStream.format("parquet").outputMode("append")
     drain(writer.option("path", out), checkpoint)
 
 
 def daily_status_counts(
-    reports: DataFrame, delay: str | None = "1 hour", time: str = "created_at", status: str = "status"
+    reports: DataFrame, time: str = "created_at", status: str = "status"
 ) -> DataFrame:
-    """Reports per day and status, for a stream or, with ``delay=None``, a batch."""
-    source = reports if delay is None else reports.withWatermark(time, delay)
-    return (
-        source.groupBy(F.window(time, "1 day"), status)
-        .agg(F.count("*").alias("n"))
-        .select(F.col("window.start").alias("day"), status, "n")
-    )
-
-
-def store_daily_counts(reports: DataFrame, out: str, checkpoint: str, delay: str = "1 hour") -> None:
-    """Only closed days are written; the last one stays open until time moves on."""
-    writer = daily_status_counts(reports, delay).writeStream.format("parquet").outputMode("append")
-    drain(writer.option("path", out), checkpoint)
+    """Reports per day and status."""
+    day = F.to_date(time).alias("day")
+    return reports.groupBy(day, status).agg(F.count("*").alias("n"))
 
 
-def running_status_counts(reports: DataFrame, status: str = "status") -> DataFrame:
-    """Totals since the start, for an update or complete sink."""
+def status_counts(reports: DataFrame, status: str = "status") -> DataFrame:
     return reports.groupBy(status).agg(F.count("*").alias("n"))
 
 
+def _store_counts(reports: DataFrame, counts, out: str, checkpoint: str) -> None:
+    def add(batch: DataFrame, batch_id: int) -> None:
+        counts(batch).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    drain(once(reports).writeStream.outputMode("append").foreachBatch(add), checkpoint)
+
+
+def store_daily_counts(reports: DataFrame, out: str, checkpoint: str) -> None:
+    """Counts of every day, the newest and late additions to old ones included."""
+    _store_counts(reports, daily_status_counts, out, checkpoint)
+
+
 def store_running_counts(reports: DataFrame, out: str, checkpoint: str) -> None:
-    """Replace the table of totals with each batch; one row per status."""
+    """Totals since the start."""
+    _store_counts(reports, status_counts, out, checkpoint)
 
-    def replace(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
 
-    writer = running_status_counts(reports).writeStream.outputMode("complete").foreachBatch(replace)
-    drain(writer, checkpoint)
+def read_counts(spark: SparkSession, out: str) -> DataFrame:
+    """The stored counts of all batches together."""
+    parts = spark.read.parquet(out)
+    groups = [c for c in parts.columns if c not in ("n", "batch")]
+    return parts.groupBy(*groups).agg(F.sum("n").alias("n"))

@@ -7,7 +7,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
-from curbside.session import build_session  # noqa: E402
+from curbside.session import build_session, clean_up  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -24,6 +24,7 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    clean_up(session, kept=True)
     session.stop()
 
 

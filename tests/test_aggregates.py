@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from curbside.operators import aggregates as agg
-from curbside.plans.dashboard import dashboard_snapshot
+from curbside.plans.dashboard import dashboard_lines, dashboard_snapshot
 from tests import fixtures as fx
 
 
@@ -37,7 +37,14 @@ def test_pivot_is_the_long_form(spark):
 def test_an_empty_cell_of_the_pivot_is_zero(spark):
     cells = spark.createDataFrame([("a", "x", 1.0), ("b", "y", 2.0)], "area string, t string, kg double")
     got = agg.pivot_totals(cells, "area", "t", "kg", ["x", "y", "z"]).orderBy("area").collect()
-    assert [tuple(r) for r in got] == [("a", 1.0, 0.0, 0.0), ("b", 0.0, 2.0, 0.0)]
+    assert [tuple(r) for r in got] == [("a", 1.0, 0.0, 0.0, 0.0), ("b", 0.0, 2.0, 0.0, 0.0)]
+
+
+def test_what_is_not_declared_goes_to_other(spark):
+    rows = [("a", "x", 1.0), ("a", "new", 5.0), ("a", "newer", 2.0), ("a", None, 0.5), ("b", "y", 2.0)]
+    cells = spark.createDataFrame(rows, "area string, t string, kg double")
+    got = agg.pivot_totals(cells, "area", "t", "kg", ["x", "y"]).orderBy("area").collect()
+    assert [tuple(r) for r in got] == [("a", 1.0, 0.0, 7.5), ("b", 0.0, 2.0, 0.0)]
 
 
 def test_kpi_row(sample):
@@ -76,8 +83,7 @@ def test_matrix_from_the_margins(spark):
     cells = fx.cells(spark)
     by_area = agg.totals_by(cells, ["area"], {"total_kg": "weight_kg"})
     by_type = agg.totals_by(cells, ["waste_type"], {"total_kg": "weight_kg"})
-    totals = agg.declared_totals(by_type, "waste_type", "total_kg", fx.TYPES)
-    got = {(r["area"], r["waste_type"]): r for r in agg.matrix_estimate(by_area, totals).collect()}
+    got = {(r["area"], r["waste_type"]): r for r in agg.matrix_estimate(by_area, by_type).collect()}
     assert len(got) == 25
     assert got["Clock Tower", "Organic"]["estimate"] == 6.7
     assert got["Clock Tower", "Organic"]["intensity"] == 1.0
@@ -96,11 +102,34 @@ def test_group_total_repeats_the_total(sample):
         assert r["d"] == 1 and r["t"] == pytest.approx(r["s"])
 
 
+def area_key_figures(sample):
+    facts = sample.withColumns({"has_moisture": F.lit(1.0), "recyclable": F.col("recyclable").cast("double")})
+    measures = {**agg.KPI_MEASURES, "moisture_count": "has_moisture"}
+    return agg.totals_by(facts, ["area"], measures, "collections", digits=6)
+
+
+def test_lines_hold_the_items_of_the_document_however_many(spark, sample):
+    many = spark.range(12_000).select(
+        F.concat(F.lit("type "), F.col("id")).alias("waste_type"),
+        F.col("id").cast("double").alias("total_kg"),
+        F.lit(1.0).alias("total_volume"),
+    )
+    reports = spark.createDataFrame([("pending",)], "status string")
+    areas = agg.totals_by(sample, ["area"], count_as="collections")
+    lines = dashboard_lines(many, areas, reports)
+    types = lines.filter("section = 'waste_by_type'")
+    assert types.count() == 12_000
+    first = json.loads(types.orderBy("position").first()["item"])
+    assert first == {"waste_type": "type 11999", "total_kg": 11999.0, "total_volume": 1.0}
+    doc = json.loads(dashboard_snapshot(many, area_key_figures(sample), reports).first()[0])
+    assert len(doc["waste_by_type"]) == 12_000
+
+
 def test_snapshot_is_one_json_document(spark, sample):
     by_type = agg.totals_by(sample, ["waste_type"])
-    by_area = agg.totals_by(sample, ["area"], count_as="collections")
+    by_area = area_key_figures(sample)
     reports = spark.createDataFrame([("pending",), ("pending",), ("resolved",)], "status string")
-    doc = json.loads(dashboard_snapshot(sample, by_type, by_area, reports).first()[0])
+    doc = json.loads(dashboard_snapshot(by_type, by_area, reports).first()[0])
     assert set(doc) == {
         "waste_by_type", "waste_by_area", "reports_summary", "stats", "total_reports", "collection_schedule",
     }
@@ -109,6 +138,8 @@ def test_snapshot_is_one_json_document(spark, sample):
     assert sum(kgs) == pytest.approx(doc["stats"]["total_waste_kg"])
     assert doc["reports_summary"] == [{"status": "pending", "count": 2}, {"status": "resolved", "count": 1}]
     assert doc["total_reports"] == 3
-    empty = json.loads(dashboard_snapshot(sample.limit(0), by_type.limit(0), by_area.limit(0), reports).first()[0])
+    want = agg.kpi_stats(sample).first().asDict()
+    assert doc["stats"] == pytest.approx(want)
+    empty = json.loads(dashboard_snapshot(by_type.limit(0), by_area.limit(0), reports).first()[0])
     assert empty["stats"]["total_waste_kg"] is None and empty["collection_schedule"] == []
     assert [x["time"] for x in doc["collection_schedule"]] == ["6:00 AM", "8:00 AM", "10:00 AM", "12:00 PM", "2:00 PM"]

@@ -62,8 +62,39 @@ def test_codes(spark):
     no_default = {r["m"]: r["code"] for r in cl.encode_category(df, "m", codes, "code").collect()}
     assert no_default == {"silica": 3, "granite": None, None: None}
     assert {tuple(r) for r in cl.label_codes(df, "m").collect()} == {("granite", 0), ("silica", 1)}
-    with pytest.raises(ValueError):
-        cl.label_codes(df, "m", limit=1)
+    many = spark.range(12_000).select(F.format_string("%05d", "id").alias("m"))
+    for max_rows in (None, 10):
+        codes = cl.label_codes(many, "m", max_rows)
+        assert codes.filter("code <> cast(m AS bigint)").count() == 0 and codes.count() == 12_000
+
+
+@pytest.mark.parametrize("kind,value,want", [
+    ("double", 1.0, 1), ("double", 1.7, 1), ("bigint", 1, 1), ("int", 0, 0), ("string", "1", 1),
+])
+def test_numbers_are_taken_as_they_are(spark, kind, value, want):
+    df = spark.createDataFrame(
+        [(2.5, 10, value, "ferrous"), (None, None, None, None)],
+        f"weight_kg double, moisture_pct int, recyclable {kind}, material_type string",
+    )
+    good, bad = cl.split_failed(cl.clean_requests(df))
+    assert bad.count() == 0
+    assert sorted(r["recyclable"] for r in good.collect()) == sorted([want, 1])
+
+
+def test_text_that_is_no_whole_number_is_set_aside(spark):
+    df = spark.createDataFrame(
+        [("1", "2", x, "ferrous") for x in ("1.5", "yes", "", "1")],
+        "weight_kg string, moisture_pct string, recyclable string, material_type string",
+    )
+    assert cl.clean_requests(df).filter("cast_failed = 1").count() == 3
+
+
+def test_rows_without_a_label_are_left_out_of_training(sample):
+    used = ["waste_type", "weight_kg", "moisture_pct", "recyclable", "material_type"]
+    rows = sample.select(*used)
+    blank = rows.limit(50).withColumn("waste_type", F.lit(None).cast("string"))
+    model = cl.train_classifier(rows.unionByName(blank), cl.tree(4))
+    assert "null" not in model.stages[0].labels and len(model.stages[0].labels) == 5
 
 
 @pytest.fixture(scope="module")

@@ -96,6 +96,23 @@ def test_stratified_split_is_exact(labelled):
     assert sum(n for (_, s), n in sizes.items() if s == "test") == 201
 
 
+def test_split_with_more_classes_than_one_task_sorts(spark, monkeypatch):
+    rows = spark.range(3000).select("id", F.when(F.col("id") < 2000, F.col("id").cast("string")).alias("y"))
+    monkeypatch.setattr("curbside.operators.scale.ONE_TASK_ROWS", 100)
+    got = split.stratified_split(rows, "y", "id")
+    # 1000 rows have no label: a class of its own, 200 of it tested; 400 of the others.
+    sizes = {(r["none"], r["split"]): r["count"] for r in got.groupBy(F.col("y").isNull().alias("none"), "split").count().collect()}
+    assert sizes == {(True, "test"): 200, (True, "train"): 800, (False, "test"): 400, (False, "train"): 1600}
+    folds = split.stratified_folds(rows, "y", "id")
+    assert folds.count() == 3000 and folds.filter("y IS NULL").groupBy("fold").count().agg(F.max("count")).first()[0] == 200
+
+
+@pytest.mark.parametrize("prefix", [1, 2, 8])
+def test_the_cut_does_not_depend_on_the_stretches(labelled, prefix):
+    a, b = split.stratified_split(labelled, "y", "id"), split.stratified_split(labelled, "y", "id", prefix=prefix)
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
 def test_splits_do_not_depend_on_the_partitions(labelled):
     for f in (
         lambda df: split.stratified_split(df, "y", "id"),

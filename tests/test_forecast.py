@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from curbside.functions import lookups
-from curbside.operators import forecast as fc
-from curbside.operators.aggregates import totals_by
+from curbside.operators import evaluate as ev, forecast as fc, split
+from tests import fixtures as fx
 
 AS_OF = "2024-02-27"  # a Tuesday
 
@@ -81,26 +81,48 @@ def test_capacity_bands(spark):
     assert got[200.0][0] == 100.0
 
 
-def test_cells_split_like_records_would(spark, sample, grid):
-    """One tree on weighted cells predicts what one tree on all records does."""
-    first_monday = F.lit("2024-01-01").cast("date")
-    dated = sample.drop("day_of_week", "month").withColumn(
-        "collection_date", F.date_add(first_monday, (F.col("id") * 13 % 200).cast("int"))
-    )
-    daily = totals_by(
-        dated, ["area", "collection_date"], {"total_volume": "volume_liters"}, count_as="collections"
-    )
-    cells = fc.volume_cells(daily)
-    assert cells.agg(F.sum("n_rows")).first()[0] == sample.count()
-    sample = dated.select(
-        "area", F.date_format("collection_date", "EEEE").alias("day_of_week"),
-        F.month("collection_date").alias("month"), "volume_liters",
+def test_the_trees_of_the_forest_differ(sample):
+    """Each tree draws its own records."""
+    model = fc.train_volume(sample, 12, 5)
+    assert len({t.toDebugString.split("\n", 1)[1] for t in model.stages[-1].trees}) > 6
+
+
+def test_the_model_tells_weekdays_apart_and_is_scored_on_rows_left_out(spark):
+    i = F.col("id")
+    day = F.element_at(F.array(*[F.lit(d) for d in fx.WEEK]), (i % 7 + 1).cast("int"))
+    rows = spark.range(1400).select(
+        F.lit("a").alias("area"), day.alias("day_of_week"), F.lit(1).alias("month"),
+        (i % 7 * 10 + i % 3).cast("double").alias("volume_liters"), i.alias("key"),
     )
-    by_cell = fc.train_volume(cells, 1, 5, by_cell=True)
-    by_row = fc.train_volume(sample, 1, 5, bootstrap=False)
-    a = fc.model_forecast(grid, by_cell).withColumnRenamed("predicted_volume", "v")
-    both = a.join(fc.model_forecast(grid, by_row), ["area", "prediction_date"])
-    assert both.filter("abs(v - predicted_volume) > 0.11").count() == 0
+    parted = split.hash_split(rows, "key")
+    model = fc.train_volume(parted.filter("split = 'train'"), 20, 6)
+    tested = fc.predict_volume(parted.filter("split = 'test'"), model)
+    r = ev.regression_metrics(tested, "volume_liters", "predicted").first()
+    assert r["n"] == parted.filter("split = 'test'").count() and r["r2"] > 0.95 and r["rmse"] < 1.5
+
+
+def test_no_model_and_null_features_take_the_fallback(spark, sample, grid, fallback):
+    model = fc.train_volume(sample, 3, 4)
+    same = ["area", "day_no", "predicted_volume"]
+    without = fc.forecast_volumes(grid, None, fallback)
+    assert sorted(without.select(same).collect()) == sorted(fallback.select(same).collect())
+    unknown = grid.withColumn("month", F.when(F.col("day_no") > 2, F.col("month")))
+    got = {(r["area"], r["day_no"]): r["predicted_volume"] for r in fc.forecast_volumes(unknown, model, fallback).collect()}
+    want = {(r["area"], r["day_no"]): r["predicted_volume"] for r in fallback.collect()}
+    by_model = {(r["area"], r["day_no"]): r["predicted_volume"] for r in fc.model_forecast(grid, model).collect()}
+    assert len(got) == 35
+    assert all(got[k] == (want if k[1] <= 2 else by_model)[k] for k in got)
+
+
+def test_noise_is_the_same_on_every_run(spark, grid):
+    base = spark.createDataFrame([(a, 100.0) for a in lookups.AREAS], "area string, base_volume double")
+    factors = lookups.day_multipliers(spark)
+    runs = [
+        sorted(fc.fallback_forecast(g, base, factors, noise=0.05).select("area", "day_no", "predicted_volume").collect())
+        for g in (grid, grid.repartition(5))
+    ]
+    plain = fc.fallback_forecast(grid, base, factors).select("area", "day_no", "predicted_volume")
+    assert runs[0] == runs[1] != sorted(plain.collect())
 
 
 def test_forest_forecast_with_fallback(spark, sample, grid, fallback):

@@ -56,3 +56,15 @@ def test_half_even_is_python_round(spark, x, digits):
 @pytest.mark.parametrize("x,want", [(2.5, 3.0), (-2.5, -2.0), (80.49, 80.0)])
 def test_half_up(spark, x, want):
     assert one(spark, num.half_up(F.lit(x))) == want
+
+
+def test_nan_counts_as_missing(spark):
+    df = spark.createDataFrame([(float("nan"),), (1.0,), (None,)], "v double")
+    assert tuple(map(float, df.agg(num.exact_sum("v"), num.exact_mean("v")).first())) == (1.0, 1.0)
+    assert df.filter("isnan(v)").agg(num.exact_sum("v")).first()[0] is None
+
+
+def test_places_are_a_parameter(spark):
+    df = spark.createDataFrame([(4e-7,), (4e-7,)], "v double")
+    assert df.agg(num.exact_sum("v")).first()[0] == 0
+    assert df.agg(num.exact_sum("v", 9)).first()[0] == Decimal("8e-7")

@@ -67,6 +67,18 @@ def test_large_tables_are_aggregated_before_the_join(spark, monkeypatch):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_the_split_moves_no_rows(spark):
+    text = plan(QUERIES["stratified_split"](spark, SF_DIR))
+    assert "BroadcastHashJoin" in text and "Sort" not in text and "hashpartitioning" not in text
+
+
+def test_wide_rows_are_not_broadcast(spark, monkeypatch):
+    dim = spark.range(1000).selectExpr("id AS k", "repeat('x', 2000) AS v")
+    assert scale.fits_broadcast(dim)
+    monkeypatch.setattr(scale, "BROADCAST_BYTES", 1_000_000)
+    assert not scale.fits_broadcast(dim) and scale.fits_broadcast(dim.select("k"))
+
+
 def test_collections_do_not_depend_on_the_size_check(spark, monkeypatch):
     columns = ["area", "waste_type", "weight_kg"]
     small = b.collections(spark, SF_DIR, columns)

@@ -57,6 +57,8 @@ def test_dates_go_back_from_the_load_day(spark):
     ids = spark.range(1, 4).toDF("id")
     got = csv_source.assign_dates(ids, "2024-03-01").orderBy("id").collect()
     assert [r["collection_date"] for r in got] == [dt.date(2024, 3, 1), dt.date(2024, 2, 29), dt.date(2024, 2, 28)]
+    far = spark.createDataFrame([(2_147_483_650,), (None,)], "id long")
+    assert [r["collection_date"] for r in csv_source.assign_dates(far, "2024-03-01").collect()] == [None, None]
     gaps = spark.createDataFrame([(10,), (70,), (35,)], "id long")
     got = csv_source.assign_dates_in_order(gaps, "2024-03-01", ["id"]).orderBy("id").collect()
     assert [r["collection_date"].day for r in got] == [1, 29, 28]
@@ -95,6 +97,26 @@ def test_insert_if_absent_keeps_what_is_there(spark):
     assert spark.read.parquet(path).count() == 4
 
 
+def test_a_null_key_is_found_again(spark):
+    path = fresh_path(spark, "predictions")
+    rows = [(None, 1.0, dt.date(2024, 1, 1)), ("a", 2.0, None), ("a", 3.0, dt.date(2024, 1, 1))]
+    df = spark.createDataFrame(rows, "area string, predicted_volume double, prediction_date date")
+    for _ in range(3):
+        tables.insert_if_absent(df, path, ["area", "prediction_date"], "prediction_date")
+    assert spark.read.parquet(path).count() == 3
+
+
+def test_the_first_row_of_a_key_is_kept(spark):
+    path = fresh_path(spark, "predictions")
+    rows = [("a", float(v), "2024-01-01") for v in (7, 3, 5)]
+    for _ in range(2):
+        tables.insert_if_absent(
+            predictions(spark, rows).repartition(3), path, ["area", "prediction_date"], "prediction_date",
+            ["predicted_volume"],
+        )
+    assert [r["predicted_volume"] for r in spark.read.parquet(path).collect()] == [3.0]
+
+
 def test_only_the_days_at_hand_are_read(spark):
     path = fresh_path(spark, "predictions")
     rows = [("a", 1.0, f"2024-01-{d:02d}") for d in range(1, 29)]
@@ -118,3 +140,14 @@ def test_a_hot_key_is_inserted_once(spark):
 def test_fixture_covers_each_area_and_type(sample):
     assert sample.select("area", "waste_type").distinct().count() == 25
     assert fx.record(0)[0] == 1
+
+
+def test_scratch_folders_are_deleted_when_asked(spark, tmp_path, monkeypatch):
+    from curbside import session
+
+    monkeypatch.setattr(session, "_HANDED_OUT", session.defaultdict(list))
+    path = session.fresh_path(spark, "scratch")
+    spark.range(3).write.parquet(path)
+    assert spark.read.parquet(path).count() == 3
+    assert session.clean_up(spark) == 1 and session.clean_up(spark) == 0
+    assert tables.read_or_none(spark, path) is None

@@ -9,18 +9,29 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_module
+from curbside.plans import oracle, queries as plans
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
     "benchmark labels conversations"
 ).split()
-#: Several fits of three models; run with the benchmark instead.
-SLOW = {"model_comparison"}
-
-QUERIES = entry_module.queries()
-ORACLE = entry_module.oracle_sql()
-NO_SQL = {"rf_classify", "score_batch", "feature_importance", "model_comparison", "rf_forecast"}
+#: Results of random forests; each has a query beside it that SQL can check.
+QUERIES = plans.QUERIES
+ORACLE = oracle.ORACLE_SQL
+NO_SQL = {
+    "rf_classify": "rf_classify_support",
+    "score_batch": "score_batch_ids",
+    "feature_importance": "feature_importance_sum",
+    "model_comparison": "model_comparison_rows",
+    "best_model_confusion": "best_model_support",
+    "best_model_report": "best_model_support",
+    "volume_model_metrics": "volume_model_support",
+    "volume_model_errors": "volume_model_samples",
+    "volume_residuals": "volume_residual_rows",
+    "rf_forecast": "rf_forecast_keys",
+    "stream_model_scoring": "stream_model_scoring_rows",
+}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
 
@@ -46,7 +57,13 @@ def rows(columns, data):
 
 
 def test_all_but_the_models_have_sql():
-    assert set(QUERIES) - set(ORACLE) == NO_SQL
+    assert set(QUERIES) - set(ORACLE) == set(NO_SQL)
+    assert set(NO_SQL.values()) <= set(ORACLE)
+
+
+def test_the_entry_point_has_them_all():
+    assert set(QUERIES) <= set(entry_module.queries())
+    assert set(ORACLE) <= set(entry_module.oracle_sql())
 
 
 def test_entry(spark):
@@ -62,6 +79,35 @@ def test_same_as_sql(spark, duck, name):
     assert rows(df.columns, df.collect()) == rows(columns, found.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(NO_SQL - SLOW))
-def test_model_queries_run(spark, name):
-    assert QUERIES[name](spark, SF_DIR).count() > 0
+def test_the_forest_query_agrees_with_the_library_evaluator(spark):
+    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+
+    cells = {(r["label"], r["prediction"]): r["n"] for r in QUERIES["rf_classify"](spark, SF_DIR).collect()}
+    total, right = sum(cells.values()), sum(n for (a, p), n in cells.items() if a == p)
+    tested = plans._labelled_rows(spark, SF_DIR).filter("split = 'test'")
+    model = plans._classifier(spark, SF_DIR)
+    scored = model.transform(tested)
+    accuracy = MulticlassClassificationEvaluator(labelCol="label_code", metricName="accuracy").evaluate(scored)
+    assert total == tested.count() == 400 and right / total == pytest.approx(accuracy)
+
+
+def test_the_volume_query_agrees_with_the_library_evaluator(spark):
+    from pyspark.ml.evaluation import RegressionEvaluator
+
+    tested = plans._volume_tested(spark, SF_DIR)
+    rmse = RegressionEvaluator(labelCol="volume_liters", predictionCol="predicted", metricName="rmse")
+    r = QUERIES["volume_model_metrics"](spark, SF_DIR).first()
+    assert r["n"] == tested.count() and r["rmse"] == pytest.approx(rmse.evaluate(tested), rel=1e-6)
+    forest = plans._volume_model(spark, SF_DIR).stages[-1]
+    assert forest.getNumTrees == 100 and len({t.toDebugString.split("\n", 1)[1] for t in forest.trees}) > 50
+    bins = QUERIES["volume_residuals"](spark, SF_DIR).collect()
+    assert len(bins) == 20 and sum(b["n"] for b in bins) == r["n"]
+
+
+def test_the_best_model_is_the_one_reported(spark):
+    comparison = QUERIES["model_comparison"](spark, SF_DIR).collect()
+    best = max(comparison, key=lambda r: r["cv_mean"])
+    report = {r["name"]: r for r in QUERIES["best_model_report"](spark, SF_DIR).collect()}
+    assert report["accuracy"]["f1"] == pytest.approx(best["test_accuracy"], abs=1e-4)
+    assert len(QUERIES["volume_model_errors"](spark, SF_DIR).collect()) == 10
+    assert all(r["predicted_volume"] > 0 for r in QUERIES["rf_forecast"](spark, SF_DIR).collect())

@@ -37,7 +37,9 @@ def test_zone_layer(spark):
     rows = [("Clock Tower", 500.0), ("ISBT", 300.0), ("Prem Nagar", 65.0), ("nowhere", 9.0)]
     volumes = spark.createDataFrame(rows, "area string, total_volume double")
     got = {r["area"]: r for r in sched.zone_layer(volumes, lookups.zones(spark)).collect()}
-    assert set(got) == {"Clock Tower", "ISBT", "Prem Nagar"}
+    # An area that no zone knows stays, without a place on the map.
+    assert set(got) == {"Clock Tower", "ISBT", "Prem Nagar", "nowhere"}
+    assert (got["nowhere"]["lat"], got["nowhere"]["lng"], got["nowhere"]["radius"]) == (None, None, 390.0)
     assert got["Prem Nagar"]["radius"] == 950.0
     assert got["Prem Nagar"]["halo_radius"] == 1425.0
     assert [got[a]["next_pickup"] for a in ("Clock Tower", "ISBT", "Prem Nagar")] == ["6:00 AM", "8:00 AM", "10:00 AM"]
