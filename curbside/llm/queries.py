@@ -21,9 +21,6 @@ from curbside.llm import (
 )
 from curbside.llm.store import documents, table
 
-WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), x -> x <> '')"
-
-
 def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(documents(spark, sf_dir))
 
@@ -77,4 +74,110 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_benchmark_leaks": op10_benchmark_leaks,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+# SQL twins.  Those without one are checked against brute force in the tests.
+
+BLANKS = r"[ \t\n\x0B\f\r]+"
+
+WORDS = f"""words AS (
+  SELECT doc_id, text,
+         list_filter(string_split_regex(coalesce(text, ''), '{BLANKS}'), lambda x: x <> '') AS w
+  FROM documents)"""
+
+
+def _count_of(characters: str) -> str:
+    return (
+        "length(coalesce(text, '')) - "
+        f"length(regexp_replace(coalesce(text, ''), '[{characters}]', '', 'g'))"
+    )
+
+
+def _failed() -> str:
+    bits = " | ".join(
+        f"CASE WHEN {fails} THEN {1 << place} ELSE 0 END"
+        for place, (_, fails) in enumerate(quality_rules.RULES)
+    )
+    return f"CAST({bits} AS BIGINT)"
+
+
+QUALITY_SQL = f"""WITH {WORDS}, runs AS (
+  SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS run
+  FROM words, unnest(range(1, len(w) - 1)) AS r(i)),
+again AS (
+  SELECT doc_id, i FROM runs QUALIFY count(*) OVER (PARTITION BY doc_id, run) > 1),
+repeated AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n FROM again, range(3) AS s(k) GROUP BY doc_id),
+lined AS (
+  SELECT *, list_filter(string_split(coalesce(text, ''), chr(10)),
+                        lambda l: regexp_matches(l, '[^ \t\n\x0B\f\r]')) AS lines FROM words),
+measured AS (
+  SELECT lined.doc_id, len(w) AS n_words,
+         CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+         {_count_of("#*$%&|<>")} AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+         coalesce(repeated.n, 0) AS n_repeat_words, len(lines) AS n_lines,
+         {_count_of("A-Za-z")} AS n_letters, {_count_of("A-Z")} AS n_upper, {_count_of("!")} AS n_exclaims
+  FROM lined LEFT JOIN repeated ON repeated.doc_id = lined.doc_id),
+ledger AS (SELECT *, {_failed()} AS failed FROM measured)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       failed & {quality_rules.mask("base")} <> 0 AS base_failed,
+       failed & {quality_rules.mask("base") | quality_rules.mask("v1")} = 0 AS kept, failed
+FROM ledger"""
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+JACCARD_SQL = f"""WITH RECURSIVE {WORDS.replace("coalesce(text, '')", _LOWER)},
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s
+  FROM words, unnest(range(1, greatest(len(w) - 3, 2))) AS r(i) WHERE len(w) > 0),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+digests AS (SELECT doc_id, md5(string_agg(s, chr(10) ORDER BY s)) AS digest FROM shingles GROUP BY doc_id),
+classes AS (SELECT digest, min(doc_id) AS rep FROM digests GROUP BY digest),
+held AS (SELECT doc_id, s FROM shingles WHERE doc_id IN (SELECT rep FROM classes)),
+common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n_both
+  FROM held a JOIN held b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE 100 * n_both >= 75 * (x.n + y.n - n_both)),
+either AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(node, other) AS (
+  SELECT rep, rep FROM classes UNION SELECT r.node, e.b FROM reach r JOIN either e ON e.a = r.other),
+least AS (SELECT node, min(other) AS component_id FROM reach GROUP BY node)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, d.doc_id) AS component_id
+FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN digests USING (doc_id)
+LEFT JOIN classes USING (digest) LEFT JOIN least ON least.node = rep"""
+
+CANONICAL = r"""lower(regexp_replace(regexp_replace(regexp_extract(bare, '^[^/?]*', 0), '^[Ww][Ww][Ww]\.', ''), ':(80|443)$', ''))
+         || regexp_replace(regexp_extract(bare, '^[^/?]*([^?]*)', 1), '/+$', '')
+         || CASE WHEN len(asked) = 0 THEN '' ELSE '?' || array_to_string(asked, '&') END"""
+
+REVISITS_SQL = rf"""WITH bared AS (
+  SELECT *, regexp_replace(regexp_replace(url, '#.*$', ''), '^[A-Za-z]+://', '') AS bare FROM pages),
+parted AS (
+  SELECT *, list_sort(list_filter(string_split(regexp_extract(bare, '\?(.*)$', 1), '&'),
+                                  lambda x: x <> '' AND NOT starts_with(x, 'utm_'))) AS asked FROM bared),
+known AS (
+  SELECT page_id, url, md5(coalesce(html, '')) AS digest, {CANONICAL} AS canonical,
+         1700000000 + page_id * 60 AS first FROM parted),
+later AS (
+  SELECT *, first + page_id % 7 * 3600 + 30 AS ts,
+         CASE WHEN page_id % 5 = 0 THEN 'old' WHEN page_id % 7 <> 0 THEN digest END AS tag FROM known),
+joined AS (
+  SELECT r.page_id * 2 + 1 AS record_id, r.url, r.canonical, r.ts, r.tag, f.page_id AS found,
+         f.first AS found_ts, f.digest AS found_digest
+  FROM later r LEFT JOIN known f ON f.canonical = r.canonical AND f.first < r.ts
+  QUALIFY row_number() OVER (PARTITION BY r.page_id ORDER BY f.first DESC NULLS LAST, f.page_id DESC) = 1),
+judged AS (
+  SELECT *, CASE WHEN found IS NULL THEN 'missing' WHEN tag IS NULL THEN 'unchecked'
+                 WHEN tag = found_digest THEN 'resolved' ELSE 'changed' END AS outcome FROM joined)
+SELECT record_id, url, canonical, ts, outcome, found * 2 AS refers_to, found_ts AS refers_to_ts,
+       CASE WHEN outcome IN ('resolved', 'unchecked') THEN found_digest END AS digest,
+       CASE WHEN outcome IN ('resolved', 'unchecked')
+            THEN 'content-type: text/html' || chr(10) || 'date: t' || ts || chr(10) || 'etag: ' || found_digest
+            END AS headers
+FROM judged"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_jaccard_join": JACCARD_SQL,
+    "op4_quality_rules": QUALITY_SQL,
+    "op6_warc_revisits": REVISITS_SQL,
+}

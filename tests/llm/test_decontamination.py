@@ -1,0 +1,114 @@
+from __future__ import annotations
+
+import random
+
+import pytest
+from hypothesis import given, settings, strategies as st
+
+from curbside.llm import decontamination as dc
+from tests.llm import helpers as h
+
+
+def distance(pattern, text):
+    """Least edit distance of the pattern to a substring, by the full table."""
+    row = list(range(len(pattern) + 1))
+    best = row[-1]
+    for char in text:
+        new = [0]
+        for j, p in enumerate(pattern, 1):
+            new.append(min(row[j - 1] + (p != char), row[j] + 1, new[j - 1] + 1))
+        row, best = new, min(best, new[-1])
+    return best
+
+
+words = st.text(st.sampled_from("abc "), max_size=40).map(dc.plain)
+
+
+@settings(max_examples=200, deadline=None)
+@given(words.filter(bool), words)
+def test_bit_parallel_distance_is_the_table(pattern, text):
+    best, end = dc.myers(dc.masks(pattern), len(pattern), text)
+    assert best == distance(pattern, text)
+    assert distance(pattern, text[:end]) == best and (end == 0 or distance(pattern, text[: end - 1]) > best)
+
+
+@settings(max_examples=150, deadline=None)
+@given(words.filter(bool), words, words, st.integers(0, 10**6))
+def test_pieces_find_what_the_table_finds(pattern, before, after, seed):
+    rng, held = random.Random(seed), list(pattern)
+    for _ in range(rng.randrange(0, len(pattern) // 5 + 2)):
+        k = rng.randrange(len(held) + 1)
+        held[k : k + rng.randrange(2)] = rng.choice(["", "a", "d"])
+    text = dc.plain(f"{before} {''.join(held)} {after}")
+    edits = int(len(pattern) * 0.15)
+    got = list(dc._searcher([(7, pattern)], 0.15)(text))
+    assert bool(got) == (distance(pattern, text) <= edits)
+    for item, n, start, end in got:
+        assert item == 7 and distance(pattern, text[start:end]) == n <= edits
+
+
+def test_pieces_and_budgets():
+    for size in (1, 12, 25, 80, 200):
+        passage = dc.Passage(0, "x" * size, int(size * dc.EDIT_RATE))
+        assert passage.bounds[0] == 0 and passage.bounds[-1] == size
+        assert all(chain == [] or chain[-1] == (0, passage.edits + 1) for chain in passage.chains)
+
+
+def test_passages_cover_long_items():
+    item = "".join(random.Random(0).choices("abcdef", k=730))
+    parts = dc.passages(item)
+    assert all(len(p) == dc.PASSAGE and p in item for p in parts)
+    for start in range(0, 730 - 300):
+        assert any(p in item[start : start + 300] for p in parts)
+
+
+def corpus(spark):
+    rng = random.Random(3)
+    items = [h.prose(rng, n, 3000) for n in (15, 30, 60, 120)]
+    edited = items[1].split()
+    edited[7] = edited[7][:-1] + "q"
+    texts = [
+        f"{h.prose(rng, 30)} {items[0]} {h.prose(rng, 9)}",
+        f"{h.prose(rng, 5)}\n{'  '.join(edited).upper()}",
+        f"{h.prose(rng, 40)} {items[3][100:460]} {h.prose(rng, 5)}",
+        h.prose(rng, 200, 3000),
+        items[2],
+        items[2],
+        None,
+        "",
+        " ".join(items[0].split()[:6]),
+    ]
+    bench = spark.createDataFrame(
+        [*enumerate(items), (4, None), (5, " "), (6, items[0]), (None, "x")], "item_id long, text string"
+    )
+    return h.documents(spark, texts), bench
+
+
+def test_whole_edited_and_partial_items_are_found(spark):
+    docs, bench = corpus(spark)
+    found = {(r["doc_id"], r["item_id"]): r["distance"] for r in dc.find_leaks(docs, bench).collect()}
+    assert found == {(0, 0): 0, (0, 6): 0, (1, 1): 1, (2, 3): 0, (4, 2): 0, (5, 2): 0}
+    kept = dc.without_leaks(docs, bench)
+    assert kept.columns == docs.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == [3, 6, 7, 8]
+
+
+def test_blocks_of_items_give_the_same(spark, monkeypatch):
+    docs, bench = corpus(spark)
+    want = h.rows(dc.find_leaks(docs, bench))
+    monkeypatch.setattr(dc, "BLOCK_CHARS", 400)
+    assert len(list(dc.item_blocks(bench))) > 1
+    assert h.rows(dc.find_leaks(docs, bench)) == want
+    assert sorted(r["doc_id"] for r in dc.without_leaks(docs, bench).collect()) == [3, 6, 7, 8]
+
+
+@pytest.mark.parametrize("items", [[], [(1, None)], [(1, "word5 word6 word7 word8 word9 word10 word11")]])
+def test_awkward_rows(spark, items):
+    df = h.awkward(spark)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    hit = bool(items and items[0][1])
+    assert {r["doc_id"] for r in dc.find_leaks(df, bench).collect()} == ({5} if hit else set())
+    kept = dc.without_leaks(df, bench)
+    assert kept.columns == df.columns and kept.count() == df.count() - hit
+    assert dc.find_leaks(h.empty(spark), bench).count() == 0
+    assert dc.without_leaks(h.empty(spark), bench).count() == 0

@@ -1,0 +1,91 @@
+from __future__ import annotations
+
+import pytest
+from pyspark.sql import functions as F
+
+from curbside.llm import warc
+from tests.llm import helpers as h
+
+
+@pytest.mark.parametrize(
+    "a,b,same",
+    [
+        ("http://www.X.com/p/?b=2&a=1&utm_source=f#top", "https://x.com:443/p?a=1&b=2", True),
+        ("http://x.com", "http://X.com/", True),
+        ("http://x.com/P", "http://x.com/p", False),
+        ("http://x.com/?a=1", "http://x.com/?a=2", False),
+        ("http://m.x.com/", "http://x.com/", False),
+        ("x.com/a", "http://x.com/a/", True),
+    ],
+)
+def test_canonical_url(spark, a, b, same):
+    got = [r[0] for r in spark.createDataFrame([(a,), (b,)], "u string").select(warc.canonical_url(F.col("u"))).collect()]
+    assert (got[0] == got[1]) == same
+
+
+def record(i, ts, status, tag=None, modified=None, url="http://a.com/x", digest=None, **headers):
+    return (i, url, ts, status, tag, modified, digest, {k.replace("_", "-"): v for k, v in headers.items()})
+
+
+RECORDS = [
+    record(1, 10, 200, "t1", digest="d1", etag="t1", content_type="text/html", date="10"),
+    record(2, 20, 304, "t1", content_length="0", date="20"),
+    record(3, 30, 200, "t2", "monday", digest="d2", etag="t2"),
+    record(4, 30, 304, "t1"),  # at the second of a response: the one before counts
+    record(5, 40, 304, "t1"),  # an old tag
+    record(6, 50, 304),  # nothing to compare
+    record(7, 60, 304, None, "monday", url="https://www.a.com/x/#y"),
+    record(8, 70, 304, None, "tuesday"),
+    record(9, 5, 304, "t1"),  # before any response
+    record(10, 70, 304, "t", url=None),
+    record(11, 20, 200, "t", url=None, digest="n"),
+    record(12, 80, 200, "a", digest="d3", url="http://b.com"),
+    record(13, 80, 200, "b", digest="d4", url="http://b.com"),
+    record(14, 81, 304, "b", url="http://b.com"),
+    record(15, 45, 404, digest="gone"),
+]
+WANT = {
+    2: ("resolved", 1, "d1"), 4: ("resolved", 1, "d1"), 5: ("changed", 3, None), 6: ("unchecked", 3, "d2"),
+    7: ("resolved", 3, "d2"), 8: ("changed", 3, None), 9: ("missing", None, None), 10: ("missing", None, None),
+    14: ("resolved", 13, "d4"),
+}
+
+
+@pytest.mark.parametrize("range_rows", [1, 3, 200_000])
+def test_the_latest_earlier_response(spark, monkeypatch, range_rows):
+    """Whatever the time ranges."""
+    monkeypatch.setattr(warc, "RANGE_ROWS", range_rows)
+    df = spark.createDataFrame(RECORDS, warc.RECORD).repartition(3)
+    rows = warc.resolve_revisits(df).collect()
+    assert {r["record_id"]: (r["outcome"], r["refers_to"], r["digest"]) for r in rows} == WANT
+    assert len(rows) == len(WANT)
+
+
+def test_only_permitted_headers_are_renewed(spark):
+    df = spark.createDataFrame(
+        [
+            record(1, 1, 200, "t", digest="d", content_type="text/html", content_length="9", date="old", etag="t"),
+            record(2, 2, 304, "t", content_type="x", content_length="0", date="new", cache_control="no"),
+        ],
+        warc.RECORD,
+    )
+    headers = warc.resolve_revisits(df).first()["headers"]
+    assert headers == {"content-type": "text/html", "content-length": "9", "date": "new", "etag": "t", "cache-control": "no"}
+
+
+def test_a_hot_url_in_many_ranges(spark, monkeypatch):
+    monkeypatch.setattr(warc, "RANGE_ROWS", 50)
+    rows = [record(i, i, 200 if i % 10 == 0 else 304, str(i // 10), digest=str(i // 10)) for i in range(1000)]
+    got = warc.resolve_revisits(spark.createDataFrame(rows, warc.RECORD).repartition(4)).collect()
+    assert len(got) == 900
+    assert all(r["refers_to"] == r["record_id"] // 10 * 10 and r["outcome"] == "resolved" for r in got)
+
+
+def test_awkward_pages(spark):
+    pages = spark.createDataFrame(
+        [(1, None, None), (2, "", ""), (3, "http://a.b", None), (3, "http://a.b", None), (4, "???", "x"), (None, "http://a.b", "y")],
+        "page_id long, url string, html string",
+    ).withColumns({"status": F.lit("mine"), "ts": F.lit(1), "canonical": F.lit("c")})
+    assert warc.resolve_pages(pages).count() == 6
+    assert warc.resolve_pages(pages.limit(0)).count() == 0
+    assert h.rows(warc.resolve_revisits(warc.crawl_records(pages).where("status = 200"))) == []
