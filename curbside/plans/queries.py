@@ -23,7 +23,7 @@ from curbside.operators import (
     schedule as sched,
     split,
 )
-from curbside.operators.scale import number_aggregate
+from curbside.operators.scale import number_rows
 from curbside.plans import bindings as b
 from curbside.plans import dashboard
 from curbside.session import fresh_path, kept_path, materialize
@@ -35,8 +35,8 @@ QUERIES: dict[str, Query] = {}
 
 #: Size of the forests; 30 is the deepest tree Spark grows.
 TREES, DEPTH, VOLUME_DEPTH, BINS = 100, 30, 10, 32
-#: Labelled rows that a classifier is trained and tested on, at most: those with the
-#: least digests.  The volume model takes all records.
+#: Rows that one fit of a classifier takes, at most: those of its training part with
+#: the least digests.  All others are scored.  The volume model takes all records.
 CLASSIFIER_ROWS = 2_000
 FEATURES = ["weight_kg", "moisture_pct", "recyclable", "material_type"]
 
@@ -609,36 +609,44 @@ def _kept_table(spark: SparkSession, sf_dir: str, name: str, make: Callable[[],
 
 
 def _labelled_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows classifiers learn from, with id, exact split and exact folds."""
+    """All labelled collections, with id in the order of their digests, exact split
+    and exact folds."""
 
     def make() -> DataFrame:
         columns = ["waste_type", *FEATURES]
         rows = b.collections(spark, sf_dir, ["l_orderkey", "l_partkey", *columns])
         digest = seeded_digest(F.concat_ws("-", "l_orderkey", "l_partkey"), 42).alias("digest")
         order = ["digest", *FEATURES]
-        chosen = rows.filter("waste_type IS NOT NULL").select(digest, *columns)
-        chosen = chosen.orderBy(*order).limit(CLASSIFIER_ROWS)
-        numbered = number_aggregate(chosen, order, "id").select("id", *columns)
+        labelled = rows.filter("waste_type IS NOT NULL").select(digest, *columns)
+        numbered = number_rows(labelled, order, "id").select("id", *columns)
         parted = split.stratified_split(numbered, "waste_type", "id")
         return split.stratified_folds(parted, "waste_type", "id", seed=7)
 
-    cores = spark.sparkContext.defaultParallelism
-    return materialize(_kept_table(spark, sf_dir, "labelled_rows", make).repartition(cores, "id"))
+    return _kept_table(spark, sf_dir, "labelled_rows", make)
+
+
+def _fitted_rows(part: DataFrame) -> DataFrame:
+    """What a classifier is fitted on, of the rows it may learn from, spread over the
+    cores."""
+    cores = part.sparkSession.sparkContext.defaultParallelism
+    return materialize(part.orderBy("id").limit(CLASSIFIER_ROWS).repartition(cores, "id"))
 
 
 def _kinds() -> dict[str, Callable[[DataFrame], PipelineModel]]:
-    """The classifiers compared.  The forest draws records; the others see equal
-    rows once, with their number as weight."""
+    """The classifiers compared, each fitted on ``_fitted_rows`` of its training part.
+    The forest draws records; the others see equal rows once, with their number as
+    weight."""
     columns = ["waste_type", *FEATURES]
 
     def weighed(df: DataFrame, classifier) -> PipelineModel:
         return classify.train_classifier(classify.collapse(df, columns), classifier)
 
-    return {
+    kinds = {
         "Random Forest": lambda df: classify.train_classifier(df, classify.forest(TREES, DEPTH, BINS)),
         "Decision Tree": lambda df: weighed(df, classify.tree(8, BINS)),
         "Logistic Regression": lambda df: weighed(df, classify.logistic(df.count())),
     }
+    return {name: lambda part, fit=fit: fit(_fitted_rows(part)) for name, fit in kinds.items()}
 
 
 def _classifier(spark: SparkSession, sf_dir: str, kind: str = "Random Forest") -> PipelineModel:

@@ -111,3 +111,15 @@ def test_the_best_model_is_the_one_reported(spark):
     assert report["accuracy"]["f1"] == pytest.approx(best["test_accuracy"], abs=1e-4)
     assert len(QUERIES["volume_model_errors"](spark, SF_DIR).collect()) == 10
     assert all(r["predicted_volume"] > 0 for r in QUERIES["rf_forecast"](spark, SF_DIR).collect())
+
+
+def test_the_classifiers_are_scored_on_all_collections(spark, duck):
+    cells = QUERIES["rf_classify"](spark, SF_DIR).collect()
+    labelled = plans._labelled_rows(spark, SF_DIR)
+    known = duck.execute(
+        "SELECT COUNT(*) FROM lineitem JOIN part ON l_partkey = p_partkey "
+        "WHERE p_type IN ('ECONOMY', 'LARGE', 'MEDIUM', 'PROMO', 'SMALL', 'STANDARD')"
+    ).fetchone()[0]
+    assert labelled.count() == known > plans.CLASSIFIER_ROWS
+    assert sum(r["n"] for r in cells) == math.ceil(known * 20 / 100)
+    assert plans._fitted_rows(labelled.filter("split = 'train'")).count() == plans.CLASSIFIER_ROWS
