@@ -21,7 +21,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -100,7 +100,8 @@ DIGIT_WORDS = {
     "siete": "7", "ocho": "8", "nueve": "9",
 }
 
-DIGITS_SPELLED = frozenset(DIGIT_WORDS)
+#: A text without any of these words holds no spelled number.
+DIGITS_SPELLED = frozenset(DIGIT_WORDS) | {"plus"}
 
 #: May hide one: blanks and invisible characters, dotless i, script g, and the
 #: scripts, dashes and wide forms that have look-alikes or digits.
@@ -109,16 +110,21 @@ ODD = re.compile(
     "　。﹒﹫﻿！-｡\U0001d7ce-\U0001d7ff]"
 )
 DIGIT_WORD = "(?:" + "|".join(sorted(DIGIT_WORDS, key=len, reverse=True)) + ")"
-SPOKEN = re.compile(rf"(?i)\b{DIGIT_WORD}\b[ ,.-]+(?:{DIGIT_WORD}|double|triple)\b")
+#: A digit word beside a digit or another digit word, or a plus before a digit;
+#: written-out dots are dots by then.
+SPOKEN = re.compile(
+    rf"(?i)\b{DIGIT_WORD}\b[ ,.()+-]++(?:(?:{DIGIT_WORD}|double|triple)\b|[0-9])"
+    rf"|[0-9][ ,.()+-]++(?:(?:double|triple)[ -]+)?{DIGIT_WORD}\b|\bplus +[0-9]"
+)
 BRACKETED = re.compile(r"(?i)[(\[{<]\s*(?:at|@|arroba|dot|punkt|point|punto|\.)\s*[)\]}>]")
-#: Marks that may stand between spelled digits, to blanks.
-GAPS = str.maketrans(",.-", "   ")
+#: Marks that may stand beside spelled digits, to blanks.
+GAPS = str.maketrans(",.-()+", "      ")
 
 #: Written-out signs; a bare word counts between words only, and "at" only where
-#: a written-out dot follows the next word.
+#: a written-out dot follows the next word, which may hold dots.
 SIGNS = re.compile(
     r"(?i)(?P<at>\s*[(\[{<]\s*(?:at|@|arroba)\s*[)\]}>]\s*"
-    r"|(?<=[a-z0-9]) +at +(?=[a-z0-9-]+(?: +dot +| *[(\[{<] *(?:dot|\.) *[)\]}>] *)[a-z]))"
+    r"|(?<=[a-z0-9]) +at +(?=[a-z0-9-]++(?:\.[a-z0-9-]++)*+(?: +dot +| *[(\[{<] *(?:dot|\.) *[)\]}>] *)[a-z]))"
     r"|(?P<dot>\s*[(\[{<]\s*(?:dot|punkt|point|punto|\.)\s*[)\]}>]\s*|(?<=[a-z0-9]) +dot +(?=[a-z0-9]))"
 )
 SPELLED = re.compile(
@@ -132,20 +138,25 @@ class Traced:
 
     def __init__(self, text: str) -> None:
         self.text = text
-        self.start = list(range(len(text)))
-        self.end = list(range(1, len(text) + 1))
+        self.start: Sequence[int] = range(len(text))
+        self.end: Sequence[int] = range(1, len(text) + 1)
+
+    def copy(self) -> Traced:
+        other = Traced(self.text)
+        other.start, other.end = self.start, self.end
+        return other
 
     def rewrite(self, edits: Iterable[tuple[int, int, str]]) -> None:
         """Put each text in place of its range; ranges in order, not empty."""
         text, start, end, done = [], [], [], 0
         for a, b, new in edits:
             text += [self.text[done:a], new]
-            start += self.start[done:a] + [self.start[a]] * len(new)
-            end += self.end[done:a] + [self.end[b - 1]] * len(new)
+            start += [*self.start[done:a], *[self.start[a]] * len(new)]
+            end += [*self.end[done:a], *[self.end[b - 1]] * len(new)]
             done = b
         self.text = "".join([*text, self.text[done:]])
-        self.start = start + self.start[done:]
-        self.end = end + self.end[done:]
+        self.start = [*start, *self.start[done:]]
+        self.end = [*end, *self.end[done:]]
 
 
 def look_alike(char: str) -> str:
@@ -164,11 +175,19 @@ def look_alike(char: str) -> str:
     return chr(ord(char) - 0xFEE0) if 0xFF01 <= ord(char) <= 0xFF5E else char
 
 
-def spelled_edits(text: str) -> Iterator[tuple[int, int, str]]:
+def spelled_edits(text: str, keep_dots: bool = False) -> Iterator[tuple[int, int, str]]:
+    """Digits for their words; a gap between two goes, but with ``keep_dots`` not one
+    that is a dot, which parts the numbers of an address.  A last "un" after a numeral
+    and a blank is an article."""
     for m in SPELLED.finditer(text):
         if m["digit"]:
+            lone = m["digit"].lower() == "un" and not (m["times"] or m["gap"])
+            ahead = text[max(m.start() - 4, 0) : m.start()]
+            if lone and ahead.endswith(" ") and ahead.rstrip(" ,.-")[-1:].isdigit():
+                continue
             count = {"double": 2, "triple": 3}.get((m["times"] or "").lower(), 1)
-            yield m.start(), m.end(), DIGIT_WORDS[m["digit"].lower()] * count
+            end = m.end("digit") if keep_dots and m["gap"] == "." else m.end()
+            yield m.start(), end, DIGIT_WORDS[m["digit"].lower()] * count
         else:
             yield m.start(), m.end(), "+"
 
@@ -179,30 +198,32 @@ def find_disguised(text: str) -> list[Span]:
     plain = Traced(text) if odd else None
     if plain:
         plain.rewrite((m.start(), m.end(), look_alike(m[0])) for m in ODD.finditer(text))
-    now = plain.text if plain else text
-    lower = now.lower()
-    signs = " dot " in lower or BRACKETED.search(now)
-    # The sets of words are cheaper than the search, and most texts end there.
-    spoken = not DIGITS_SPELLED.isdisjoint(lower.translate(GAPS).split()) and SPOKEN.search(now)
-    if not (odd or signs or spoken):
-        return []
     traced = plain or Traced(text)
     found: set[Span] = set()
 
-    def take() -> None:
+    def take(traced: Traced) -> None:
         for a, kind, b in find_plain(traced.text):
             found.add((traced.start[a], kind, traced.end[b - 1]))
 
     if odd:
-        take()
-    if signs:
+        take(traced)
+    if " dot " in traced.text.lower() or BRACKETED.search(traced.text):
         traced.rewrite(
             (m.start(), m.end(), "@" if m["at"] else ".") for m in SIGNS.finditer(traced.text)
         )
-        take()
-    if spoken:
-        traced.rewrite(spelled_edits(traced.text))
-        take()
+        take(traced)
+    now = traced.text
+    # The sets of words are cheaper than the search, and most texts end there.
+    words = now.lower().translate(GAPS).split()
+    if not DIGITS_SPELLED.isdisjoint(words) and SPOKEN.search(now):
+        with_dots = list(spelled_edits(now, keep_dots=True))
+        without = list(spelled_edits(now))
+        if with_dots != without:
+            copy = traced.copy()
+            copy.rewrite(with_dots)
+            take(copy)
+        traced.rewrite(without)
+        take(traced)
     return sorted(found)
 
 

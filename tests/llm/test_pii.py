@@ -76,6 +76,33 @@ def test_disguises_are_found_at_their_place(text, kind):
     assert text not in pii.mask(around, spans) and pii.mask(around, spans).endswith("soon, é.")
 
 
+@pytest.mark.parametrize(
+    "text,kind",
+    [
+        ("+49 170 five 23 four 567", "phone"),
+        ("+1 four 1 five 5 five 2 six 7 one 0", "phone"),
+        ("plus 49 170 523 4567", "phone"),
+        ("192 dot 168 dot 1 dot five", "ip"),
+        ("192(dot)168(dot)1(dot)five", "ip"),
+        ("one nine two dot one six eight dot one dot five", "ip"),
+        ("4 four 1 seven 7442 8 zero 3 five 1 five 4 seven", "card"),
+        ("jane at mail.example dot com", "email"),
+    ],
+)
+def test_words_and_numerals_may_mix(text, kind):
+    around = f"Write to:  {text}  soon, é."
+    assert pii.find_all(around)[1] == [(11, pii.KINDS.index(kind), 11 + len(text))]
+
+
+@pytest.mark.parametrize("text", ["in 2019 one of 12 came", "a plus 5 or two. 3 more", "look at mail.example and dot it"])
+def test_clean_texts_with_numbers_are_left_alone(text):
+    assert pii.find_all(text) == ([], [])
+
+
+def test_an_article_after_a_number_is_none_of_it():
+    assert pii.find_all("+1 (848) 555-1373 Un jour")[1] == [(0, 3, 17)]
+
+
 @pytest.mark.parametrize(
     "text",
     [
