@@ -345,10 +345,10 @@ parted AS (
   FROM ranked JOIN quotas USING (waste_type))"""
 
 _LABELLED_ORDER = "digest, weight_kg, moisture_pct, recyclable, material_type"
-#: Test rows per class of the rows that the classifiers learn from.
+#: Test rows per class of all labelled collections.
 SUPPORT = f"""{COLLECTIONS}, labelled AS (
   SELECT *, md5(l_orderkey || '-' || l_partkey || '|42') AS digest FROM collections
-  WHERE waste_type IS NOT NULL ORDER BY {_LABELLED_ORDER} LIMIT 2000),
+  WHERE waste_type IS NOT NULL),
 records AS (SELECT *, ROW_NUMBER() OVER (ORDER BY {_LABELLED_ORDER}) AS id FROM labelled),
 {SPLIT}, classes(label) AS (VALUES {", ".join(f"('{t}')" for t in b.ALL_TYPES)}),
 support AS (
