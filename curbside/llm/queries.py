@@ -12,11 +12,14 @@ from curbside.llm import (
     jaccard_join,
     language,
     mixing,
+    periodic_runs,
     pii,
     quality_rules,
     quality_trees,
     suffix_dedup,
+    token_alignment,
     toxicity,
+    url_models,
     warc,
 )
 from curbside.llm.store import documents, table
@@ -61,6 +64,18 @@ def op10_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_leaks(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_models.judge_urls(table(spark, sf_dir, "pages"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digest_runs(documents(spark, sf_dir))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.digest_alignment(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_personal_data": op1_personal_data,
     "op2_jaccard_join": op2_jaccard_join,
@@ -72,6 +87,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_language": op9_language,
     "op10_benchmark_leaks": op10_benchmark_leaks,
+    "op11_url_filter": op11_url_filter,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 # SQL twins.  Those without one are checked against brute force in the tests.
@@ -176,8 +194,75 @@ SELECT record_id, url, canonical, ts, outcome, found * 2 AS refers_to, found_ts
             END AS headers
 FROM judged"""
 
+def _url_case(result: str) -> str:
+    """The rules as a CASE, the longest first."""
+    rules = sorted(url_models.RULES, key=lambda r: (-len(r[1] + r[2]), r[1] + r[2]))
+    cases = " ".join(
+        f"WHEN (host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{path}') "
+        f"THEN '{host + path if result == 'rule' else verdict}'"
+        for verdict, host, path in rules
+    )
+    return f"CASE {cases} END"
+
+
+def _url_level(k: int) -> str:
+    """Chances of the last letter of the grams of k letters, in both models."""
+    sums = ", ".join(f"CAST(sum({s}) AS BIGINT) AS {s}" for s in ("n", "allowed", "blocked"))
+    seen = ", ".join(
+        f"sum({s}) OVER c AS all_{s}, count(*) FILTER ({s} > 0) OVER c AS kinds_{s}" for s in ("allowed", "blocked")
+    )
+    chance = ", ".join(
+        f"CASE WHEN all_{s} > 0 THEN ({s} + kinds_{s} * less_{s}) / (all_{s} + kinds_{s}) ELSE less_{s} END AS p_{s}"
+        for s in ("allowed", "blocked")
+    )
+    if k == 1:
+        less = "SELECT *, 1 / even AS less_allowed, 1 / even AS less_blocked FROM seen1"
+    else:
+        less = (
+            f"SELECT seen{k}.*, s.p_allowed AS less_allowed, s.p_blocked AS less_blocked "
+            f"FROM seen{k} JOIN chance{k - 1} s ON s.gram = right(seen{k}.gram, {k - 1})"
+        )
+    return f"""level{k} AS (SELECT right(gram, {k}) AS gram, {sums} FROM grams GROUP BY 1),
+seen{k} AS (SELECT *, count(*) OVER c AS even, {seen} FROM level{k} WINDOW c AS (PARTITION BY left(gram, {k - 1}))),
+less{k} AS ({less}), chance{k} AS (SELECT gram, {chance} FROM less{k})"""
+
+
+_URL_ORDER, _URL_PAD = url_models.ORDER, f"repeat(chr({ord(url_models.START)}), {url_models.ORDER - 1})"
+_URL_STEP = f"CAST(floor(score * {url_models.STEPS}) AS BIGINT)"
+
+URL_SQL = f"""WITH rested AS (
+  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parted AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rested),
+split AS (SELECT *, {_url_case("rule")} AS rule, {_url_case("verdict")} AS ruled, host || path AS text FROM parted),
+texts AS (SELECT text, max(ruled) AS ruled, max(ruled) IS NOT NULL AND md5(text) < '{url_models.ASIDE}' AS aside FROM split GROUP BY text),
+letters AS (
+  SELECT text, ruled, aside, substr({_URL_PAD} || text || chr({ord(url_models.END)}), i, {_URL_ORDER}) AS gram
+  FROM texts, unnest(range(1, length(text) + 2)) AS r(i)),
+grams AS (
+  SELECT gram, count(*) AS n, count(*) FILTER (ruled = 'allow' AND NOT aside) AS allowed,
+         count(*) FILTER (ruled = 'block' AND NOT aside) AS blocked FROM letters GROUP BY gram),
+{", ".join(_url_level(k) for k in range(1, _URL_ORDER + 1))},
+scores AS (
+  SELECT text, ruled, aside, round(sum(ln(p_allowed) - ln(p_blocked)) / (length(text) + 1), 6) AS score
+  FROM letters JOIN chance{_URL_ORDER} USING (gram) GROUP BY text, ruled, aside),
+steps AS (
+  SELECT {_URL_STEP} AS step, count(*) FILTER (ruled = 'allow') AS a, count(*) FILTER (ruled = 'block') AS b
+  FROM scores WHERE aside GROUP BY 1),
+ends AS (SELECT step, sum(a) AS a, sum(b) AS b FROM (FROM steps UNION ALL SELECT step + 1, 0, 0 FROM steps) GROUP BY step),
+errors AS (
+  SELECT step, coalesce(sum(a) OVER below, 0) / nullif(sum(a) OVER (), 0)
+               + (1 - coalesce(sum(b) OVER below, 0) / nullif(sum(b) OVER (), 0)) AS error
+  FROM ends WINDOW below AS (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+cut AS (SELECT coalesce((SELECT step FROM errors WHERE error IS NOT NULL ORDER BY round(error, 9), abs(step), step LIMIT 1), 0) AS step)
+SELECT page_id, host, path, rule,
+       coalesce(split.ruled, CASE WHEN {_URL_STEP} >= (SELECT step FROM cut) THEN 'allow' ELSE 'block' END) AS verdict, score
+FROM split JOIN scores USING (text)"""
+
 ORACLE_SQL: dict[str, str] = {
     "op2_jaccard_join": JACCARD_SQL,
     "op4_quality_rules": QUALITY_SQL,
     "op6_warc_revisits": REVISITS_SQL,
+    "op11_url_filter": URL_SQL,
 }
