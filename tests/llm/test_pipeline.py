@@ -19,7 +19,7 @@ SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 def test_one_query_for_each_operator():
     names = [q for q in entry_module.queries() if q.startswith("op")]
-    assert sorted(int(q[2:].split("_")[0]) for q in names) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in names) == list(range(1, 14))
     assert "pipeline" in entry_module.queries() and set(ORACLE_SQL) < set(entry_module.oracle_sql())
 
 
