@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
     LogisticRegression,
@@ -155,10 +155,11 @@ def collapse(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def forest(trees: int = 100, max_depth: int = 30, max_bins: int = 32, seed: int = 42):
-    """Random forest; 30 is the deepest tree Spark grows."""
+    """Random forest; 30 is the deepest tree Spark grows.  Rows remember their node,
+    so that deep trees are not walked, nor sent to the tasks, at every level."""
     return RandomForestClassifier(
         labelCol="label_code", featuresCol="features", numTrees=trees, maxDepth=max_depth,
-        maxBins=max_bins, featureSubsetStrategy="sqrt", seed=seed,
+        maxBins=max_bins, featureSubsetStrategy="sqrt", seed=seed, cacheNodeIds=True,
     )
 
 
@@ -176,36 +177,76 @@ def logistic(rows: int, c: float = 1.0, max_iter: int = 500):
     )
 
 
-def train_classifier(
+def feature_stages(
     df: DataFrame,
-    classifier,
     label: str = "waste_type",
     numeric: Sequence[str] = ("weight_kg", "moisture_pct", "recyclable"),
     category: str = "material_type",
 ) -> PipelineModel:
-    """One pipeline from raw columns to a predicted label.
-
-    The codes used in training are stored with it, so scoring cannot use others.
-    A column ``n_rows``, if there is one, weighs the rows.  Rows without a label
-    have nothing to learn from and are left out (count them with
-    ``not_null_violations``).
-    """
-    df = df.filter(F.col(label).isNotNull())
+    """Codes of labels and materials and the assembled features, to be shared by
+    several classifiers.  Rows must have a label."""
     labels = StringIndexer(
         inputCol=label, outputCol="label_code", stringOrderType="alphabetAsc", handleInvalid="error"
     ).fit(df)
     material = StringIndexer(
         inputCol=category, outputCol="material_code", stringOrderType="alphabetAsc", handleInvalid="keep"
     ).fit(df)
+    return PipelineModel(
+        [labels, material, VectorAssembler(inputCols=[*numeric, "material_code"], outputCol="features")]
+    )
+
+
+def fit_prepared(prepared: DataFrame, stages: PipelineModel, classifier) -> PipelineModel:
+    """A classifier fitted on rows that already went through ``feature_stages``; the
+    whole pipeline from raw columns to a predicted label.  A column ``n_rows``, if
+    there is one, weighs the rows."""
+    labels, material, assemble = stages.stages
     classifier = classifier.copy()
-    if WEIGHT in df.columns:
+    if WEIGHT in prepared.columns:
         classifier.setWeightCol(WEIGHT)
     if classifier.hasParam("maxBins"):
         # A tree needs a bin for each category, the one for unknown values included.
         classifier.setMaxBins(max(classifier.getMaxBins(), len(material.labels) + 1))
-    assemble = VectorAssembler(inputCols=[*numeric, "material_code"], outputCol="features")
     name = IndexToString(inputCol="prediction", outputCol="predicted_type", labels=labels.labels)
-    return Pipeline(stages=[labels, material, assemble, classifier, name]).fit(df)
+    return PipelineModel([labels, material, assemble, classifier.fit(prepared), name])
+
+
+def train_classifier(
+    df: DataFrame,
+    classifier,
+    label: str = "waste_type",
+    numeric: Sequence[str] = ("weight_kg", "moisture_pct", "recyclable"),
+    category: str = "material_type",
+) -> PipelineModel:
+    """One pipeline from raw columns to a predicted label.
+
+    The codes used in training are stored with it, so scoring cannot use others.
+    A column ``n_rows``, if there is one, weighs the rows.  Rows without a label
+    have nothing to learn from and are left out (count them with
+    ``not_null_violations``).
+    """
+    df = df.filter(F.col(label).isNotNull())
+    stages = feature_stages(df, label, numeric, category)
+    return fit_prepared(stages.transform(df), stages, classifier)
+
+
+#: Columns that classifiers learn from.
+FEATURES = ["weight_kg", "moisture_pct", "recyclable", "material_type"]
+
+
+def feature_groups(
+    df: DataFrame, by: Sequence[str], weight: str | None = None, features: Sequence[str] = FEATURES
+) -> DataFrame:
+    """One row per distinct features, stored: ``cells`` holds the number of rows for
+    each combination of the columns ``by`` (label, split, fold: few).
+
+    A classifier says the same of equal features, so it is asked once; measures
+    have few digits, and at scale rows are many times their distinct features.
+    """
+    rows = F.sum(weight).cast("double") if weight else F.count("*").cast("double")
+    cells = df.groupBy(*features, *by).agg(rows.alias(WEIGHT))
+    grouped = cells.groupBy(*features).agg(F.collect_list(F.struct(*by, WEIGHT)).alias("cells"))
+    return materialize(grouped)
 
 
 def score(df: DataFrame, model: PipelineModel) -> DataFrame:

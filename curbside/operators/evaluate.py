@@ -7,10 +7,10 @@ from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from curbside.functions.numeric import half_away
-from curbside.operators.classify import score
+from curbside.operators.classify import WEIGHT, feature_groups, score
 
 
 def accuracy(df: DataFrame, label: str, prediction: str) -> DataFrame:
@@ -130,34 +130,45 @@ def prediction_errors(
     )
 
 
+def score_groups(groups: DataFrame, model: PipelineModel) -> DataFrame:
+    """The cells of ``feature_groups`` with the prediction for their features: a row
+    per distinct features, columns ``by``, and ``n_rows``."""
+    scored = score(groups, model)
+    return scored.select("predicted_type", F.inline("cells"))
+
+
 def compare_models(
     df: DataFrame,
     train: dict[str, Callable[[DataFrame], PipelineModel]],
     label: str = "waste_type",
     k: int = 5,
     weight: str | None = None,
-    parallelism: int = 4,
+    parallelism: int = 8,
+    prepare: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Test accuracy, and mean and population std over the folds, per model.
 
     ``df`` has columns ``split`` and ``fold`` and should be stored already: each
-    model is fitted k + 1 times, some of them at once.  All metrics come from one
-    aggregation over the scored rows.  The best model is first; ties keep the
-    given order.
+    model is fitted k + 1 times, some of them at once, on parts that ``prepare``
+    (a bounded sample, say, or shared features) readies once for all models.
+    Distinct features are scored once per fit; all metrics come from one
+    aggregation over these predictions.  ``place`` numbers the models from the best
+    on; ties keep the given order.
     """
-    rows_of = F.col(weight) if weight else F.lit(1.0)
-    parts = {"test": (df.filter("split = 'train'"), df.filter("split = 'test'"))}
+    ready = prepare or (lambda part: part)
+    parts = {"test": ready(df.filter("split = 'train'"))}
     for i in range(k):
-        parts[f"fold{i}"] = (df.filter(F.col("fold") != i), df.filter(F.col("fold") == i))
+        parts[f"fold{i}"] = ready(df.filter(F.col("fold") != i))
+    groups = feature_groups(df, [label, "split", "fold"], weight)
     jobs = [(order, name, run) for order, name in enumerate(train) for run in parts]
 
     def fit_and_score(job: tuple[int, str, str]) -> DataFrame:
         order, name, run = job
-        fitted_on, tested_on = parts[run]
+        asked = F.col("split") == "test" if run == "test" else F.col("fold") == int(run[4:])
         right = (F.col(label) == F.col("predicted_type")).cast("double")
-        return score(tested_on, train[name](fitted_on)).select(
+        return score_groups(groups, train[name](parts[run])).filter(asked).select(
             F.lit(order).alias("__order"), F.lit(name).alias("model"), F.lit(run).alias("run"),
-            (right * rows_of).alias("right"), rows_of.alias("rows"),
+            (right * F.col(WEIGHT)).alias("right"), F.col(WEIGHT).alias("rows"),
         )
 
     with ThreadPoolExecutor(parallelism) as pool:
@@ -167,18 +178,16 @@ def compare_models(
     )
     test = F.max(F.when(F.col("run") == "test", F.col("accuracy")))
     fold = F.when(F.col("run") != "test", F.col("accuracy"))
-    return (
-        runs.groupBy("__order", "model")
-        .agg(
-            test.alias("test_accuracy"),
-            F.avg(fold).alias("cv_mean"),
-            F.stddev_pop(fold).alias("cv_std"),
-        )
-        .orderBy(F.desc("cv_mean"), "__order")
-        .drop("__order")
+    by_model = runs.groupBy("__order", "model").agg(
+        test.alias("test_accuracy"), F.avg(fold).alias("cv_mean"), F.stddev_pop(fold).alias("cv_std")
     )
+    # One row per model.
+    best_first = W.orderBy(F.desc("cv_mean"), "__order")
+    return by_model.select(
+        "model", "test_accuracy", "cv_mean", "cv_std", F.row_number().over(best_first).alias("place")
+    ).orderBy("place")
 
 
 def best_model(comparison: DataFrame) -> DataFrame:
-    """The model with the largest fold mean, from the ordered comparison."""
-    return comparison.limit(1)
+    """The model in the first place."""
+    return comparison.filter("place = 1")

@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import datetime as dt
+from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import StringIndexer, VectorAssembler
-from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from curbside.functions import calendar, lookups
 from curbside.functions.hashing import hash_bucket
-from curbside.functions.numeric import exact_sum, half_even, half_up, rounded
+from curbside.functions.numeric import exact_sum, half_even, half_up, known, rounded
+from curbside.operators import forest
 from curbside.operators.scale import attach
+from curbside.session import materialize
 
 FEATURES = ["area", "day_of_week", "month"]
 
@@ -75,52 +76,146 @@ def fallback_forecast(
     )
 
 
+#: Categories of the volume model; each gets codes in the order of its mean volume.
+CATEGORIES = {"area": "area_code", "day_of_week": "day_code"}
+CELL = ["area_code", "day_code", "month"]
+#: Code of a value that was not there in training.
+UNSEEN = -1
+
+
+@dataclass(frozen=True)
+class VolumeModel:
+    """A forest as what it says of each cell.
+
+    ``codes`` has the code of each area and weekday, however many there are;
+    ``by_tree`` each tree's prediction per cell, ``cells`` their mean, with the cells of
+    unseen areas and weekdays.  Cells are bounded by the number of codes.
+    """
+
+    codes: dict[str, DataFrame]
+    by_tree: DataFrame
+    cells: DataFrame
+
+    def save(self, path: str) -> None:
+        for category, codes in self.codes.items():
+            codes.write.parquet(f"{path}/codes/{category}")
+        self.by_tree.write.parquet(f"{path}/by_tree")
+        self.cells.coalesce(1).write.parquet(f"{path}/cells")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> VolumeModel:
+        codes = {c: spark.read.parquet(f"{path}/codes/{c}") for c in CATEGORIES}
+        return cls(codes, *[spark.read.parquet(f"{path}/{part}") for part in ("by_tree", "cells")])
+
+
+def category_codes(records: DataFrame, column: str, name: str, bins: int) -> DataFrame:
+    """(value, code): codes 0, 1, 2... by mean volume, at most ``bins`` of them.
+
+    Where there are more values, those of about equal means share a code.  The
+    means are one distributed aggregate; only the bounds between codes are
+    collected.
+    """
+    totals = records.groupBy(column).agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    means = materialize(totals.select(column, (F.col("total").cast("double") / F.col("n")).alias("mean")))
+    shares = [k / bins for k in range(1, bins)]
+    bounds = means.agg(F.percentile_approx("mean", shares, 10 * bins * bins)).first()[0] or []
+    below = F.filter(F.array(*[F.lit(b) for b in sorted(set(bounds))]), lambda b: b < F.col("mean"))
+    return means.select(column, (F.size(below) if bounds else F.lit(0)).alias(name))
+
+
+def _month(month: Column | str = "month") -> Column:
+    return F.greatest(F.lit(1), F.least(F.lit(12), month)).cast("int")
+
+
+def _all_cells(counted: DataFrame) -> DataFrame:
+    """Every combination of codes and months, with 0 records where there are none."""
+    last = counted.agg(*[F.max(c).alias(c) for c in CATEGORIES.values()])
+    grid = last.where("area_code IS NOT NULL")
+    for name in CATEGORIES.values():
+        grid = grid.withColumn(name, F.explode(F.sequence(F.lit(0), F.col(name))))
+    grid = grid.withColumn("month", F.explode(F.sequence(F.lit(1), F.lit(12))))
+    return grid.join(counted, CELL, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
+def _with_unseen(cells: DataFrame, counted: DataFrame) -> DataFrame:
+    """Also the cells of unseen areas and weekdays: the mean of the seen ones, each
+    as often as its records."""
+    weighed = cells
+    for name in CATEGORIES.values():
+        share = counted.groupBy(name).agg(F.sum("n").alias(f"{name}_n"))
+        weighed = weighed.join(share, name)
+    parts = [cells]
+    for unseen in ([*CATEGORIES.values()][:1], [*CATEGORIES.values()][1:], [*CATEGORIES.values()]):
+        weight = reduce(lambda a, b: a * b, [F.col(f"{name}_n").cast("double") for name in unseen])
+        mean = F.sum(F.col("prediction") * weight) / F.sum(F.when(F.col("prediction").isNotNull(), weight))
+        kept = [c for c in CELL if c not in unseen]
+        group = weighed.groupBy(*kept).agg(mean.alias("prediction"))
+        parts.append(group.select(*[F.lit(UNSEEN).alias(c) if c in unseen else c for c in CELL], "prediction"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def train_volume(
     df: DataFrame,
     trees: int = 100,
     max_depth: int = 10,
     max_bins: int = 32,
     seed: int = 42,
-) -> PipelineModel:
-    """Area, weekday and month, coded alphabetically, to volume per record.
+) -> VolumeModel:
+    """Area, weekday and month to volume per record, by a random forest.
 
-    ``df`` has one row per record, so each tree draws records at random.
+    ``df`` has one row per record.  Records are counted once, by distinct features;
+    areas and weekdays become at most ``max_bins - 1`` codes each; the trees are
+    grown from the counted cells (see ``forest``).  Records with a null feature
+    teach nothing.
     """
-    df = df.filter(F.col("volume_liters").isNotNull() & F.col("month").isNotNull())
-    indexers = StringIndexer(
-        inputCols=["area", "day_of_week"],
-        outputCols=["area_code", "day_code"],
-        stringOrderType="alphabetAsc",
-        handleInvalid="keep",
-    ).fit(df)
-    # A tree needs a bin for each category, the one for unknown values included.
-    bins = max(max_bins, *[len(labels) + 1 for labels in indexers.labelsArray])
-    features = VectorAssembler(inputCols=["area_code", "day_code", "month"], outputCol="features")
-    forest = RandomForestRegressor(
-        featuresCol="features",
-        labelCol="volume_liters",
-        predictionCol="prediction",
-        numTrees=trees,
-        maxDepth=max_depth,
-        maxBins=bins,
-        featureSubsetStrategy="all",
-        seed=seed,
-        bootstrap=True,
+    features = reduce(lambda a, b: a & b, [F.col(f).isNotNull() for f in FEATURES])
+    known_rows = df.filter(features & known("volume_liters").isNotNull())
+    volume = known("volume_liters")
+    counted = known_rows.groupBy("area", "day_of_week", _month().alias("month")).agg(
+        F.count("*").alias("n"),
+        exact_sum(volume).alias("total"),
+        F.sum(volume * volume).alias("squares"),
+        F.min(volume).alias("low"),
+        F.max(volume).alias("high"),
+    )
+    counted = materialize(counted)
+    codes = {c: materialize(category_codes(counted, c, name, max_bins - 1)) for c, name in CATEGORIES.items()}
+    coded = counted
+    for category, table in codes.items():
+        coded = attach(coded, table, [category])
+    merged = coded.groupBy(*CELL).agg(
+        *[F.sum(c).alias(c) for c in ("n", "total", "squares")], F.min("low").alias("low"), F.max("high").alias("high")
+    )
+    mean = F.col("total").cast("double") / F.col("n")
+    variance = F.greatest(F.lit(0.0), F.col("squares") / F.col("n") - mean * mean)
+    cells = materialize(
+        merged.select(*CELL, "n", mean.alias("mean"), variance.alias("variance"), "low", "high")
     )
-    return Pipeline(stages=[indexers, features, forest]).fit(df)
+    points = forest.bootstrap(_all_cells(cells), CELL, trees, seed)
+    by_tree = materialize(forest.grow(points, CELL, max_depth))
+    mean_of_trees = materialize(by_tree.groupBy(*CELL).agg(F.avg("prediction").alias("prediction")))
+    return VolumeModel(codes, by_tree, materialize(_with_unseen(mean_of_trees, cells)))
 
 
-def predict_volume(df: DataFrame, model: PipelineModel, name: str = "predicted") -> DataFrame:
+def predict_volume(df: DataFrame, model: VolumeModel, name: str = "predicted") -> DataFrame:
     """Volume per record by the model; null where a feature is null.  An area or
-    weekday the model has not seen has a code of its own."""
-    whole = F.col("area").isNotNull() & F.col("day_of_week").isNotNull() & F.col("month").isNotNull()
-    filled = df.withColumn("__month", F.col("month")).withColumn("month", F.coalesce("month", F.lit(0)))
-    scored = model.transform(filled).withColumn("month", F.col("__month"))
-    return scored.select(*df.columns, F.when(whole, F.col("prediction")).alias(name))
+    weekday the model has not seen counts as the mean of those it has.  The cells
+    are bounded by the codes, so their table is broadcast."""
+    coded = df.withColumn("__month", _month())
+    for category, code in CATEGORIES.items():
+        table = model.codes[category].select(category, F.col(code).alias(f"__{code}"))
+        coded = attach(coded, table, [category], "left")
+    whole = reduce(lambda a, b: a & b, [F.col(f).isNotNull() for f in FEATURES])
+    for code in CATEGORIES.values():
+        seen = F.coalesce(f"__{code}", F.lit(UNSEEN))
+        coded = coded.withColumn(f"__{code}", F.when(whole, seen))
+    cells = model.cells.select(*[F.col(c).alias(f"__{c}") for c in CELL], F.col("prediction").alias("__volume"))
+    scored = coded.join(F.broadcast(cells), [f"__{c}" for c in CELL], "left")
+    return scored.select(*df.columns, F.col("__volume").alias(name))
 
 
 def model_forecast(
-    grid: DataFrame, model: PipelineModel, per_day: float = lookups.RECORDS_PER_DAY
+    grid: DataFrame, model: VolumeModel, per_day: float = lookups.RECORDS_PER_DAY
 ) -> DataFrame:
     """Predicted volume per record, scaled to a day; null where a feature is null."""
     scored = predict_volume(grid, model, "__predicted")
@@ -145,7 +240,7 @@ def with_fallback(model_based: DataFrame, fallback: DataFrame) -> DataFrame:
     )
 
 
-def forecast_volumes(grid: DataFrame, model: PipelineModel | None, fallback: DataFrame) -> DataFrame:
+def forecast_volumes(grid: DataFrame, model: VolumeModel | None, fallback: DataFrame) -> DataFrame:
     """The forecast: by the model, and by the fallback for rows the model has no
     value for.  Without a model (none stored, or not readable) all of it falls
     back."""

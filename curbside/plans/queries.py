@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable
 from functools import wraps
 
@@ -593,19 +592,18 @@ def insert_if_absent(spark, sf_dir):
 # -- models ---------------------------------------------------------------------
 
 
-def _kept(spark: SparkSession, sf_dir: str, name: str) -> str:
-    """Where this application keeps a model or table made from the tables, so that
-    several queries share it."""
-    return kept_path(spark, f"{hashlib.md5(sf_dir.encode()).hexdigest()}/{name}")
+#: Tables behind the collections.
+INPUTS = ("lineitem", "orders", "part")
 
 
-def _kept_table(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-    path = _kept(spark, sf_dir, name)
-    stored = tables.read_or_none(spark, path)
-    if stored is None:
-        make().write.parquet(path)
-        stored = spark.read.parquet(path)
-    return stored
+def _store(spark: SparkSession) -> models.ModelStore:
+    """Where this application keeps models, and tables made for them, so that several
+    queries share them."""
+    return models.ModelStore(spark, kept_path(spark, "models"))
+
+
+def _made_from(spark: SparkSession, sf_dir: str, **parameters) -> str:
+    return models.fingerprint([b.table(spark, sf_dir, name) for name in INPUTS], **parameters)
 
 
 def _labelled_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -622,47 +620,57 @@ def _labelled_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         parted = split.stratified_split(numbered, "waste_type", "id")
         return split.stratified_folds(parted, "waste_type", "id", seed=7)
 
-    return _kept_table(spark, sf_dir, "labelled_rows", make)
+    write = lambda df, path: df.write.parquet(path)
+    made_from = _made_from(spark, sf_dir)
+    return _store(spark).get("labelled_rows", made_from, make, write, spark.read.parquet, reread=True)
 
 
-def _fitted_rows(part: DataFrame) -> DataFrame:
-    """What a classifier is fitted on, of the rows it may learn from, spread over the
-    cores."""
+def _prepared(part: DataFrame, stages: PipelineModel) -> DataFrame:
+    """What a classifier is fitted on, of the rows it may learn from, with its
+    features, spread over the cores."""
     cores = part.sparkSession.sparkContext.defaultParallelism
-    return materialize(part.orderBy("id").limit(CLASSIFIER_ROWS).repartition(cores, "id"))
+    chosen = part.orderBy("id").limit(CLASSIFIER_ROWS)
+    return materialize(stages.transform(chosen).repartition(cores, "id"))
 
 
-def _kinds() -> dict[str, Callable[[DataFrame], PipelineModel]]:
-    """The classifiers compared, each fitted on ``_fitted_rows`` of its training part.
-    The forest draws records; the others see equal rows once, with their number as
-    weight."""
-    columns = ["waste_type", *FEATURES]
+def _kinds(stages: PipelineModel) -> dict[str, Callable[[DataFrame], PipelineModel]]:
+    """The classifiers compared, each fitted on ``_prepared`` rows."""
 
-    def weighed(df: DataFrame, classifier) -> PipelineModel:
-        return classify.train_classifier(classify.collapse(df, columns), classifier)
+    def fit(make) -> Callable[[DataFrame], PipelineModel]:
+        return lambda rows: classify.fit_prepared(rows, stages, make(rows))
 
-    kinds = {
-        "Random Forest": lambda df: classify.train_classifier(df, classify.forest(TREES, DEPTH, BINS)),
-        "Decision Tree": lambda df: weighed(df, classify.tree(8, BINS)),
-        "Logistic Regression": lambda df: weighed(df, classify.logistic(df.count())),
+    return {
+        "Random Forest": fit(lambda _: classify.forest(TREES, DEPTH, BINS)),
+        "Decision Tree": fit(lambda _: classify.tree(8, BINS)),
+        "Logistic Regression": fit(lambda rows: classify.logistic(rows.count())),
     }
-    return {name: lambda part, fit=fit: fit(_fitted_rows(part)) for name, fit in kinds.items()}
+
+
+def _stages(rows: DataFrame) -> PipelineModel:
+    """Codes and features of all labelled collections; labels and materials are few."""
+    return classify.feature_stages(rows.select("waste_type", *FEATURES).distinct())
 
 
 def _classifier(spark: SparkSession, sf_dir: str, kind: str = "Random Forest") -> PipelineModel:
-    """Trained on the training rows by the first query that asks, then loaded."""
+    """Trained on the training rows by the first query that asks, then loaded while
+    the tables stay the same."""
+    parameters = {"kind": kind, "rows": CLASSIFIER_ROWS, "trees": TREES, "depth": DEPTH, "bins": BINS}
 
     def train() -> PipelineModel:
-        return _kinds()[kind](_labelled_rows(spark, sf_dir).filter("split = 'train'"))
+        rows = _labelled_rows(spark, sf_dir)
+        stages = _stages(rows)
+        return _kinds(stages)[kind](_prepared(rows.filter("split = 'train'"), stages))
 
-    return models.load_or_train(_kept(spark, sf_dir, kind.replace(" ", "_")), train)
+    return _store(spark).get(kind.replace(" ", "_"), _made_from(spark, sf_dir, **parameters), train)
 
 
 def _test_confusion(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
-    """Predictions of a classifier for the test rows, against their labels."""
+    """Predictions of a classifier for the test rows, against their labels; distinct
+    features are scored once."""
     tested = _labelled_rows(spark, sf_dir).filter("split = 'test'")
-    scored = classify.score(tested, _classifier(spark, sf_dir, kind))
-    return evaluate.confusion_matrix(scored, "waste_type", "predicted_type", b.ALL_TYPES)
+    groups = classify.feature_groups(tested, ["waste_type"])
+    scored = evaluate.score_groups(groups, _classifier(spark, sf_dir, kind))
+    return evaluate.confusion_matrix(scored, "waste_type", "predicted_type", b.ALL_TYPES, classify.WEIGHT)
 
 
 @query
@@ -703,10 +711,9 @@ def feature_importance_sum(spark, sf_dir):
 
 
 def _comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def make() -> DataFrame:
-        return evaluate.compare_models(_labelled_rows(spark, sf_dir), _kinds())
-
-    return _kept_table(spark, sf_dir, "comparison", make).orderBy(F.desc("cv_mean"), F.desc("model"))
+    rows = _labelled_rows(spark, sf_dir)
+    stages = _stages(rows)
+    return evaluate.compare_models(rows, _kinds(stages), prepare=lambda part: _prepared(part, stages))
 
 
 @query
@@ -750,12 +757,14 @@ def _volume_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.hash_split(keyed, "key").drop("l_orderkey", "l_partkey")
 
 
-def _volume_model(spark: SparkSession, sf_dir: str) -> PipelineModel:
-    def train() -> PipelineModel:
+def _volume_model(spark: SparkSession, sf_dir: str) -> fc.VolumeModel:
+    def train() -> fc.VolumeModel:
         rows = _volume_records(spark, sf_dir).filter("split = 'train'")
-        return fc.train_volume(materialize(rows.drop("key")), TREES, VOLUME_DEPTH, BINS)
+        return fc.train_volume(rows.drop("key"), TREES, VOLUME_DEPTH, BINS)
 
-    return models.load_or_train(_kept(spark, sf_dir, "volume"), train)
+    made_from = _made_from(spark, sf_dir, trees=TREES, depth=VOLUME_DEPTH, bins=BINS)
+    load = lambda path: fc.VolumeModel.load(spark, path)
+    return _store(spark).get("volume", made_from, train, fc.VolumeModel.save, load)
 
 
 def _volume_tested(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -806,7 +815,7 @@ def volume_residual_rows(spark, sf_dir):
     return bins.agg(F.count("*").alias("bins"), F.sum("n").cast("bigint").alias("n"))
 
 
-def _forecast(spark: SparkSession, sf_dir: str, model: PipelineModel | None) -> DataFrame:
+def _forecast(spark: SparkSession, sf_dir: str, model: fc.VolumeModel | None) -> DataFrame:
     """Seven days for each area; an area without a name has no features, so the
     model has no value for it."""
     daily = _daily_volumes(spark, sf_dir)
@@ -841,7 +850,8 @@ def rf_forecast_keys(spark, sf_dir):
 @query
 def forecast_without_model(spark, sf_dir):
     """No model is stored where this looks, so all of the grid falls back."""
-    model = models.load_or_none(fresh_path(spark, "no_model"))
+    store = models.ModelStore(spark, fresh_path(spark, "no_models"))
+    model = store.find("volume", _made_from(spark, sf_dir), lambda path: fc.VolumeModel.load(spark, path))
     forecast = _forecast(spark, sf_dir, model).filter("area IS NOT NULL")
     return forecast.select("area", iso("prediction_date"), "predicted_volume")
 

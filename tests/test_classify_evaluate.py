@@ -225,6 +225,123 @@ def test_models_are_compared(parted):
     assert rows["tree"]["cv_mean"] > 0.9 > rows["stump"]["cv_mean"]
     assert rows["tree"]["test_accuracy"] <= 1 and rows["tree"]["cv_std"] >= 0
     assert got.collect()[0]["model"] == "tree" == ev.best_model(got).first()["model"]
+    # Equal models keep the order they were given in, also once the result was stored.
+    assert rows["tree"]["cv_mean"] == rows["same tree"]["cv_mean"]
+    assert [rows[m]["place"] for m in ("tree", "same tree")] == [1, 2]
+    assert sorted(r["place"] for r in rows.values()) == [1, 2, 3, 4]
+
+
+def test_scores_of_distinct_features_are_those_of_all_rows(parted):
+    """Accuracies of the comparison against scoring every row."""
+    train = {"tree": lambda df: cl.train_classifier(df, cl.tree(3))}
+    (row,) = ev.compare_models(parted, train, k=3, weight=cl.WEIGHT).collect()
+
+    def share(fitted, tested):
+        right = F.when(F.col("waste_type") == F.col("predicted_type"), F.col(cl.WEIGHT)).otherwise(0.0)
+        return cl.score(tested, train["tree"](fitted)).agg(F.sum(right) / F.sum(cl.WEIGHT)).first()[0]
+
+    assert row["test_accuracy"] == pytest.approx(
+        share(parted.filter("split = 'train'"), parted.filter("split = 'test'"))
+    )
+    folds = [share(parted.filter(F.col("fold") != i), parted.filter(F.col("fold") == i)) for i in range(3)]
+    assert row["cv_mean"] == pytest.approx(sum(folds) / 3)
+
+
+def test_parts_are_prepared_once_for_all_models(parted):
+    calls = []
+
+    def prepare(part):
+        calls.append(1)
+        return part
+
+    train = {name: lambda df: cl.train_classifier(df, cl.tree(2)) for name in "abc"}
+    assert ev.compare_models(parted, train, k=2, weight=cl.WEIGHT, prepare=prepare).count() == 3
+    assert len(calls) == 3
+
+
+def test_groups_hold_all_rows(spark):
+    df = spark.createDataFrame(
+        [(1.0, 2.0, 1, "m", "a"), (1.0, 2.0, 1, "m", "a"), (1.0, 2.0, 1, "m", "b"), (1.0, None, 1, None, "a")],
+        "weight_kg double, moisture_pct double, recyclable int, material_type string, waste_type string",
+    )
+    groups = cl.feature_groups(df, ["waste_type"])
+    got = {(r["moisture_pct"], c["waste_type"]): c[cl.WEIGHT] for r in groups.collect() for c in r["cells"]}
+    assert got == {(2.0, "a"): 2.0, (2.0, "b"): 1.0, (None, "a"): 1.0} and groups.count() == 2
+
+
+def tiny_model(spark):
+    df = spark.createDataFrame(
+        [(1.0, 2.0, 1, "m", "a"), (9.0, 2.0, 1, "m", "b")] * 5,
+        "weight_kg double, moisture_pct double, recyclable int, material_type string, waste_type string",
+    )
+    return cl.train_classifier(df, cl.tree(2))
+
+
+def test_a_model_is_found_by_what_it_was_made_from(spark, tmp_path):
+    path = str(tmp_path / "t.parquet")
+    spark.range(3).write.parquet(path)
+    store = models.ModelStore(spark, str(tmp_path / "store"))
+    calls = []
+
+    def train():
+        calls.append(1)
+        return tiny_model(spark)
+
+    def get(**parameters):
+        made_from = models.fingerprint([spark.read.parquet(path)], **parameters)
+        return store.get("model", made_from, train)
+
+    get(depth=2), get(depth=2)
+    assert len(calls) == 1
+    get(depth=3)
+    assert len(calls) == 2
+    spark.range(5).write.mode("append").parquet(path)
+    get(depth=2)
+    assert len(calls) == 3
+    assert len(models.input_files([spark.read.parquet(path), spark.read.parquet(path)])) == len(
+        spark.read.parquet(path).inputFiles()
+    )
+
+
+def test_a_half_written_model_is_never_read(spark, tmp_path):
+    store = models.ModelStore(spark, str(tmp_path))
+
+    def broken(folder):
+        tiny_model(spark).stages[0].write().save(f"{folder}/stages/0")
+        raise RuntimeError("the writer is lost")
+
+    with pytest.raises(RuntimeError):
+        store.publish("model", "x", broken)
+    assert store.manifest("model", "x") is None and store.find("model", "x") is None
+    # A manifest that is no manifest, or one whose folder is gone, counts as none.
+    (tmp_path / "model" / "x.json").write_text("{")
+    assert store.manifest("model", "x") is None
+    model = store.get("model", "x", lambda: tiny_model(spark))
+    assert model.stages[0].labels == ["a", "b"]
+    import shutil
+
+    shutil.rmtree(store.manifest("model", "x")["folder"])
+    assert store.find("model", "x") is None
+    assert store.get("model", "x", lambda: tiny_model(spark)).stages[0].labels == ["a", "b"]
+
+
+def test_two_writers_of_one_model_do_no_harm(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+    from threading import Barrier
+
+    store, together, model = models.ModelStore(spark, str(tmp_path)), Barrier(2), tiny_model(spark)
+
+    def write(_):
+        def save(folder):
+            models.save_model(model, folder)
+            together.wait()
+
+        return store.publish("model", "x", save)
+
+    with ThreadPoolExecutor(2) as pool:
+        folders = list(pool.map(write, range(2)))
+    assert store.manifest("model", "x")["folder"] in folders
+    assert store.find("model", "x").stages[0].labels == ["a", "b"]
 
 
 def test_metrics_without_anything_to_go_by_are_zero(spark):

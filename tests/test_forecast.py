@@ -84,7 +84,10 @@ def test_capacity_bands(spark):
 def test_the_trees_of_the_forest_differ(sample):
     """Each tree draws its own records."""
     model = fc.train_volume(sample, 12, 5)
-    assert len({t.toDebugString.split("\n", 1)[1] for t in model.stages[-1].trees}) > 6
+    trees = {}
+    for r in model.by_tree.collect():
+        trees.setdefault(r["tree"], []).append(tuple(r)[1:])
+    assert len(trees) == 12 == len({tuple(sorted(cells)) for cells in trees.values()})
 
 
 def test_the_model_tells_weekdays_apart_and_is_scored_on_rows_left_out(spark):
