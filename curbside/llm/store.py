@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curbside.session import fresh_path
+from curbside.session import fresh_path, work_dir
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -17,6 +17,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables from ``stored`` that no later step reads."""
+    for df in tables:
+        spark = df.sparkSession
+        ours = f"{work_dir(spark)}/curbside-".split(":", 1)[-1].lstrip("/")
+        hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+        for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+            if ours in folder:
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(hadoop).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

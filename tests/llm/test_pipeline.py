@@ -105,3 +105,16 @@ def test_awkward_rows_in_every_stage(spark, folder, name, stage):
 def test_rows_of_the_other_queries(spark, name):
     rows = QUERIES[name](spark, SF_DIR).count()
     assert rows > 0 if name == "op10_benchmark_leaks" else rows == 200
+
+
+def test_distinct_texts_of_one_id_and_clashing_names(spark):
+    from curbside.llm import jaccard_join
+
+    rng = random.Random(2)
+    long, other = h.prose(rng, 60), h.prose(rng, 60)
+    rows = [(1, long, "a", 1), (1, other, "b", 2), (2, long + " end", "c", 3), (3, "alone " + h.prose(rng, 40), "d", 4), (1, long, "a", 1), (None, long, "e", 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, removed string, place int")
+    out = jaccard_join.keep_one(df)
+    assert out.columns == df.columns
+    want = {(1, long), (1, other), (3, rows[3][1]), (None, long)}
+    assert {(r["doc_id"], r["text"]) for r in out.collect()} == want and out.count() == 4
