@@ -10,8 +10,11 @@ hold more than it may, so one chain of runs from a piece to the item passes.
 Chance hits end at two pieces.
 
 Texts and items are compared in lower case with each run of blanks as one space.
-Long items are searched by passages of ``PASSAGE`` characters that overlap by
-half, so that half an item in a document is found as well.
+Every item is searched whole, with the budget of its whole length.  Items longer
+than ``PASSAGE`` are searched by passages of that many characters besides, which
+overlap by half and have budgets of their own: a document that holds a stretch of
+1.5 * ``PASSAGE`` characters of such an item holds one of them.  Parts of shorter
+items are not searched.
 
 The items are the stated query set: they go to the tasks in blocks of bounded
 size, each document is read once per block.  Null or blank items and texts match
@@ -30,7 +33,7 @@ from pyspark.sql import functions as F
 
 #: Edits allowed, as a share of the characters of the passage searched.
 EDIT_RATE = 0.08
-#: Characters of a passage; shorter items are searched whole.
+#: Characters of the passages that are searched besides a longer item.
 PASSAGE = 200
 #: Characters of items that one block holds.
 BLOCK_CHARS = 8_000_000
@@ -43,11 +46,12 @@ def plain(text: str) -> str:
 
 
 def passages(item: str, size: int = PASSAGE) -> list[str]:
-    """The item, or passages that cover it: any half of one that is
-    ``size`` * 1.5 long lies in one of them."""
-    if len(item) <= size:
-        return [item] if item else []
-    return [item[i : i + size] for i in [*range(0, len(item) - size, size // 2), len(item) - size]]
+    """The item, and of a longer one passages that cover it: any stretch of
+    ``size`` * 1.5 characters holds one of them."""
+    found = [item] if item else []
+    if len(item) > size:
+        found += [item[i : i + size] for i in [*range(0, len(item) - size, size // 2), len(item) - size]]
+    return found
 
 
 def masks(pattern: str) -> dict[str, int]:

@@ -56,7 +56,8 @@ def test_pieces_and_budgets():
 
 def test_passages_cover_long_items():
     item = "".join(random.Random(0).choices("abcdef", k=730))
-    parts = dc.passages(item)
+    whole, *parts = dc.passages(item)
+    assert whole == item and dc.passages(item[:200]) == [item[:200]] and dc.passages("") == []
     assert all(len(p) == dc.PASSAGE and p in item for p in parts)
     for start in range(0, 730 - 300):
         assert any(p in item[start : start + 300] for p in parts)
@@ -112,3 +113,30 @@ def test_awkward_rows(spark, items):
     assert kept.columns == df.columns and kept.count() == df.count() - hit
     assert dc.find_leaks(h.empty(spark), bench).count() == 0
     assert dc.without_leaks(h.empty(spark), bench).count() == 0
+
+
+@pytest.mark.parametrize("size", [201, 233, 260, 394, 600, 800])
+@pytest.mark.parametrize("where", ["anywhere", "middle", "start"])
+def test_items_with_their_whole_budget_of_edits_are_found(size, where):
+    """Exactly e edits, spread or crowded, in items longer than a passage."""
+    rng = random.Random(size)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    for _ in range(4):
+        item = "".join(rng.choices(letters, k=size))
+        edits = int(size * dc.EDIT_RATE)
+        low, high = {"anywhere": (0, size), "middle": (size // 2 - edits * 2, size // 2 + edits * 2), "start": (0, 3 * edits)}[where]
+        held = list(item)
+        for k in rng.sample(range(low, high), edits):
+            held[k] = rng.choice(["", "#", held[k] + "#"])
+        text = f"{''.join(rng.choices(letters, k=300))} {''.join(held)} {''.join(rng.choices(letters, k=300))}"
+        got = list(dc._searcher([(7, item)], dc.EDIT_RATE)(text))
+        assert [g[0] for g in got] == [7] and got[0][1] <= edits
+
+
+def test_a_stretch_of_a_long_item_is_found_and_less_is_not():
+    rng = random.Random(1)
+    item = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=700))
+    search = dc._searcher([(3, item)], dc.EDIT_RATE)
+    for start in range(0, 400, 37):
+        assert [g[0] for g in search("x " + item[start : start + 300] + " y")] == [3]
+    assert not list(search("x " + item[50:200] + " y"))
