@@ -34,9 +34,10 @@ def exact_quantiles(
 ) -> DataFrame:
     """Quantiles with linear interpolation, exact, without sorting a column.
 
-    A sketch brackets each rank between two values; its error is known, so the
-    bracket surely holds the rank.  Then the values below each bracket are
-    counted, and only those inside, a few in ``accuracy``, are put in order.
+    A sketch brackets each rank between two values.  The values below each bracket
+    and inside it are counted, which says whether it holds the rank; only those
+    inside, a few in ``accuracy``, are put in order.  A bracket that missed its rank
+    is opened to all values on the side where the rank lies.
     """
     spark = df.sparkSession
     numeric = df.select(*[known(c).alias(c) for c in columns])
@@ -62,17 +63,29 @@ def exact_quantiles(
     # A sketch's ends need not be the least and largest value.
     ends = [
         (
-            F.lit(low if n >= accuracy and p > slack else -math.inf),
-            F.lit(high if n >= accuracy and p < 1 - slack else math.inf),
+            low if n >= accuracy and p > slack else -math.inf,
+            high if n >= accuracy and p < 1 - slack else math.inf,
         )
         for _, p, n, low, high in brackets
     ]
-    below = numeric.agg(
-        *[F.count_if(F.col(c) < ends[i][0]).alias(f"b{i}") for i, (c, *_) in enumerate(brackets)]
-    ).first()
+    sides = [
+        [
+            F.count_if(F.col(c) < ends[i][0]).alias(f"b{i}"),
+            F.count_if(F.col(c).between(*map(F.lit, ends[i]))).alias(f"i{i}"),
+        ]
+        for i, (c, *_) in enumerate(brackets)
+    ]
+    counted = numeric.agg(*[count for pair in sides for count in pair]).first().asDict()
+    below = {}
+    for i, (_, p, n, _, _) in enumerate(brackets):
+        first, last = math.floor((n - 1) * p), math.ceil((n - 1) * p)
+        low, high = ends[i]
+        over = counted[f"b{i}"] + counted[f"i{i}"]
+        ends[i] = (low if counted[f"b{i}"] <= first else -math.inf, high if last < over else math.inf)
+        below[f"b{i}"] = counted[f"b{i}"] if ends[i][0] == low else 0
     inside = [
         F.when(
-            F.col(c).between(*ends[i]),
+            F.col(c).between(*map(F.lit, ends[i])),
             F.struct(F.lit(i).alias("bracket"), F.col(c).alias("value")),
         )
         for i, (c, *_) in enumerate(brackets)

@@ -115,6 +115,30 @@ def forecast_snapshot(forecast: DataFrame) -> DataFrame:
     return sections.select(_json(document))
 
 
+def forecast_lines(forecast: DataFrame) -> DataFrame:
+    """The sections of ``forecast_snapshot`` as lines of JSON, whatever the number of
+    areas: dates, and per area the volumes in the order of the dates."""
+    days = number_aggregate(forecast.select("prediction_date").distinct(), ["prediction_date"], "at")
+    areas = number_aggregate(nested_forecast(forecast), ["area"], "at")
+    volumes = F.transform("days", lambda day: day["predicted_volume"].cast("decimal(28,1)"))
+    return section_lines(days, "dates", "at", [iso_date(F.col("prediction_date")).alias("date")]).unionAll(
+        section_lines(areas, "predictions", "at", [F.col("area"), volumes.alias("volumes")])
+    )
+
+
+def nested_lines(forecast: DataFrame) -> DataFrame:
+    """``nested_forecast`` as lines of JSON, one per area, with the area's place."""
+    areas = number_aggregate(nested_forecast(forecast), ["area"], "at")
+    days = F.transform(
+        "days",
+        lambda day: F.struct(
+            iso_date(day["prediction_date"]).alias("date"),
+            day["predicted_volume"].cast("decimal(28,1)").alias("predicted_volume"),
+        ),
+    )
+    return section_lines(areas, "forecast", "at", [F.col("area"), days.alias("days")])
+
+
 def reports_snapshot(latest: DataFrame) -> DataFrame:
     """The latest reports, newest first, and how many they are."""
     rows = number_aggregate(latest, [F.desc("created_at"), F.desc("id")], "at")
@@ -127,5 +151,11 @@ def reports_snapshot(latest: DataFrame) -> DataFrame:
     return latest.sparkSession.range(1).select(_json(document))
 
 
+def write_lines(lines: DataFrame, path: str) -> None:
+    """Lines as JSON files, a folder per section, by as many tasks as hold them; a
+    reader sorts by position where it needs the order."""
+    lines.write.mode("overwrite").partitionBy("section").json(path)
+
+
 def write_snapshot(snapshot: DataFrame, path: str) -> None:
     snapshot.write.mode("overwrite").text(path)

@@ -551,6 +551,19 @@ SELECT '{{"dates":[' || (SELECT string_agg('"' || CAST(d AS VARCHAR) || '"', ','
   || '],"predictions":{{' || string_agg(volumes, ',' ORDER BY area)
   || '}},"areas":[' || string_agg('"' || area || '"', ',' ORDER BY area) || ']}}' AS snapshot
 FROM per_area""",
+    "forecast_lines": f"""WITH {FORECAST}, per_area AS (
+  SELECT area, string_agg(CAST(CAST(predicted_volume AS DECIMAL(28,1)) AS VARCHAR), ',' ORDER BY day_no) AS volumes
+  FROM forecast GROUP BY area)
+SELECT 'dates' AS section, ROW_NUMBER() OVER (ORDER BY d) AS position, '{{"date":"' || CAST(d AS VARCHAR) || '"}}' AS item
+FROM (SELECT DISTINCT prediction_date AS d FROM forecast)
+UNION ALL SELECT 'predictions', ROW_NUMBER() OVER (ORDER BY area),
+       '{{"area":"' || area || '","volumes":[' || volumes || ']}}' FROM per_area""",
+    "nested_forecast_lines": f"""WITH {FORECAST}, per_area AS (
+  SELECT area, string_agg('{{"date":"' || CAST(prediction_date AS VARCHAR) || '","predicted_volume":'
+         || CAST(CAST(predicted_volume AS DECIMAL(28,1)) AS VARCHAR) || '}}', ',' ORDER BY day_no) AS days
+  FROM forecast GROUP BY area)
+SELECT 'forecast' AS section, ROW_NUMBER() OVER (ORDER BY area) AS position,
+       '{{"area":"' || area || '","days":[' || days || ']}}' AS item FROM per_area""",
     "nested_forecast": f"""WITH {FORECAST}
 SELECT area, CAST(COUNT(*) AS INT) AS days, MAX(predicted_volume) FILTER (WHERE day_no = 0) AS first_volume,
        CAST(MAX(prediction_date) AS VARCHAR) AS last_date FROM forecast GROUP BY area""",

@@ -873,6 +873,16 @@ def forecast_snapshot(spark, sf_dir):
     return dashboard.forecast_snapshot(_fallback(spark, sf_dir))
 
 
+@query
+def forecast_lines(spark, sf_dir):
+    return dashboard.forecast_lines(_fallback(spark, sf_dir))
+
+
+@query
+def nested_forecast_lines(spark, sf_dir):
+    return dashboard.nested_lines(_fallback(spark, sf_dir))
+
+
 # -- streams --------------------------------------------------------------------
 
 
@@ -892,7 +902,7 @@ def _scattered_events(spark: SparkSession, sf_dir: str, files: int = 8) -> DataF
 def stream_report_intake(spark, sf_dir):
     out, state = fresh_path(spark, "reports"), fresh_path(spark, "state")
     intake.store_intake(b.reports(_scattered_events(spark, sf_dir)), out, state)
-    return spark.read.parquet(out).withColumn("created_at", stamp("created_at"))
+    return spark.read.parquet(out).drop("batch").withColumn("created_at", stamp("created_at"))
 
 
 @query

@@ -142,3 +142,13 @@ def test_stratified_folds_differ_by_at_most_one(labelled):
 def test_the_seed_matters(labelled):
     a, b = (split.hash_split(labelled, "id", seed=s).filter("split = 'test'").select("id") for s in (1, 2))
     assert a.exceptAll(b).count() > 0
+
+
+@pytest.mark.parametrize("shift", [-1000.0, 0.0, 1000.0])
+def test_a_bracket_that_missed_its_rank_is_opened(spark, monkeypatch, shift):
+    """A sketch that is far off, to either side, still gives exact quartiles."""
+    real = F.percentile_approx
+    monkeypatch.setattr(eda.F, "percentile_approx", lambda c, shares, accuracy: real(F.col(c) + shift, shares, accuracy))
+    df = spark.range(3000).select((F.col("id") / 10).alias("a"), F.lit(2.5).alias("b"))
+    got = {(r["column"], r["p"]): r["value"] for r in eda.exact_quantiles(df, ["a", "b"], [0.25, 0.5, 0.9], 100).collect()}
+    assert got == {("a", p): pytest.approx(2999 * p / 10) for p in (0.25, 0.5, 0.9)} | {("b", p): 2.5 for p in (0.25, 0.5, 0.9)}

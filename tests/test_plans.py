@@ -93,3 +93,34 @@ def test_queries_do_not_depend_on_the_size_check(spark, monkeypatch, name):
     small = key(QUERIES[name](spark, SF_DIR).collect())
     monkeypatch.setattr(scale, "BROADCAST_ROWS", 0)
     assert key(QUERIES[name](spark, SF_DIR).collect()) == small
+
+
+def test_forecast_documents_of_many_areas_are_written_by_many_tasks(spark, tmp_path):
+    import json
+    from pathlib import Path
+
+    from pyspark.sql import functions as F
+
+    from curbside.operators.scale import ONE_TASK_ROWS
+    from curbside.plans import dashboard
+
+    n = ONE_TASK_ROWS + 20_000
+    day = F.explode(F.sequence(F.lit(0), F.lit(1))).alias("day_no")
+    forecast = spark.range(n).select(F.format_string("a%07d", "id").alias("area"), "id", day).select(
+        "area", "day_no", F.date_add(F.lit("2024-01-01").cast("date"), F.col("day_no")).alias("prediction_date"),
+        (F.col("id") + F.col("day_no") / 10).alias("predicted_volume"),
+    )
+    for lines, section, extra in ((dashboard.forecast_lines(forecast), "predictions", 2), (dashboard.nested_lines(forecast), "forecast", 0)):
+        path = tmp_path / section
+        dashboard.write_lines(lines, str(path))
+        files = list(Path(path, f"section={section}").glob("*.json"))
+        assert len(files) > 1
+        back = spark.read.json(str(path))
+        assert back.count() == n + extra
+        own = back.filter(F.col("section") == section)
+        assert own.agg(F.min("position"), F.max("position"), F.count_distinct("position")).first()[:] == (1, n, n)
+        item = json.loads(own.filter("position = 70001").first()["item"])
+        assert item["area"] == "a0070000"
+        volumes = item["volumes"] if "volumes" in item else [d["predicted_volume"] for d in item["days"]]
+        assert volumes == [70000.0, 70000.1]
+    assert json.loads(dashboard.forecast_lines(forecast).filter("section = 'dates' AND position = 2").first()["item"]) == {"date": "2024-01-02"}

@@ -138,3 +138,50 @@ def test_a_single_file_can_be_streamed(spark):
     out = fresh_path(spark, "out")
     intake.store_running_counts(run.read_table_stream(spark, name), out, fresh_path(spark, "state"))
     assert intake.read_counts(spark, out).agg(F.sum("n")).first()[0] == 1
+
+
+def test_repeats_are_known_from_the_index_and_no_state_is_kept(spark):
+    """Shuffled files, replays and a compacted index: the stream gives what a batch gives."""
+    import random
+
+    box, out, state = Inbox(spark, RAW), fresh_path(spark, "out"), fresh_path(spark, "state")
+    rows = scattered(600)
+    random.Random(3).shuffle(rows)
+    for k in range(0, 600, 150):
+        box.put(rows[k : k + 150] + rows[: k // 3])
+    intake.store_intake(box.stream(files_per_batch=1), out, state)
+    # The last batch again, as after a crash before its commit.
+    last = max(int(n) for n in os.listdir(f"{state}/commits") if n.isdigit())
+    for name in (f"{last}", f".{last}.crc"):
+        os.remove(f"{state}/commits/{name}")
+    intake.store_intake(box.stream(files_per_batch=1), out, state)
+    want = rep.clean_reports(spark.createDataFrame(rows, RAW))
+    got = spark.read.parquet(out).select(want.columns)
+    assert got.count() == 600 and got.exceptAll(want).count() == 0
+    assert not os.path.isdir(f"{state}/state")
+    index = spark.read.parquet(f"{state}-ids")
+    assert index.count() == 600 == index.select("id").distinct().count()
+    assert index.select("bucket").distinct().count() == intake.BUCKETS
+    # A batch of one known and one new id reads two buckets at most.
+    batch = spark.createDataFrame([report(1, 1), report(10_000, 1)], RAW)
+    found = intake.new_ids(batch, 99, f"{state}-ids", ("id",))
+    assert [r["id"] for r in found.collect()] == [10_000]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    compact = fresh_path(spark, "ids")
+    intake.compact_ids(spark, f"{state}-ids", last + 1, compact)
+    again = spark.read.parquet(compact)
+    assert again.count() == 600 and again.select("batch").distinct().count() == 1
+    assert [r["id"] for r in intake.new_ids(batch, 99, compact, ("id",)).collect()] == [10_000]
+
+
+def test_keys_of_two_columns_and_empty_batches(spark):
+    box, out, state = Inbox(spark, RAW), fresh_path(spark, "out"), fresh_path(spark, "state")
+    box.put([report(1, 1), report(1, 2)])
+    store = lambda: intake.store_intake(box.stream(files_per_batch=1), out, state, ("id", "created_at"))
+    store()
+    box.put([report(1, 2)])
+    box.put([report(2, 2), report(1, 1)])
+    store()
+    got = spark.read.parquet(out)
+    assert sorted((r["id"], r["created_at"].hour) for r in got.collect()) == [(1, 1), (1, 2), (2, 2)]
