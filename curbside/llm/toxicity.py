@@ -7,7 +7,14 @@ A document has the linear score ``z``, the sum of its words' weights, and
 All thresholds share the weights, so the grades are ordered by construction.
 The expected severity is the sum of these probabilities over k.  Weights are
 fitted by proximal gradient steps with an L1 penalty on a bounded sample: words
-that tell nothing get weight 0, so long clean documents gather no noise.
+that tell nothing get weight 0, so long clean documents gather no noise.  The
+penalty also draws the probabilities of toxic texts down, so ``toxic`` is told by
+a cut of its own: of the probabilities of the documents learned from, the one
+where the shares of toxic ones below it and of others from it on sum up to least,
+with at most ``FALSE_ALARMS`` of the others.
+
+Where only toxic or not is known, grades 2 and 3 say how many telling words a
+toxic document holds: they are a scale of word load, not a judgement by people.
 
 Words are runs of ASCII letters and of bytes of longer code points, in lower
 case for A-Z, hashed to ``SLOTS`` weights.  Null and empty texts score as a text
@@ -37,6 +44,8 @@ STEPS, PENALTY = 600, 1.5e-3
 #: them, to get a weight.
 LEAST, MOST_SHARE = 5, 0.3
 FOLDS, HELD_OUT = 3, 1
+#: Share of the other documents learned from that the cut may call toxic.
+FALSE_ALARMS = 0.01
 #: Telling words from which a toxic document is of the 2nd, 3rd grade.
 GRADE_CUTS = (3, 6)
 
@@ -45,6 +54,7 @@ GRADE_CUTS = (3, 6)
 class Model:
     weights: np.ndarray
     thresholds: np.ndarray
+    cut: float = 0.5  # P(grade >= 1) from which a document is toxic
 
     def at_least(self, z: np.ndarray) -> np.ndarray:
         """P(grade >= k) for k = 1, 2, ..."""
@@ -126,6 +136,12 @@ def _descend(
     return w, b
 
 
+def linear_scores(rows: list[np.ndarray], weights: np.ndarray) -> np.ndarray:
+    """z of each document from the slots of its words."""
+    found = [np.unique(own, return_counts=True) for own in rows]
+    return np.array([float(weights[slot] @ np.log1p(count)) for slot, count in found])
+
+
 def severity_grades(rows: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
     """Grades for documents of which only toxic or not is known: 0 if not, else
     1, 2 or 3 by how many telling words they hold.  A word tells if its share of
@@ -141,6 +157,22 @@ def severity_grades(rows: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
     return np.where(toxic == 1, 1 + sum((hits >= cut).astype(np.int64) for cut in GRADE_CUTS), 0)
 
 
+def toxic_cut(chances: np.ndarray, toxic: np.ndarray) -> float:
+    """The cut, from P(grade >= 1) of the documents learned from; half way to the
+    next lower probability.  0.5 where a side has no documents."""
+    yes, no = np.sort(chances[toxic == 1]), np.sort(chances[toxic == 0])
+    if not len(yes) or not len(no):
+        return 0.5
+    every = np.unique(chances)
+    missed = np.searchsorted(yes, every) / len(yes)
+    alarms = 1 - np.searchsorted(no, every) / len(no)
+    error = np.where(alarms <= FALSE_ALARMS, missed + alarms, np.inf)
+    best = int(np.argmin(error))
+    if not np.isfinite(error[best]):
+        return 0.5
+    return float((every[best] + every[max(best - 1, 0)]) / 2)
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on at most ``sample`` labelled documents outside the held-out fold."""
 
@@ -163,7 +195,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     toxic = np.array([r["y"] for r in rows], np.int64)
     if not len(rows):
         return Model(np.zeros(SLOTS), np.full(len(GRADE_CUTS) + 1, 40.0))
-    return fit_ordinal(features, severity_grades(features, toxic), len(GRADE_CUTS) + 2)
+    model = fit_ordinal(features, severity_grades(features, toxic), len(GRADE_CUTS) + 2)
+    model.cut = toxic_cut(model.at_least(linear_scores(features, model.weights))[:, 0], toxic)
+    return model
 
 
 def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
@@ -201,7 +235,7 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
         "severity",
         "p_toxic",
         "grade",
-        (F.col("p_toxic") >= 0.5).cast("int").alias("toxic"),
+        (F.col("p_toxic") >= model.cut).cast("int").alias("toxic"),
     )
 
 

@@ -187,3 +187,48 @@ def test_without_anything_to_learn(spark):
 def test_slots_ignore_case_and_marks():
     found, firsts = tox.slots(*text_bytes(pa.array(["Idiot, IDIOT!", None, "idiot"])), Hasher())
     assert len(set(found)) == 1 and firsts.tolist() == [0, 2, 2, 3]
+
+
+def test_the_cut_catches_most_with_few_false_alarms():
+    toxic = np.array([1] * 50 + [0] * 950)
+    chances = np.concatenate([np.linspace(0.2, 0.9, 50), np.linspace(0.0, 0.1, 950)])
+    cut = tox.toxic_cut(chances, toxic)
+    assert 0.1 < cut < 0.2 and ((chances >= cut) == toxic).all()
+    mixed = np.concatenate([np.linspace(0.0, 0.9, 50), np.linspace(0.0, 0.5, 950)])
+    cut = tox.toxic_cut(mixed, toxic)
+    alarms = np.mean(mixed[50:] >= cut)
+    assert alarms <= tox.FALSE_ALARMS and np.mean(mixed[:50] >= cut) > 0.4
+    assert tox.toxic_cut(chances[:50], toxic[:50]) == 0.5 == tox.toxic_cut(np.zeros(0), np.zeros(0))
+
+
+def test_toxicity_is_the_formula_over_the_words(spark, labelled):
+    """Every probability written out from words, weights and thresholds."""
+    docs, labels = labelled
+    model = tox.fit(docs, labels)
+    hasher = tox.Hasher()
+    text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert 0 < model.cut < 1 and (np.diff(model.thresholds) > 0).all()
+    for r in tox.score_toxicity(docs, model).collect():
+        data = np.frombuffer(text[r["doc_id"]].encode(), np.uint8)
+        found, _ = tox.slots(data, np.array([0, len(data)]), hasher)
+        slot, count = np.unique(found, return_counts=True)
+        z = sum(float(model.weights[s]) * np.log(1 + c) for s, c in zip(slot, count))
+        chances = [1 / (1 + np.exp(t - z)) for t in model.thresholds]
+        assert r["severity"] == pytest.approx(sum(chances), abs=1e-4)
+        assert r["p_toxic"] == pytest.approx(chances[0], abs=1e-4) and r["toxic"] == (r["p_toxic"] >= model.cut)
+
+
+def test_language_scores_are_the_cosines_written_out(spark):
+    from curbside.llm import language as la
+
+    rng = np.random.default_rng(5)
+    texts = ["the " + "".join(rng.choice(list("abcdet  "), 80)) for _ in range(40)] + ["der " + "".join(rng.choice(list("nuzwvk  "), 80)) for _ in range(40)]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    rows = la.counts(data, np.cumsum([0, *map(len, texts)]))
+    model = la.learn(rows, np.array(["en"] * 40 + ["de"] * 40))
+    for row in rows[:5]:
+        vector = np.log(1 + row) * model.idf
+        vector = vector / np.sqrt((vector**2).sum())
+        cosines = [float(vector @ c) / float(np.sqrt(c @ c)) for c in model.centroids]
+        assert model.langs[int(np.argmax(cosines))] == "en"
+        assert la.unit(np.log1p(row[None]) * model.idf)[0] @ model.centroids.T == pytest.approx(cosines, abs=1e-4)
