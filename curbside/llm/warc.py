@@ -2,8 +2,10 @@
 
 A revisit (status 304) stands for the latest earlier full response (status 200)
 of the same canonical URL.  The validators say whether it really does: equal
-entity tags, or without tags equal modification dates.  The headers of the
-resolved record are those of the response, overridden by those a 304 may renew.
+entity tags (weak or not: "W/" does not count), or without tags equal modification
+dates.  The headers of the resolved record are those of the response, overridden
+by those a 304 may renew; names are compared without regard to case, and no
+headers (null) are like none.
 
 The as-of join is a union of both kinds in time order.  To keep a hot URL out of
 one task, time is cut into ranges of about ``RANGE_ROWS`` records: inside a
@@ -95,7 +97,8 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
         & (F.col("span") <= F.col("c_to")),
         "left",
     ).withColumn("found", F.when(F.col("canonical").isNotNull(), F.coalesce("near", "carried")))
-    same_tag = F.col("etag") == F.col("found.etag")
+    strong = lambda tag: F.regexp_replace(tag, "^[Ww]/", "")
+    same_tag = strong(F.col("etag")) == strong(F.col("found.etag"))
     same_date = F.col("last_modified") == F.col("found.last_modified")
     same = F.coalesce(same_tag, same_date)
     outcome = (
@@ -103,9 +106,11 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
         .when(same.isNull(), "unchecked")
         .otherwise(F.when(same, "resolved").otherwise("changed"))
     )
-    renewed = F.map_filter("headers", lambda name, _: F.lower(name).isin(*RENEWED))
+    none = F.create_map().cast("map<string,string>")
+    renewed = F.map_filter(F.coalesce("headers", none), lambda name, _: F.lower(name).isin(*RENEWED))
+    names = F.transform(F.map_keys(renewed), F.lower)
     stored = F.map_filter(
-        F.col("found.headers"), lambda name, _: ~F.array_contains(F.map_keys(renewed), name)
+        F.coalesce("found.headers", none), lambda name, _: ~F.array_contains(names, F.lower(name))
     )
     valid = F.col("outcome").isin("resolved", "unchecked")
     return joined.withColumn("outcome", outcome).select(

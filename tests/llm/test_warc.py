@@ -89,3 +89,21 @@ def test_awkward_pages(spark):
     assert warc.resolve_pages(pages).count() == 6
     assert warc.resolve_pages(pages.limit(0)).count() == 0
     assert h.rows(warc.resolve_revisits(warc.crawl_records(pages).where("status = 200"))) == []
+
+
+def test_header_case_missing_headers_and_weak_tags(spark):
+    url = "http://a.com/x"
+    rows = [
+        (1, url, 10, 200, 'W/"x"', None, "d1", {"Date": "old", "Content-Type": "text/html", "ETag": 'W/"x"'}),
+        (2, url, 20, 304, '"x"', None, None, {"date": "new", "Content-Length": "0"}),
+        (3, url, 30, 304, 'w/"x"', None, None, None),
+        (4, url, 40, 304, 'W/"y"', None, None, None),
+        (5, "http://b.com/", 10, 200, "t", None, "d2", None),
+        (6, "http://b.com/", 20, 304, "t", None, None, {"Date": "new", "x-other": "1"}),
+    ]
+    got = {r["record_id"]: (r["outcome"], r["headers"]) for r in warc.resolve_revisits(spark.createDataFrame(rows, warc.RECORD)).collect()}
+    kept = {"Content-Type": "text/html", "ETag": 'W/"x"'}
+    assert got == {
+        2: ("resolved", {**kept, "date": "new"}), 3: ("resolved", {**kept, "Date": "old"}), 4: ("changed", None),
+        6: ("resolved", {"Date": "new"}),
+    }
