@@ -7,25 +7,31 @@ the least hash is chosen, the first of equals.  Equal passages choose the same
 token at the same place, so the suffixes that begin at chosen tokens, about one in
 70, meet wherever passages are equal.
 
-1. Suffixes are dealt by ranges of their leading token; the splitters are the
-   leading bits of its hash, which need no sample as hashes are even.  Suffixes
-   whose leading token no other suffix has drop out.
-2. The rest travel with the ``SPAN`` bytes ahead and the ``SPAN - TOKEN`` behind, again
-   by leading token, and are sorted in their bucket.  For each of the passages
-   around a suffix the bucket looks for an equal one; the longest reach to
-   either side is what is removed.  A bucket holds all suffixes with its leading
-   tokens, so nothing is compared across buckets.
-3. Leading tokens of very many suffixes (a line that a third of all documents
-   have) would be too much for one bucket: their passages are compared as hashes
-   in a grouped aggregation with partial sums instead, with equal results.
-
-Suffixes with equal surroundings are settled in the task that reads them and sent
-once.  Texts that occur more than once as a whole are removed as a whole, and
-stand once for the others to be compared with.
-
-Passages are equal if their 64-bit hashes are.  Null text is empty.  Texts of
-fewer than ``SPAN`` bytes lose nothing.  Rows are told apart by their text, so null
-and repeated ids do no harm.
+1. Suffixes whose leading token no other suffix has drop out, by a count of the
+   hashes of the leading tokens.
+2. The rest go with the ``SPAN`` bytes ahead and the ``SPAN - TOKEN`` behind into
+   buckets by ranges of their leading token.  Spark samples the tokens for the
+   splitters; suffixes with one leading token are parted further by their
+   surroundings and text, so a line of a third of all documents fills many buckets.
+3. A bucket sorts its suffixes by multikey quicksort, and what lies before them,
+   read backwards, as well.  The common prefixes of neighbours in both orders tell
+   which passages around the suffixes are equal, and the longest reach to either side
+   is what is removed.
+4. Across boundaries: a passage can only occur in another bucket too if its leading
+   token is that of the first or the last suffix of its bucket.  The passages of
+   those suffixes are compared between buckets by an aggregation with partial
+   sums, each once per bucket.
+
+Suffixes with equal surroundings are settled in the task that reads them, and again
+in their bucket, and one goes on.  Texts that occur more than once as a whole are
+removed as a whole, and stand once for the others to be compared with.
+
+Inside a bucket bytes are compared.  Between buckets passages are equal if 128 bits of
+hashes are, and so are whole texts.  (The count of leading tokens names texts by 64
+bits: two texts of one name that share a token at one place, which no third has,
+would count as one.)  Null text is empty.  Texts of fewer than ``SPAN`` bytes
+lose nothing.  Rows are told apart by their text, so null and repeated ids do no
+harm.
 """
 
 from __future__ import annotations
@@ -39,26 +45,33 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curbside.llm.store import stored
+from curbside.llm.store import discard, stored
 from curbside.llm.text import Hasher, mix, steps, text_bytes
 
 #: Bytes of a passage, and of a token.
 SPAN, TOKEN = 200, 64
 #: Tokens in a passage, and bytes behind a suffix that its passages reach.
 WINDOW, BEHIND = SPAN - TOKEN + 1, SPAN - TOKEN
+#: Bytes that travel with a suffix.
+AROUND = BEHIND + SPAN
 #: Bytes of text that tokens are chosen in at once.
 SEGMENT = 4 << 20
 #: Suffixes that a task groups before it sends them.
 FLUSH = 1 << 20
 #: Bytes that one task of a grouping reads, about.
 GROUP_BYTES = 48 << 20
-#: A leading token of more suffixes than this, and than a millionth of all, is
-#: compared by aggregation.  There are fewer than a million such tokens.
-CROWD = 50_000
+#: Suffixes that one bucket sorts, about.
+BUCKET = 100_000
+#: Suffixes that are cut out or compared at once, and passages that are sent at once.
+ROWS = 8192
 
 U = np.uint64
 
 
+class SecondHasher(Hasher):
+    BASE = 0xD6E8FEB86659FD93
+
+
 def _least(values: np.ndarray, width: int) -> np.ndarray:
     """Least of each ``width`` consecutive values."""
     size = len(values) - width + 1
@@ -109,9 +122,9 @@ def _tasks(df: DataFrame, size: int) -> int:
     return max(least, -(-size // GROUP_BYTES))
 
 
-def shared_suffixes(texts: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
-    """(text_key, places) of the suffixes whose leading token is not alone, and
-    (token, suffixes) of the tokens that many share."""
+def shared_suffixes(texts: DataFrame, size: int) -> DataFrame:
+    """(text_key, places) of the suffixes whose leading token is not alone; once per
+    task and bucket, packed."""
     tasks = _tasks(texts, size // 2)
     bits = max(3, (tasks * 8 - 1).bit_length())
     names = ["kind", "bucket", "tokens", "keys", "places"]
@@ -183,19 +196,18 @@ def shared_suffixes(texts: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
 
     def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple] = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32))]
-        out = ["kind", "key", "places", "suffixes"]
 
-        def rows_of(kind: int, rows: list[tuple]) -> pa.RecordBatch:
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 3
-            arrays = [pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.binary(), pa.int64()), strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array([kind] * len(rows), pa.int32()), *arrays], out)
+        def rows_of(rows: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 2
+            arrays = [pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.binary()), strict=True)]
+            return pa.RecordBatch.from_arrays(arrays, ["text_key", "places"])
 
         for batch in batches:
             done = [
-                (int.from_bytes(row["keys"], "little", signed=True), row["places"], None)
+                (int.from_bytes(row["keys"], "little", signed=True), row["places"])
                 for row in batch.filter(pc.equal(batch.column("kind"), 1)).select(["keys", "places"]).to_pylist()
             ]
-            yield rows_of(1, done)
+            yield rows_of(done)
             for row in batch.filter(pc.equal(batch.column("kind"), 0)).to_pylist():
                 kinds = (("tokens", "<u8"), ("keys", "<i8"), ("places", "<i4"))
                 parts.append(tuple(np.frombuffer(row[name], kind) for name, kind in kinds))
@@ -205,43 +217,10 @@ def shared_suffixes(texts: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
         # A count from a task means several already, even if it came alone.
         totals = np.add.reduceat(known, first) if len(first) else known
         shared = np.repeat(totals > 1, sizes) & (places >= 0)
-        yield rows_of(1, [(k, p, None) for k, p in by_text(keys[shared], places[shared])])
-        crowded = totals > CROWD
-        yield rows_of(2, [(int(t), None, int(n)) for t, n in zip(tokens[first][crowded].view(np.int64), totals[crowded], strict=True)])
+        yield rows_of(list(by_text(keys[shared], places[shared])))
 
     packed = texts.mapInArrow(spread, schema).repartition(tasks, "bucket")
-    met = stored(
-        packed.mapInArrow(meet, "kind int, key long, places binary, suffixes long"), "suffixes"
-    )
-    places = met.where("kind = 1").groupBy(F.col("key").alias("text_key")).agg(
-        F.collect_list("places").alias("places")
-    )
-    return places, met.where("kind = 2").select(F.col("key").alias("token"), "suffixes")
-
-
-def _surroundings(
-    batches: Iterable[pa.RecordBatch], crowded: np.ndarray, of_crowd: bool
-) -> Iterator[tuple]:
-    """Per text: key, places, tokens, and for each place how far the text goes
-    behind and ahead; with the bytes and prefix sums to cut from."""
-    hasher = Hasher()
-    for batch in batches:
-        for key, text, lists in zip(
-            batch.column("text_key"), batch.column("text"), batch.column("places"), strict=True
-        ):
-            data = np.frombuffer(text.as_buffer(), np.uint8)
-            place = np.unique(np.concatenate([np.frombuffer(x, "<i4") for x in lists.as_py()]))
-            place = place.astype(np.int64)
-            sums = hasher.sums(data)
-            tokens = hasher.ranges(sums, place, place + TOKEN)
-            if len(crowded) or of_crowd:
-                among = crowded[np.minimum(np.searchsorted(crowded, tokens), len(crowded) - 1)]
-                mine = (among == tokens) == of_crowd
-                place, tokens = place[mine], tokens[mine]
-            if len(place):
-                behind = np.minimum(place, BEHIND)
-                ahead = np.minimum(len(data) - place, SPAN)
-                yield key.as_py(), data, sums, place, tokens, behind, ahead, hasher
+    return packed.mapInArrow(meet, "text_key long, places binary")
 
 
 def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -253,134 +232,266 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts[fresh], ends[last]
 
 
-def reaches(behind: np.ndarray, ahead: np.ndarray, around: np.ndarray, hasher: Hasher) -> tuple:
-    """For suffixes with ``SPAN + BEHIND`` bytes around each (a matrix; bytes beyond
-    the text are 0): how far back and ahead the equal passages around each go, 0
-    and 0 without any."""
-    flat = around.astype(np.uint64) + U(1)
-    sums = np.zeros((len(around), around.shape[1] + 1), np.uint64)
-    np.cumsum(flat * hasher.power[: around.shape[1]], axis=1, out=sums[:, 1:])
-    back, forth = np.zeros(len(around), np.int64), np.zeros(len(around), np.int64)
-    for x in range(BEHIND + 1):
-        inside = np.flatnonzero((behind >= x) & (ahead >= SPAN - x))
-        at = BEHIND - x
-        passage = mix((sums[inside, at + SPAN] - sums[inside, at]) * hasher.inverse[at])
-        ordered = np.sort(passage)
-        twice = ordered[1:][ordered[1:] == ordered[:-1]]
-        if len(twice):
-            near = twice[np.minimum(np.searchsorted(twice, passage), len(twice) - 1)]
-            equal = inside[near == passage]
-            back[equal] = x
-            forth[equal] = np.maximum(forth[equal], SPAN - x)
-    return back, forth
-
-
-RANGES = "text_key long, starts binary, ends binary"
-
-
-def _ranges(rows: Iterable[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+def multikey_order(words: np.ndarray) -> np.ndarray:
+    """Order of the rows of a matrix by multikey quicksort: each segment is split in
+    three by a pivot at its current column, and the middle part goes on to the next
+    column.  All segments take a step at once."""
+    count, width = words.shape
+    order = np.arange(count)
+    starts, sizes, depth = np.array([0]), np.array([count]), np.array([0])
+    while True:
+        open_ = (sizes > 1) & (depth < width)
+        starts, sizes, depth = starts[open_], sizes[open_], depth[open_]
+        if not len(starts):
+            return order
+        begin = np.cumsum(sizes) - sizes
+        segment = np.repeat(np.arange(len(starts)), sizes)
+        where = np.arange(len(segment)) + (starts - begin)[segment]
+        rows = order[where]
+        values = words[rows, depth[segment]]
+        three = np.sort([values[begin], values[begin + sizes // 2], values[begin + sizes - 1]], axis=0)
+        pivot = three[1][segment]
+        part = (values > pivot).astype(np.int64) + (values >= pivot)
+        split = np.bincount(segment * 3 + part, minlength=3 * len(starts)).reshape(-1, 3)
+        offset = np.cumsum(split, axis=1) - split
+        for side in range(3):
+            at = np.flatnonzero(part == side)
+            many = split[:, side]
+            rank = np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)
+            order[np.repeat(starts + offset[:, side], many) + rank] = rows[at]
+        starts, sizes = (starts[:, None] + offset).ravel(), split.ravel()
+        depth = (depth[:, None] + np.array([0, 1, 0])).ravel()
+
+
+def common_prefixes(rows: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Common bytes at the head of each row and the one before it in the order; 0
+    before the first and behind the last."""
+    common = np.zeros(len(order) + 1, np.int64)
+    for a in range(0, len(order) - 1, ROWS):
+        part = rows[order[a : a + ROWS + 1]]
+        other = part[1:] != part[:-1]
+        first = np.where(other.any(axis=1), other.argmax(axis=1), rows.shape[1])
+        common[a + 1 : a + 1 + len(first)] = first
+    return common
+
+
+class Bucket:
+    """Suffixes in order, and what lies before them in order of reading backwards.
+
+    ``around`` has ``AROUND`` bytes per suffix, ``BEHIND`` of them before it; bytes beyond the
+    text are 0, and ``behind`` and ``ahead`` say how far the text goes."""
+
+    def __init__(self, around: np.ndarray, behind: np.ndarray, ahead: np.ndarray) -> None:
+        self.around, self.behind, self.ahead = around, behind, ahead
+        sides = (np.ascontiguousarray(around[:, BEHIND:]), np.ascontiguousarray(around[:, BEHIND - 1 :: -1]))
+        self.order, self.common, self.place, self.near = [], [], [], []
+        for rows in sides:
+            order = multikey_order(rows.view(">u8").astype(np.uint64))
+            common = common_prefixes(rows, order)
+            place = np.empty_like(order)
+            place[order] = np.arange(len(order))
+            self.order.append(order)
+            self.common.append(common)
+            self.place.append(place)
+            self.near.append(np.maximum(common[place], common[place + 1]))
+        # One of those with equal surroundings stands for all.
+        size = len(around)
+        everything = [self._classes(0, SPAN), self._classes(1, BEHIND), behind, ahead]
+        line = np.lexsort(everything)
+        other = np.any([c[line][1:] != c[line][:-1] for c in everything], axis=0)
+        fresh = np.flatnonzero(np.append(True, other))
+        sizes = np.diff(np.append(fresh, size))
+        self.first, self.settled = np.zeros(size, bool), np.zeros(size, bool)
+        self.first[line[fresh]] = True
+        self.settled[line] = np.repeat(sizes > 1, sizes)
+
+    def _classes(self, side: int, depth: int, of: np.ndarray | None = None) -> np.ndarray:
+        """Numbers that are equal where the first ``depth`` bytes are."""
+        number = np.cumsum(self.common[side][:-1] < depth)
+        return number[self.place[side] if of is None else self.place[side][of]]
+
+    def passages(self, x: int, of: np.ndarray) -> np.ndarray:
+        """Numbers that are equal where the passages are that begin ``x`` bytes before
+        the suffixes."""
+        return self._classes(0, SPAN - x, of) * (len(self.around) + 1) + self._classes(1, x, of)
+
+    def inside(self, x: int) -> np.ndarray:
+        return self.first & (self.behind >= x) & (self.ahead >= SPAN - x)
+
+    def reaches(self) -> tuple[np.ndarray, np.ndarray]:
+        """How far back and ahead the repeated passages around each suffix go, 0 and 0
+        without any."""
+        back, forth = np.where(self.settled, self.behind, 0), np.where(self.settled, self.ahead, 0)
+        for x in range(BEHIND + 1):
+            near = (self.near[0] >= SPAN - x) & (self.near[1] >= x)
+            of = np.flatnonzero(self.inside(x) & near)
+            if not len(of):
+                continue
+            number = self.passages(x, of)
+            ordered = np.sort(number)
+            twice = ordered[1:][ordered[1:] == ordered[:-1]]
+            if len(twice):
+                equal = of[twice[np.minimum(np.searchsorted(twice, number), len(twice) - 1)] == number]
+                back[equal] = np.maximum(back[equal], x)
+                forth[equal] = np.maximum(forth[equal], SPAN - x)
+        return back, forth
+
+    def edges(self, hashers: tuple[Hasher, Hasher]) -> Iterator[tuple]:
+        """Passages around the suffixes with the first or the last leading token, once
+        each: two hashes, a suffix it is around, how far it begins before that, and
+        whether it is known as repeated."""
+        token = np.cumsum(self.common[0][:-1] < TOKEN)
+        outer = (token == token[0]) | (token == token[-1])
+        edge = np.zeros(len(token), bool)
+        edge[self.order[0]] = outer
+        every = np.flatnonzero(edge & self.first)
+        columns = np.ascontiguousarray(self.around[every].T)
+        weigh = lambda hasher, at: (columns[at].astype(np.uint64) + U(1)) * hasher.power[at]
+        sums = [np.zeros(len(every), np.uint64) for _ in hashers]
+        for total, hasher in zip(sums, hashers, strict=True):
+            for at in range(BEHIND, AROUND):
+                total += weigh(hasher, at)
+        held: list[tuple] = []
+        count = 0
+        for x in range(BEHIND + 1):
+            at = BEHIND - x
+            if x:
+                for total, hasher in zip(sums, hashers, strict=True):
+                    total += weigh(hasher, at) - weigh(hasher, at + SPAN)
+            of = np.flatnonzero(self.inside(x)[every])
+            if not len(of):
+                continue
+            _, first, many = np.unique(self.passages(x, every[of]), return_index=True, return_counts=True)
+            of = of[first]
+            one = every[of]
+            hashes = (mix(total[of] * hasher.inverse[at]) for total, hasher in zip(sums, hashers, strict=True))
+            held.append((*hashes, one, np.full(len(one), x), (many > 1) | self.settled[one]))
+            count += len(one)
+            if count >= ROWS:
+                yield tuple(np.concatenate(c) for c in zip(*held, strict=True))
+                held, count = [], 0
+        if held:
+            yield tuple(np.concatenate(c) for c in zip(*held, strict=True))
+
+
+RANGES = "text_id long, starts binary, ends binary"
+
+
+def _ranges(rows: Iterable[tuple[int, np.ndarray, np.ndarray]]) -> list[pa.Array]:
     packed = [(k, a.astype("<i8").tobytes(), b.astype("<i8").tobytes()) for k, a, b in rows]
     columns = list(zip(*packed, strict=True)) if packed else [()] * 3
     kinds = (pa.int64(), pa.binary(), pa.binary())
-    arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
-    return pa.RecordBatch.from_arrays(arrays, ["text_key", "starts", "ends"])
+    return [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+
+
+def surroundings(found: DataFrame) -> DataFrame:
+    """One row per suffix with the bytes around it; and ranges of suffixes that have
+    equal surroundings inside one text, of which one goes on."""
+    names = ["text_id", "starts", "ends", "place", "behind", "ahead", "around"]
+    empty_kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+
+    def suffixes(rows: list[tuple]) -> pa.RecordBatch:
+        ids, place, behind, ahead, around = (np.concatenate(c) for c in zip(*rows, strict=True))
+        offsets = np.arange(len(around) + 1, dtype=np.int32) * AROUND
+        buffers = [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(around))]
+        cells = pa.Array.from_buffers(pa.binary(), len(around), buffers)
+        nothing = pa.nulls(len(ids), pa.binary())
+        arrays = [pa.array(ids), nothing, nothing, pa.array(place), pa.array(behind), pa.array(ahead), cells]
+        return pa.RecordBatch.from_arrays(arrays, names)
 
+    def spread(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        count = 0
+        for batch in batches:
+            for key, text, lists in zip(*(batch.column(c) for c in ("text_id", "text", "places")), strict=True):
+                key, content = key.as_py(), np.frombuffer(text.as_buffer(), np.uint8)
+                place = np.unique(np.concatenate([np.frombuffer(x, "<i4") for x in lists.as_py()])).astype(np.int64)
+                place = place[place <= len(content) - TOKEN]
+                padded = np.concatenate([np.zeros(BEHIND, np.uint8), content, np.zeros(SPAN, np.uint8)])
+                windows = np.lib.stride_tricks.sliding_window_view(padded, AROUND)
+                behind = np.minimum(place, BEHIND).astype(np.int32)
+                ahead = np.minimum(len(content) - place, SPAN).astype(np.int32)
+                if len(place) > 1:
+                    digests = b"".join(hashlib.md5(padded[p : p + AROUND]).digest() for p in place.tolist())
+                    low, high = np.frombuffer(digests, "<u8").reshape(-1, 2).T
+                    low = low ^ mix((behind * (SPAN + 1) + ahead).astype(np.uint64))
+                    line = np.lexsort((high, low))
+                    other = (low[line][1:] != low[line][:-1]) | (high[line][1:] != high[line][:-1])
+                    fresh = np.flatnonzero(np.append(True, other))
+                    sizes = np.diff(np.append(fresh, len(line)))
+                    again = line[np.repeat(sizes > 1, sizes)]
+                    if len(again):
+                        settled = _ranges([(key, *merged((place - behind)[again], (place + ahead)[again]))])
+                        empty = [pa.nulls(1, k) for k in empty_kinds]
+                        yield pa.RecordBatch.from_arrays([*settled, *empty], names)
+                    one = np.sort(line[fresh])
+                    place, behind, ahead = place[one], behind[one], ahead[one]
+                for a in range(0, len(place), ROWS):
+                    part = slice(a, a + ROWS)
+                    ids = np.full(len(place[part]), key, np.int64)
+                    held.append((ids, place[part], behind[part], ahead[part], windows[place[part]]))
+                    count += len(ids)
+                    if count >= ROWS:
+                        yield suffixes(held)
+                        held, count = [], 0
+        if held:
+            yield suffixes(held)
 
-def repeated_ranges(found: DataFrame, crowded: np.ndarray, size: int) -> DataFrame:
-    """(text_key, starts, ends) of the repeated passages around the suffixes, but
-    for the crowded tokens."""
-    names = ["text_key", "starts", "ends", "token", "place", "behind", "ahead", "around"]
-    schema = f"{RANGES}, token long, place long, behind int, ahead int, around binary"
-    kinds = [
-        pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(),
-    ]
+    return found.mapInArrow(spread, f"{RANGES}, place long, behind int, ahead int, around binary")
 
-    def spread(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, data, sums, place, tokens, behind, ahead, hasher in _surroundings(batches, crowded, False):
-            # Equal surroundings inside one text: settled here, and one goes on.
-            shape = mix((behind * (SPAN + 1) + ahead).astype(np.uint64))
-            whole = hasher.ranges(sums, place - behind, place + ahead) ^ shape
-            _, first, inverse, count = np.unique(whole, return_index=True, return_inverse=True, return_counts=True)
-            again = count[inverse] > 1
-            if again.any():
-                a, b = merged((place - behind)[again], (place + ahead)[again])
-                settled = _ranges([(key, a, b)])
-                empty = [pa.nulls(1, k) for k in kinds[3:]]
-                yield pa.RecordBatch.from_arrays([*settled.columns, *empty], names)
-            rows = [
-                (
-                    key, None, None, int(tokens[i].view(np.int64)), int(place[i]), int(behind[i]), int(ahead[i]),
-                    data[place[i] - behind[i] : place[i] + ahead[i]].tobytes(),
-                )
-                for i in first
-            ]
-            columns = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+def sorted_buckets(suffixes: DataFrame, buckets: int) -> DataFrame:
+    """Ranges to remove, from the order of suffixes in each bucket; and rows with
+    ``low`` and ``high`` hashes, the passages that other buckets may have too."""
+    names = ["text_id", "starts", "ends", "low", "high", "start", "several"]
+    edge_kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, parts = Hasher(), []
-        for batch in batches:
-            settled = batch.filter(pc.is_valid(batch.column("starts")))
-            yield settled.select(["text_key", "starts", "ends"])
-            parts.append(batch.filter(pc.is_null(batch.column("starts"))).drop_columns(["starts", "ends"]))
-        table = pa.Table.from_batches(parts) if parts else None
-        if table is None or not table.num_rows:
+        parts = [batch for batch in batches if batch.num_rows]
+        if not parts:
             return
-        column = lambda name: table.column(name).to_numpy()
-        tokens, keys, places = column("token"), column("text_key"), column("place")
-        order = np.lexsort((places, keys, tokens))
+        table = pa.Table.from_batches(parts).combine_chunks()
+        del parts
+        ids, places, behind, ahead = (table.column(c).to_numpy() for c in ("text_id", "place", "behind", "ahead"))
+        cells = table.column("around").chunk(0)
+        offsets = np.frombuffer(cells.buffers()[1], np.int32)
+        around = np.frombuffer(cells.buffers()[2], np.uint8)[offsets[cells.offset] :][: len(ids) * AROUND]
         # The same suffix comes again where rows repeat a text's representative.
-        same = (keys[order][1:] == keys[order][:-1]) & (places[order][1:] == places[order][:-1])
-        order = order[np.append(True, ~same)]
-        tokens, around = tokens[order], table.column("around").combine_chunks()
-        new = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1]))
-        # Some thousand suffixes at a time, never parting those with one token.
-        cuts = [0]
-        for a in [*new[1:].tolist(), len(order)]:
-            if a - cuts[-1] >= 4096 or a == len(order):
-                cuts.append(a)
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            rows = order[a:b]
-            behind, ahead = column("behind")[rows], column("ahead")[rows]
-            matrix = np.zeros((len(rows), BEHIND + SPAN), np.uint8)
-            for i, row in enumerate(rows):
-                here = np.frombuffer(around[int(row)].as_buffer(), np.uint8)
-                matrix[i, BEHIND - behind[i] : BEHIND + ahead[i]] = here
-            back, forth = reaches(behind, ahead, matrix, hasher)
-            hit = np.flatnonzero(forth > 0)
-            key, start, end = keys[rows][hit], (places[rows] - back)[hit], (places[rows] + forth)[hit]
-            by_key = np.argsort(key, kind="stable")
-            key, start, end = key[by_key], start[by_key], end[by_key]
-            yield _ranges((int(key[i]), *merged(start[i:j], end[i:j])) for i, j in runs(key))
-
-    dealt = found.mapInArrow(spread, schema).repartition(_tasks(found, size * 2), F.coalesce("token", "text_key"))
-    return dealt.mapInArrow(compare, RANGES)
-
-
-def crowded_ranges(found: DataFrame, crowded: np.ndarray) -> DataFrame:
-    """The same for the crowded tokens, by counting the hashes of passages."""
-
-    def passages(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, _, sums, place, _, behind, ahead, hasher in _surroundings(batches, crowded, True):
-            parts = []
-            for x in range(BEHIND + 1):
-                at = place[(behind >= x) & (ahead >= SPAN - x)]
-                hashes = hasher.ranges(sums, at - x, at - x + SPAN).view(np.int64)
-                parts.append((hashes, np.full(len(at), key, np.int64), at - x))
-            columns = [pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)]
-            yield pa.RecordBatch.from_arrays(columns, ["passage", "text_key", "start"])
-
-    each = stored(
-        found.mapInArrow(passages, "passage long, text_key long, start long").distinct(), "passages"
+        line = np.lexsort((places, ids))
+        same = (ids[line][1:] == ids[line][:-1]) & (places[line][1:] == places[line][:-1])
+        line = line[np.append(True, ~same)]
+        around = around.reshape(-1, AROUND)[line]
+        ids, places = ids[line], places[line]
+        bucket = Bucket(around, behind[line].astype(np.int64), ahead[line].astype(np.int64))
+        back, forth = bucket.reaches()
+        hit = np.flatnonzero(forth > 0)
+        key, start, end = ids[hit], (places - back)[hit], (places + forth)[hit]
+        arrays = _ranges((int(key[i]), *merged(start[i:j], end[i:j])) for i, j in runs(key))
+        yield pa.RecordBatch.from_arrays([*arrays, *(pa.nulls(len(arrays[0]), k) for k in edge_kinds)], names)
+        for low, high, suffix, x, several in bucket.edges((Hasher(), SecondHasher())):
+            nothing = pa.nulls(len(suffix), pa.binary())
+            values = (low.view(np.int64), high.view(np.int64), places[suffix] - x, several)
+            arrays = [pa.array(ids[suffix]), nothing, nothing, *(pa.array(v) for v in values)]
+            yield pa.RecordBatch.from_arrays(arrays, names)
+
+    token = F.substring("around", BEHIND + 1, TOKEN)
+    dealt = suffixes.repartitionByRange(buckets, token, F.xxhash64("around"), "text_id")
+    return dealt.mapInArrow(compare, f"{RANGES}, low long, high long, start long, several boolean")
+
+
+def across_buckets(edges: DataFrame) -> DataFrame:
+    """Ranges of the passages that more than one bucket has."""
+    where = F.struct("text_id", "start")
+    each = edges.groupBy("low", "high").agg(
+        F.min(where).alias("least"), F.max(where).alias("greatest"), F.max("several").alias("known")
     )
-    where = F.struct("text_key", "start")
-    several = each.groupBy("passage").agg(F.min(where).alias("low"), F.max(where).alias("high"))
-    hits = each.join(several.where("low <> high").select("passage"), "passage", "left_semi")
+    repeated = each.where("known or least <> greatest").select("low", "high")
+    hits = edges.where("not several").join(repeated, ["low", "high"], "left_semi")
     # As the packed ranges: little-endian longs, one passage per row.
-    little = lambda c: F.reverse(F.split(F.regexp_replace(F.lpad(F.hex(c), 16, "0"), "(..)", "$1 "), " "))
+    little = lambda c: F.reverse(F.split(F.regexp_replace(F.lpad(F.hex(c), 16, "0"), "(..)(?!$)", "$1 "), " "))
     packed = lambda c: F.unhex(F.array_join(little(c), ""))
     return hits.select(
-        "text_key", packed(F.col("start")).alias("starts"), packed(F.col("start") + SPAN).alias("ends")
+        "text_id", packed(F.col("start")).alias("starts"), packed(F.col("start") + SPAN).alias("ends")
     )
 
 
@@ -392,40 +503,43 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         F.col(key).cast("long").alias("doc_id"),
         content.alias("text"),
         F.xxhash64(content).alias("text_key"),
+        F.xxhash64(F.lit(1), content).alias("more_key"),
         F.octet_length(content).cast("long").alias("n_bytes"),
     )
+    long = read.where(F.col("n_bytes") >= SPAN)
     texts = stored(
-        read.where(F.col("n_bytes") >= SPAN)
-        .groupBy("text_key")
-        .agg(F.count("*").alias("copies"), F.min("doc_id").alias("rep"), F.max("n_bytes").alias("n_bytes")),
+        long.groupBy("text_key", "more_key")
+        .agg(F.count("*").alias("copies"), F.min("doc_id").alias("rep"), F.max("n_bytes").alias("n_bytes"))
+        .withColumn("text_id", F.monotonically_increasing_id()),
         "texts",
     )
     size = int(texts.agg(F.sum("n_bytes")).first()[0] or 0)
-    long = read.where(F.col("n_bytes") >= SPAN)
-    places, crowds = shared_suffixes(long.select("text", "text_key"), size)
-    # Tokens with more than a millionth of the suffixes: fewer than a million.
-    least = max(CROWD, size // (WINDOW // 2) // 1_000_000)
-    tokens = crowds.where(F.col("suffixes") > least).select("token").collect()
-    crowded = np.sort(np.array([r[0] for r in tokens], np.int64).view(np.uint64))
-
-    held = places.join(texts.select("text_key", "rep"), "text_key")
+    met = stored(shared_suffixes(long.select("text", "text_key"), size), "places")
+    places = met.groupBy("text_key").agg(F.collect_list("places").alias("places"))
+    held = places.join(texts.select("text_key", "more_key", "text_id", "rep"), "text_key")
     found = long.alias("l").join(
         held.alias("h"),
-        (F.col("l.text_key") == F.col("h.text_key")) & F.col("l.doc_id").eqNullSafe(F.col("h.rep")),
-    ).select("l.text_key", "l.text", "h.places")
-    if len(crowded):
-        found = stored(found, "suffix_texts")
-        ranges = repeated_ranges(found, crowded, size).unionAll(crowded_ranges(found, crowded))
-    else:
-        ranges = repeated_ranges(found, crowded, size)
+        (F.col("l.text_key") == F.col("h.text_key"))
+        & (F.col("l.more_key") == F.col("h.more_key"))
+        & F.col("l.doc_id").eqNullSafe(F.col("h.rep")),
+    ).select("h.text_id", "l.text", "h.places")
+    cut_out = stored(surroundings(found), "surroundings")
+    discard(met)
+    settled = cut_out.where("starts is not null").select("text_id", "starts", "ends")
+    suffixes = cut_out.where("starts is null").select("text_id", "place", "behind", "ahead", "around")
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_ = stored(sorted_buckets(suffixes, max(least, -(-suffixes.count() // BUCKET))), "ranges")
+    ranges = sorted_.where("starts is not null").select("text_id", "starts", "ends").unionAll(settled)
+    edges = sorted_.where("starts is null").select("text_id", "low", "high", "start", "several")
     removed = (
-        stored(ranges, "ranges")
-        .groupBy("text_key")
+        ranges.unionAll(across_buckets(edges))
+        .groupBy("text_id")
         .agg(F.collect_list("starts").alias("starts"), F.collect_list("ends").alias("ends"))
     )
-    marked = texts.join(removed, "text_key", "left").where("copies > 1 or starts is not null").select(
-        F.col("text_key").alias("m_key"), (F.col("copies") > 1).alias("whole"), "starts", "ends"
-    )
+    marked = texts.join(removed, "text_id", "left").where("copies > 1 or starts is not null").select(
+        F.col("text_key").alias("m_key"), F.col("more_key").alias("m_more"),
+        (F.col("copies") > 1).alias("whole"), "starts", "ends",
+    )
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -459,5 +573,5 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
             )
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    joined = read.join(marked, F.col("text_key") == F.col("m_key"), "left")
+    joined = read.join(marked, (F.col("text_key") == F.col("m_key")) & (F.col("more_key") == F.col("m_more")), "left")
     return joined.select("doc_id", "text", "whole", "starts", "ends").mapInArrow(cut, schema)

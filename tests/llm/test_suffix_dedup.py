@@ -61,12 +61,58 @@ def test_same_as_brute_force(spark, seed):
     assert removed(spark, texts) == brute(texts)
 
 
-def test_crowded_tokens_by_aggregation(spark, monkeypatch):
-    monkeypatch.setattr(sd, "CROWD", 3)
+@pytest.mark.parametrize("bucket", [1, 3, 20])
+def test_runs_cross_bucket_boundaries(spark, monkeypatch, bucket):
+    monkeypatch.setattr(sd, "BUCKET", bucket)
     texts = corpus(7)
     assert removed(spark, texts) == brute(texts)
 
 
+def test_hot_passage_fills_many_buckets(spark, monkeypatch):
+    monkeypatch.setattr(sd, "BUCKET", 10)
+    rng = random.Random(3)
+    letters = lambda k: "".join(rng.choices("abcdefgh ", k=k))
+    hot, line = letters(230), letters(90)
+    texts = [letters(rng.randint(0, 300)) + hot + letters(rng.randint(0, 300)) for _ in range(60)]
+    # A line too short to be a passage, whose tokens all of these share.
+    texts += [letters(150) + line + letters(150) for _ in range(60)]
+    texts += [t[40:-40] for t in texts[60:75]]
+    assert removed(spark, texts) == brute(texts)
+
+
+def test_multikey_order_and_common_prefixes():
+    rng = np.random.default_rng(5)
+    rows = rng.integers(0, 2, (700, 16)).astype(np.uint8)
+    rows[:, :6] = 7
+    rows[100:200] = rows[0]
+    order = sd.multikey_order(rows.view(">u8").astype(np.uint64))
+    got = [bytes(rows[i]) for i in order]
+    assert sorted(order.tolist()) == list(range(700)) and got == sorted(map(bytes, rows))
+    common = sd.common_prefixes(rows, order)
+    want = [next((k for k in range(16) if a[k] != b[k]), 16) for a, b in zip(got, got[1:], strict=False)]
+    assert common.tolist() == [0, *want, 0]
+
+
+def test_bytes_beyond_a_text_are_not_zeros_of_another(spark):
+    rng = random.Random(4)
+    body = "".join(rng.choices("abcdef", k=180))
+    texts = [body + "\0" * 30, body + "\0" * 25 + "x", "\0" * 30 + body, "\0" * 10 + body + "y" * 10, body]
+    assert removed(spark, texts) == brute(texts)
+
+
+def test_two_texts_with_one_short_hash(spark, monkeypatch):
+    """Texts are told apart by more than the hash that names them for the count."""
+    from pyspark.sql import functions as F
+
+    real = F.xxhash64
+    monkeypatch.setattr(sd.F, "xxhash64", lambda *c: F.lit(5).cast("long") if len(c) == 1 else real(*c))
+    rng = random.Random(8)
+    texts = ["".join(rng.choices("abcdef", k=k)) for k in (300, 400, 250)]
+    texts += [texts[0][:250] + "z" * 90, texts[1]]
+    got, want = removed(spark, texts), brute(texts)
+    assert [got[i] for i in (1, 2, 4)] == [want[i] for i in (1, 2, 4)]
+
+
 def test_at_the_length(spark):
     rng = random.Random(1)
     passage = "".join(rng.choices("abcdefgh", k=200))
