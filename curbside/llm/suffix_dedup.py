@@ -18,9 +18,9 @@ token at the same place, so the suffixes that begin at chosen tokens, about one
    which passages around the suffixes are equal, and the longest reach to either side
    is what is removed.
 4. Across boundaries: a passage can only occur in another bucket too if its leading
-   token is that of the first or the last suffix of its bucket.  The passages of
-   those suffixes are compared between buckets by an aggregation with partial
-   sums, each once per bucket.
+   token is that of the first or the last suffix of its bucket.  Those suffixes are
+   compared between buckets by aggregations with partial sums: first what bands of
+   passages around them have in common, then the passages of the bands left.
 
 Suffixes with equal surroundings are settled in the task that reads them, and again
 in their bucket, and one goes on.  Texts that occur more than once as a whole are
@@ -42,7 +42,8 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curbside.llm.store import discard, stored
@@ -62,16 +63,14 @@ FLUSH = 1 << 20
 GROUP_BYTES = 48 << 20
 #: Suffixes that one bucket sorts, about.
 BUCKET = 100_000
-#: Suffixes that are cut out or compared at once, and passages that are sent at once.
+#: Suffixes that are cut out or compared at once.
 ROWS = 8192
+#: Passages around a suffix that are looked for in other buckets at once.
+BAND = 18
 
 U = np.uint64
 
 
-class SecondHasher(Hasher):
-    BASE = 0xD6E8FEB86659FD93
-
-
 def _least(values: np.ndarray, width: int) -> np.ndarray:
     """Least of each ``width`` consecutive values."""
     size = len(values) - width + 1
@@ -336,42 +335,13 @@ class Bucket:
                 forth[equal] = np.maximum(forth[equal], SPAN - x)
         return back, forth
 
-    def edges(self, hashers: tuple[Hasher, Hasher]) -> Iterator[tuple]:
-        """Passages around the suffixes with the first or the last leading token, once
-        each: two hashes, a suffix it is around, how far it begins before that, and
-        whether it is known as repeated."""
+    def edges(self) -> np.ndarray:
+        """The suffixes with the first or the last leading token, one of those with
+        equal surroundings."""
         token = np.cumsum(self.common[0][:-1] < TOKEN)
-        outer = (token == token[0]) | (token == token[-1])
         edge = np.zeros(len(token), bool)
-        edge[self.order[0]] = outer
-        every = np.flatnonzero(edge & self.first)
-        columns = np.ascontiguousarray(self.around[every].T)
-        weigh = lambda hasher, at: (columns[at].astype(np.uint64) + U(1)) * hasher.power[at]
-        sums = [np.zeros(len(every), np.uint64) for _ in hashers]
-        for total, hasher in zip(sums, hashers, strict=True):
-            for at in range(BEHIND, AROUND):
-                total += weigh(hasher, at)
-        held: list[tuple] = []
-        count = 0
-        for x in range(BEHIND + 1):
-            at = BEHIND - x
-            if x:
-                for total, hasher in zip(sums, hashers, strict=True):
-                    total += weigh(hasher, at) - weigh(hasher, at + SPAN)
-            of = np.flatnonzero(self.inside(x)[every])
-            if not len(of):
-                continue
-            _, first, many = np.unique(self.passages(x, every[of]), return_index=True, return_counts=True)
-            of = of[first]
-            one = every[of]
-            hashes = (mix(total[of] * hasher.inverse[at]) for total, hasher in zip(sums, hashers, strict=True))
-            held.append((*hashes, one, np.full(len(one), x), (many > 1) | self.settled[one]))
-            count += len(one)
-            if count >= ROWS:
-                yield tuple(np.concatenate(c) for c in zip(*held, strict=True))
-                held, count = [], 0
-        if held:
-            yield tuple(np.concatenate(c) for c in zip(*held, strict=True))
+        edge[self.order[0]] = (token == token[0]) | (token == token[-1])
+        return np.flatnonzero(edge & self.first)
 
 
 RANGES = "text_id long, starts binary, ends binary"
@@ -441,10 +411,10 @@ def surroundings(found: DataFrame) -> DataFrame:
 
 
 def sorted_buckets(suffixes: DataFrame, buckets: int) -> DataFrame:
-    """Ranges to remove, from the order of suffixes in each bucket; and rows with
-    ``low`` and ``high`` hashes, the passages that other buckets may have too."""
-    names = ["text_id", "starts", "ends", "low", "high", "start", "several"]
-    edge_kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
+    """Ranges to remove, from the order of suffixes in each bucket; and rows with a
+    ``bucket``, the suffixes whose passages other buckets may have too."""
+    names = ["text_id", "starts", "ends", "place", "behind", "ahead", "around", "bucket", "settled"]
+    edge_kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.bool_()]
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [batch for batch in batches if batch.num_rows]
@@ -468,31 +438,57 @@ def sorted_buckets(suffixes: DataFrame, buckets: int) -> DataFrame:
         key, start, end = ids[hit], (places - back)[hit], (places + forth)[hit]
         arrays = _ranges((int(key[i]), *merged(start[i:j], end[i:j])) for i, j in runs(key))
         yield pa.RecordBatch.from_arrays([*arrays, *(pa.nulls(len(arrays[0]), k) for k in edge_kinds)], names)
-        for low, high, suffix, x, several in bucket.edges((Hasher(), SecondHasher())):
-            nothing = pa.nulls(len(suffix), pa.binary())
-            values = (low.view(np.int64), high.view(np.int64), places[suffix] - x, several)
-            arrays = [pa.array(ids[suffix]), nothing, nothing, *(pa.array(v) for v in values)]
-            yield pa.RecordBatch.from_arrays(arrays, names)
+        edge = bucket.edges()
+        number = TaskContext.get().partitionId()
+        for a in range(0, len(edge), ROWS):
+            part = edge[a : a + ROWS]
+            nothing = pa.nulls(len(part), pa.binary())
+            values = (
+                places[part], bucket.behind[part].astype(np.int32), bucket.ahead[part].astype(np.int32),
+                [row.tobytes() for row in around[part]], np.full(len(part), number, np.int32), bucket.settled[part],
+            )
+            cells = (pa.array(v, k) for v, k in zip(values, edge_kinds, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[part]), nothing, nothing, *cells], names)
 
     token = F.substring("around", BEHIND + 1, TOKEN)
     dealt = suffixes.repartitionByRange(buckets, token, F.xxhash64("around"), "text_id")
-    return dealt.mapInArrow(compare, f"{RANGES}, low long, high long, start long, several boolean")
+    schema = f"{RANGES}, place long, behind int, ahead int, around binary, bucket int, settled boolean"
+    return dealt.mapInArrow(compare, schema)
 
 
 def across_buckets(edges: DataFrame) -> DataFrame:
-    """Ranges of the passages that more than one bucket has."""
-    where = F.struct("text_id", "start")
-    each = edges.groupBy("low", "high").agg(
-        F.min(where).alias("least"), F.max(where).alias("greatest"), F.max("several").alias("known")
+    """Ranges around the suffixes whose passages more than one bucket has.
+
+    First the bytes that all passages of a band (those that begin ``low`` to ``low + BAND - 1`` bytes before
+    the suffix) have in common are counted; only bands with bytes that another
+    bucket has are resolved into passages."""
+
+    def hashes(begin: Column, length: Column) -> list[Column]:
+        part = F.substring("around", begin, length)
+        return [F.xxhash64(part).alias("hash"), F.xxhash64(F.lit(1), part).alias("more")]
+
+    def elsewhere(rows: DataFrame, band: str) -> DataFrame:
+        names = [band, "hash", "more"]
+        counted = rows.groupBy(*names).agg(F.min("bucket").alias("least"), F.max("bucket").alias("greatest"))
+        return rows.join(counted.where("least <> greatest").select(*names), names, "left_semi")
+
+    low, last = F.col("low"), F.least(F.col("low") + BAND - 1, F.lit(BEHIND))
+    within = (F.col("behind") >= low) & (F.col("ahead") >= SPAN - last)
+    bands = edges.withColumn("low", F.explode(F.array(*(F.lit(x) for x in range(0, WINDOW, BAND))))).where(within)
+    bands = bands.select("text_id", "place", "bucket", "low", *hashes(BEHIND + 1 - low, low + SPAN - last))
+    shared = elsewhere(bands, "low").groupBy("text_id", "place").agg(F.collect_set("low").alias("lows"))
+    left = stored(edges.join(shared, ["text_id", "place"]), "shared_bands")
+    each = left.withColumn("low", F.explode("lows")).withColumn("x", F.explode(F.sequence(low, last)))
+    each = each.where((F.col("behind") >= F.col("x")) & (F.col("ahead") >= SPAN - F.col("x")))
+    each = each.select("text_id", "place", "bucket", "settled", "x", *hashes(BEHIND + 1 - F.col("x"), F.lit(SPAN)))
+    hits = elsewhere(each, "x").where("not settled").groupBy("text_id", "place").agg(
+        F.max("x").alias("back"), (SPAN - F.min("x")).alias("forth")
     )
-    repeated = each.where("known or least <> greatest").select("low", "high")
-    hits = edges.where("not several").join(repeated, ["low", "high"], "left_semi")
-    # As the packed ranges: little-endian longs, one passage per row.
+    # As the packed ranges: little-endian longs, one range per row.
     little = lambda c: F.reverse(F.split(F.regexp_replace(F.lpad(F.hex(c), 16, "0"), "(..)(?!$)", "$1 "), " "))
     packed = lambda c: F.unhex(F.array_join(little(c), ""))
-    return hits.select(
-        "text_id", packed(F.col("start")).alias("starts"), packed(F.col("start") + SPAN).alias("ends")
-    )
+    start, end = F.col("place") - F.col("back"), F.col("place") + F.col("forth")
+    return hits.select("text_id", packed(start).alias("starts"), packed(end).alias("ends"))
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -530,7 +526,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sorted_ = stored(sorted_buckets(suffixes, max(least, -(-suffixes.count() // BUCKET))), "ranges")
     ranges = sorted_.where("starts is not null").select("text_id", "starts", "ends").unionAll(settled)
-    edges = sorted_.where("starts is null").select("text_id", "low", "high", "start", "several")
+    edges = sorted_.where("starts is null").drop("starts", "ends")
     removed = (
         ranges.unionAll(across_buckets(edges))
         .groupBy("text_id")
