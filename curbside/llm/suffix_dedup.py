@@ -66,7 +66,7 @@ BUCKET = 100_000
 #: Suffixes that are cut out or compared at once.
 ROWS = 8192
 #: Passages around a suffix that are looked for in other buckets at once.
-BAND = 18
+BAND = 35
 
 U = np.uint64
 
@@ -413,8 +413,8 @@ def surroundings(found: DataFrame) -> DataFrame:
 def sorted_buckets(suffixes: DataFrame, buckets: int) -> DataFrame:
     """Ranges to remove, from the order of suffixes in each bucket; and rows with a
     ``bucket``, the suffixes whose passages other buckets may have too."""
-    names = ["text_id", "starts", "ends", "place", "behind", "ahead", "around", "bucket", "settled"]
-    edge_kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.bool_()]
+    names = ["text_id", "starts", "ends", "place", "behind", "ahead", "around", "bucket", "back", "forth"]
+    edge_kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.int32()]
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [batch for batch in batches if batch.num_rows]
@@ -445,14 +445,15 @@ def sorted_buckets(suffixes: DataFrame, buckets: int) -> DataFrame:
             nothing = pa.nulls(len(part), pa.binary())
             values = (
                 places[part], bucket.behind[part].astype(np.int32), bucket.ahead[part].astype(np.int32),
-                [row.tobytes() for row in around[part]], np.full(len(part), number, np.int32), bucket.settled[part],
+                [row.tobytes() for row in around[part]], np.full(len(part), number, np.int32),
+                back[part].astype(np.int32), forth[part].astype(np.int32),
             )
             cells = (pa.array(v, k) for v, k in zip(values, edge_kinds, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(ids[part]), nothing, nothing, *cells], names)
 
     token = F.substring("around", BEHIND + 1, TOKEN)
     dealt = suffixes.repartitionByRange(buckets, token, F.xxhash64("around"), "text_id")
-    schema = f"{RANGES}, place long, behind int, ahead int, around binary, bucket int, settled boolean"
+    schema = f"{RANGES}, place long, behind int, ahead int, around binary, bucket int, back int, forth int"
     return dealt.mapInArrow(compare, schema)
 
 
@@ -461,27 +462,29 @@ def across_buckets(edges: DataFrame) -> DataFrame:
 
     First the bytes that all passages of a band (those that begin ``low`` to ``low + BAND - 1`` bytes before
     the suffix) have in common are counted; only bands with bytes that another
-    bucket has are resolved into passages."""
+    bucket has are resolved into passages.  A suffix asks only for passages beyond the
+    ``back`` and ``forth`` that its own bucket found."""
 
     def hashes(begin: Column, length: Column) -> list[Column]:
         part = F.substring("around", begin, length)
         return [F.xxhash64(part).alias("hash"), F.xxhash64(F.lit(1), part).alias("more")]
 
-    def elsewhere(rows: DataFrame, band: str) -> DataFrame:
+    def elsewhere(rows: DataFrame, band: str, asking: DataFrame) -> DataFrame:
         names = [band, "hash", "more"]
         counted = rows.groupBy(*names).agg(F.min("bucket").alias("least"), F.max("bucket").alias("greatest"))
-        return rows.join(counted.where("least <> greatest").select(*names), names, "left_semi")
+        return asking.join(counted.where("least <> greatest").select(*names), names, "left_semi")
 
     low, last = F.col("low"), F.least(F.col("low") + BAND - 1, F.lit(BEHIND))
     within = (F.col("behind") >= low) & (F.col("ahead") >= SPAN - last)
     bands = edges.withColumn("low", F.explode(F.array(*(F.lit(x) for x in range(0, WINDOW, BAND))))).where(within)
     bands = bands.select("text_id", "place", "bucket", "low", *hashes(BEHIND + 1 - low, low + SPAN - last))
-    shared = elsewhere(bands, "low").groupBy("text_id", "place").agg(F.collect_set("low").alias("lows"))
+    shared = elsewhere(bands, "low", bands).groupBy("text_id", "place").agg(F.collect_set("low").alias("lows"))
     left = stored(edges.join(shared, ["text_id", "place"]), "shared_bands")
     each = left.withColumn("low", F.explode("lows")).withColumn("x", F.explode(F.sequence(low, last)))
     each = each.where((F.col("behind") >= F.col("x")) & (F.col("ahead") >= SPAN - F.col("x")))
-    each = each.select("text_id", "place", "bucket", "settled", "x", *hashes(BEHIND + 1 - F.col("x"), F.lit(SPAN)))
-    hits = elsewhere(each, "x").where("not settled").groupBy("text_id", "place").agg(
+    each = each.select("text_id", "place", "bucket", "back", "forth", "x", *hashes(BEHIND + 1 - F.col("x"), F.lit(SPAN)))
+    asking = each.where((F.col("x") > F.col("back")) | (F.col("x") < SPAN - F.col("forth")))
+    hits = elsewhere(each, "x", asking).groupBy("text_id", "place").agg(
         F.max("x").alias("back"), (SPAN - F.min("x")).alias("forth")
     )
     # As the packed ranges: little-endian longs, one range per row.
