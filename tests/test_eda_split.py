@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window as W, functions as F
 
 from curbside.operators import eda, split
 
@@ -139,6 +139,31 @@ def test_stratified_folds_differ_by_at_most_one(labelled):
     assert got["hot"] == (0, 5) and got["b"][0] <= 1 and got["one"] == (0, 1)
 
 
+def test_folds_are_the_places_by_digest_in_each_class(labelled):
+    """Rows are dealt by digest once: no sampled sort of the whole."""
+    got = split.stratified_folds(labelled, "y", "id", k=3, seed=9)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan.lower()
+    place = F.row_number().over(W.partitionBy("y").orderBy(F.md5(F.concat(F.col("id").cast("string"), F.lit("|9")))))
+    wanted = labelled.select("id", ((place - 1) % 3).alias("fold"))
+    assert sorted(map(tuple, got.select("id", "fold").collect())) == sorted(map(tuple, wanted.collect()))
+
+
+def test_the_cut_is_found_without_moving_the_rows(labelled, monkeypatch):
+    """One stretch per class is asked for, by a table of one row per class."""
+    joined = []
+    real = split.attach
+
+    def watched(fact, dim, keys, *args, **kwargs):
+        found = real(fact, dim, keys, *args, **kwargs)
+        joined.append(found._jdf.queryExecution().executedPlan().toString())
+        return found
+
+    monkeypatch.setattr(split, "attach", watched)
+    split.stratified_split(labelled, "y", "id").count()
+    assert len(joined) == 2 and all("SortMergeJoin" not in plan for plan in joined)
+
+
 def test_the_seed_matters(labelled):
     a, b = (split.hash_split(labelled, "id", seed=s).filter("split = 'test'").select("id") for s in (1, 2))
     assert a.exceptAll(b).count() > 0

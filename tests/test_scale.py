@@ -93,6 +93,20 @@ def test_row_numbers_are_dense_and_in_order(skewed):
     assert [(r["k"], r["row_no"]) for r in numbered] == sorted((r["k"], r["row_no"]) for r in numbered)
 
 
+def test_numbers_in_the_order_of_a_digest_without_a_sort_of_the_whole(spark, skewed, monkeypatch):
+    """Rows that share a digest (one key has a third of all), or have none, included."""
+    monkeypatch.setattr(scale, "ROWS_PER_TASK", 100)
+    keyed = skewed.withColumn("k", F.when(F.col("k") != 7, F.col("k")))
+    digest = F.md5(F.col("k").cast("string"))
+    order = [digest, "k", "row_no"]
+    by_sort = scale.number_rows(keyed, order, "n", start=5)
+    dealt = scale.number_rows(keyed, order, "n", start=5, digest=digest)
+    assert sorted(map(tuple, by_sort.collect()), key=str) == sorted(map(tuple, dealt.collect()), key=str)
+    placed = scale.place_in_stretch(keyed, digest, order, "n", 9000)
+    assert placed.rdd.getNumPartitions() >= 90
+    assert "rangepartitioning" not in placed._jdf.queryExecution().executedPlan().toString()
+
+
 def test_running_total(skewed):
     counted = skewed.groupBy("k").agg(F.count("*").alias("n"))
     before = 0
