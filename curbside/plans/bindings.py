@@ -112,9 +112,10 @@ def collections(spark: SparkSession, sf_dir: str, columns: list[str]) -> DataFra
     # Hot keys of all large sides come from one reading, before any join.
     large = [keys for (keys, _), fits in zip(sides, small) if not fits]
     hot = dict(zip([keys[0] for keys in large], hot_keys_of(facts, large) if large else []))
+    rows = facts.count() if large else None
     df = facts
     for (keys, dim), fits in zip(sides, small):
-        df = attach(df, dim, keys, small=fits, hot=hot.get(keys[0]))
+        df = attach(df, dim, keys, small=fits, hot=hot.get(keys[0]), rows=rows)
     return df.select(*columns)
 
 

@@ -107,6 +107,16 @@ def test_numbers_in_the_order_of_a_digest_without_a_sort_of_the_whole(spark, ske
     assert "rangepartitioning" not in placed._jdf.queryExecution().executedPlan().toString()
 
 
+def test_a_large_join_has_tasks_by_the_rows(spark, skewed, dim, monkeypatch):
+    """However much adaptive execution would put into one task."""
+    monkeypatch.setattr(scale, "ROWS_PER_TASK", 100)
+    for hot in ([], [0]):
+        joined = scale.attach(skewed, dim, ["k"], small=False, hot=hot, rows=9000)
+        assert joined.rdd.getNumPartitions() >= 90
+        assert rows(joined) == rows(skewed.join(dim, "k"))
+    assert scale.task_count(skewed, 0) == spark.sparkContext.defaultParallelism
+
+
 def test_running_total(skewed):
     counted = skewed.groupBy("k").agg(F.count("*").alias("n"))
     before = 0
