@@ -390,3 +390,22 @@ def test_more_categories_than_bins(spark):
     )
     model = cl.train_classifier(df, cl.tree(3))
     assert cl.score(df, model).filter("predicted_type = waste_type").count() == 400
+
+
+def test_requests_of_one_file_part_are_scored_on_all_cores(spark, monkeypatch):
+    """A model takes far longer than reading; a file of one row group is one task."""
+    raw = spark.range(400).select(
+        "id", (F.col("id") % 9).cast("string").alias("weight_kg"), F.lit("15").alias("moisture_pct"),
+        F.lit("1").alias("recyclable"), F.lit("ferrous").alias("material_type"),
+    ).coalesce(1)
+    seen = []
+
+    def scored(df, model):
+        seen.append(df.groupBy(F.spark_partition_id()).count().collect())
+        return cl.rule_classify(df)
+
+    monkeypatch.setattr(cl, "score", scored)
+    good, _ = cl.classify_requests(raw, model=object())
+    assert good.select("id").distinct().count() == 400
+    counts = [r["count"] for r in seen[0]]
+    assert len(counts) >= spark.sparkContext.defaultParallelism and max(counts) < 100
