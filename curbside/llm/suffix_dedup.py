@@ -11,16 +11,18 @@ token at the same place, so the suffixes that begin at chosen tokens, about one
    hashes of the leading tokens.
 2. The rest go with the ``SPAN`` bytes ahead and the ``SPAN - TOKEN`` behind into
    buckets by ranges of their leading token.  Spark samples the tokens for the
-   splitters; suffixes with one leading token are parted further by their
-   surroundings and text, so a line of a third of all documents fills many buckets.
+   splitters; suffixes with one leading token are parted further by what follows it,
+   then by their surroundings and text, so a line of a third of all documents fills
+   many buckets.
 3. A bucket sorts its suffixes by multikey quicksort, and what lies before them,
    read backwards, as well.  The common prefixes of neighbours in both orders tell
    which passages around the suffixes are equal, and the longest reach to either side
    is what is removed.
-4. Across boundaries: a passage can only occur in another bucket too if its leading
-   token is that of the first or the last suffix of its bucket.  Those suffixes are
-   compared between buckets by aggregations with partial sums: first what bands of
-   passages around them have in common, then the passages of the bands left.
+4. Across boundaries: a passage can only occur in another bucket too if what of it lies
+   ahead of the suffix begins the first or the last suffix of its bucket as well.  Those
+   passages, each once from a bucket, are compared between buckets by aggregations with
+   partial sums: first what bands of them have in common, then narrower ones of the
+   bands left, then passages.
 
 Suffixes with equal surroundings are settled in the task that reads them, and again
 in their bucket, and one goes on.  Texts that occur more than once as a whole are
@@ -37,7 +39,7 @@ harm.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -65,8 +67,9 @@ GROUP_BYTES = 48 << 20
 BUCKET = 100_000
 #: Suffixes that are cut out or compared at once.
 ROWS = 8192
-#: Passages around a suffix that are looked for in other buckets at once.
-BAND = 35
+#: Passages around a suffix that are looked for in other buckets at once, step by step;
+#: each divides the one before.
+BANDS = (35, 7, 1)
 
 U = np.uint64
 
@@ -336,12 +339,21 @@ class Bucket:
         return back, forth
 
     def edges(self) -> np.ndarray:
-        """The suffixes with the first or the last leading token, one of those with
-        equal surroundings."""
-        token = np.cumsum(self.common[0][:-1] < TOKEN)
-        edge = np.zeros(len(token), bool)
-        edge[self.order[0]] = (token == token[0]) | (token == token[-1])
-        return np.flatnonzero(edge & self.first)
+        """Whether another bucket may have the passage that begins x bytes before the suffix,
+        by suffix and x: what of the passage lies ahead begins the first or the last
+        suffix too.  One of those with equal passages stands for all."""
+        inner = self.common[0][1:-1]
+        bound = np.empty(len(self.around), np.int64)
+        bound[self.order[0]] = np.maximum(
+            np.minimum.accumulate(np.append(SPAN, inner)),
+            np.minimum.accumulate(np.append(SPAN, inner[::-1]))[::-1],
+        )
+        found = np.zeros((len(bound), WINDOW), bool)
+        for x in range(WINDOW):
+            of = np.flatnonzero(self.inside(x) & (bound >= SPAN - x))
+            if len(of):
+                found[of[np.unique(self.passages(x, of), return_index=True)[1]], x] = True
+        return found
 
 
 RANGES = "text_id long, starts binary, ends binary"
@@ -412,9 +424,10 @@ def surroundings(found: DataFrame) -> DataFrame:
 
 def sorted_buckets(suffixes: DataFrame, buckets: int) -> DataFrame:
     """Ranges to remove, from the order of suffixes in each bucket; and rows with a
-    ``bucket``, the suffixes whose passages other buckets may have too."""
-    names = ["text_id", "starts", "ends", "place", "behind", "ahead", "around", "bucket", "back", "forth"]
-    edge_kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.int32()]
+    ``bucket``, the suffixes with ``passages`` that other buckets may have too: how many bytes
+    before the suffix they begin."""
+    names = ["text_id", "starts", "ends", "place", "around", "bucket", "back", "forth", "passages"]
+    edge_kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int32())]
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [batch for batch in batches if batch.num_rows]
@@ -438,55 +451,57 @@ def sorted_buckets(suffixes: DataFrame, buckets: int) -> DataFrame:
         key, start, end = ids[hit], (places - back)[hit], (places + forth)[hit]
         arrays = _ranges((int(key[i]), *merged(start[i:j], end[i:j])) for i, j in runs(key))
         yield pa.RecordBatch.from_arrays([*arrays, *(pa.nulls(len(arrays[0]), k) for k in edge_kinds)], names)
-        edge = bucket.edges()
+        passages = bucket.edges()
+        edge = np.flatnonzero(passages.any(axis=1))
         number = TaskContext.get().partitionId()
         for a in range(0, len(edge), ROWS):
             part = edge[a : a + ROWS]
             nothing = pa.nulls(len(part), pa.binary())
             values = (
-                places[part], bucket.behind[part].astype(np.int32), bucket.ahead[part].astype(np.int32),
-                [row.tobytes() for row in around[part]], np.full(len(part), number, np.int32),
+                places[part], [row.tobytes() for row in around[part]], np.full(len(part), number, np.int32),
                 back[part].astype(np.int32), forth[part].astype(np.int32),
+                [np.flatnonzero(row) for row in passages[part]],
             )
             cells = (pa.array(v, k) for v, k in zip(values, edge_kinds, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(ids[part]), nothing, nothing, *cells], names)
 
-    token = F.substring("around", BEHIND + 1, TOKEN)
-    dealt = suffixes.repartitionByRange(buckets, token, F.xxhash64("around"), "text_id")
-    schema = f"{RANGES}, place long, behind int, ahead int, around binary, bucket int, back int, forth int"
+    ahead_of = F.substring("around", BEHIND + 1, SPAN)
+    dealt = suffixes.repartitionByRange(buckets, ahead_of, F.xxhash64("around"), "text_id")
+    schema = f"{RANGES}, place long, around binary, bucket int, back int, forth int, passages array<int>"
     return dealt.mapInArrow(compare, schema)
 
 
 def across_buckets(edges: DataFrame) -> DataFrame:
     """Ranges around the suffixes whose passages more than one bucket has.
 
-    First the bytes that all passages of a band (those that begin ``low`` to ``low + BAND - 1`` bytes before
-    the suffix) have in common are counted; only bands with bytes that another
-    bucket has are resolved into passages.  A suffix asks only for passages beyond the
-    ``back`` and ``forth`` that its own bucket found."""
-
-    def hashes(begin: Column, length: Column) -> list[Column]:
-        part = F.substring("around", begin, length)
-        return [F.xxhash64(part).alias("hash"), F.xxhash64(F.lit(1), part).alias("more")]
-
-    def elsewhere(rows: DataFrame, band: str, asking: DataFrame) -> DataFrame:
-        names = [band, "hash", "more"]
-        counted = rows.groupBy(*names).agg(F.min("bucket").alias("least"), F.max("bucket").alias("greatest"))
-        return asking.join(counted.where("least <> greatest").select(*names), names, "left_semi")
-
-    low, last = F.col("low"), F.least(F.col("low") + BAND - 1, F.lit(BEHIND))
-    within = (F.col("behind") >= low) & (F.col("ahead") >= SPAN - last)
-    bands = edges.withColumn("low", F.explode(F.array(*(F.lit(x) for x in range(0, WINDOW, BAND))))).where(within)
-    bands = bands.select("text_id", "place", "bucket", "low", *hashes(BEHIND + 1 - low, low + SPAN - last))
-    shared = elsewhere(bands, "low", bands).groupBy("text_id", "place").agg(F.collect_set("low").alias("lows"))
-    left = stored(edges.join(shared, ["text_id", "place"]), "shared_bands")
-    each = left.withColumn("low", F.explode("lows")).withColumn("x", F.explode(F.sequence(low, last)))
-    each = each.where((F.col("behind") >= F.col("x")) & (F.col("ahead") >= SPAN - F.col("x")))
-    each = each.select("text_id", "place", "bucket", "back", "forth", "x", *hashes(BEHIND + 1 - F.col("x"), F.lit(SPAN)))
-    asking = each.where((F.col("x") > F.col("back")) | (F.col("x") < SPAN - F.col("forth")))
-    hits = elsewhere(each, "x", asking).groupBy("text_id", "place").agg(
-        F.max("x").alias("back"), (SPAN - F.min("x")).alias("forth")
-    )
+    First the bytes that all passages of a band (those that begin ``low`` to ``low + width - 1`` bytes
+    before the suffix) have in common are counted; only bands with bytes that another bucket has are
+    resolved into narrower ones, the last of which are passages.  A suffix asks only for passages
+    beyond the ``back`` and ``forth`` that its own bucket found."""
+
+    def band_of(width: int) -> Callable[[Column], Column]:
+        return lambda x: x - x % width
+
+    left = edges
+    for width in BANDS:
+        last = F.least(F.col("low") + width - 1, F.lit(BEHIND))
+        part = F.substring("around", BEHIND + 1 - F.col("low"), F.col("low") + SPAN - last)
+        band = band_of(width)
+        lows = F.array_distinct(F.transform("passages", band))
+        bands = left.withColumn("low", F.explode(lows)).select(
+            "text_id", "place", "bucket", "back", "forth", "low",
+            F.xxhash64(part).alias("hash"), F.xxhash64(F.lit(1), part).alias("more"),
+        )
+        names = ["low", "hash", "more"]
+        counted = bands.groupBy(*names).agg(F.min("bucket").alias("least"), F.max("bucket").alias("greatest"))
+        asking = bands if width > 1 else bands.where("low > back or low < %d - forth" % SPAN)
+        hits = asking.join(counted.where("least <> greatest").select(*names), names, "left_semi")
+        if width > 1:
+            shared = hits.groupBy("text_id", "place").agg(F.collect_set("low").alias("lows"))
+            inside = F.filter("passages", lambda x: F.array_contains("lows", band(x)))  # noqa: B023
+            left = left.join(shared, ["text_id", "place"]).withColumn("passages", inside).drop("lows")
+            left = stored(left, "shared_bands")
+    hits = hits.groupBy("text_id", "place").agg(F.max("low").alias("back"), (SPAN - F.min("low")).alias("forth"))
     # As the packed ranges: little-endian longs, one range per row.
     little = lambda c: F.reverse(F.split(F.regexp_replace(F.lpad(F.hex(c), 16, "0"), "(..)(?!$)", "$1 "), " "))
     packed = lambda c: F.unhex(F.array_join(little(c), ""))

@@ -140,3 +140,24 @@ def test_awkward_rows(spark):
     want = brute([r["text"] for r in df.collect()])
     assert sorted(tuple(r)[1:] for r in got) == sorted(want)
     assert sd.remove_repeats(h.empty(spark)).count() == 0
+
+
+def test_only_passages_that_reach_a_boundary_are_asked_for():
+    """Of suffixes that share a hot token, those whose text goes on otherwise than that of the first and
+    last suffix of the bucket ask other buckets for nothing, and equal passages are asked for once."""
+    rng = np.random.default_rng(6)
+    around = rng.integers(97, 123, (300, sd.AROUND)).astype(np.uint8)
+    around[:, sd.BEHIND : sd.BEHIND + sd.TOKEN] = 97
+    around[100:200, sd.BEHIND - 60 :] = around[100, sd.BEHIND - 60 :]
+    full = np.full(300, sd.BEHIND), np.full(300, sd.SPAN)
+    passages = sd.Bucket(around, *full).edges()
+    ahead = [bytes(r[sd.BEHIND :]) for r in around]
+    ends = min(ahead), max(ahead)
+    common = lambda a, b: next((k for k in range(sd.SPAN) if a[k] != b[k]), sd.SPAN)
+    want = set()
+    for x in range(sd.WINDOW):
+        of = [i for i in range(300) if max(common(ahead[i], e) for e in ends) >= sd.SPAN - x]
+        want |= {(x, bytes(around[i, sd.BEHIND - x : sd.BEHIND - x + sd.SPAN])) for i in of}
+    got = [(int(x), bytes(around[i, sd.BEHIND - x : sd.BEHIND - x + sd.SPAN])) for i, x in np.argwhere(passages)]
+    assert set(got) == want and len(got) == len(want)
+    assert len(got) < 10 * 300
