@@ -477,7 +477,7 @@ def across_buckets(edges: DataFrame) -> DataFrame:
     First the bytes that all passages of a band (those that begin ``low`` to ``low + width - 1`` bytes
     before the suffix) have in common are counted; only bands with bytes that another bucket has are
     resolved into narrower ones, the last of which are passages.  A suffix asks only for passages
-    beyond the ``back`` and ``forth`` that its own bucket found."""
+    beyond the ``back`` and ``forth`` that its own bucket found, and a band that none asks for ends."""
 
     def band_of(width: int) -> Callable[[Column], Column]:
         return lambda x: x - x % width
@@ -488,14 +488,18 @@ def across_buckets(edges: DataFrame) -> DataFrame:
         part = F.substring("around", BEHIND + 1 - F.col("low"), F.col("low") + SPAN - last)
         band = band_of(width)
         lows = F.array_distinct(F.transform("passages", band))
-        bands = left.withColumn("low", F.explode(lows)).select(
-            "text_id", "place", "bucket", "back", "forth", "low",
+        beyond = F.filter("passages", lambda x: (x > F.col("back")) | (x < SPAN - F.col("forth")))
+        bands = left.withColumn("asked", F.transform(beyond, band)).withColumn("low", F.explode(lows)).select(
+            "text_id", "place", "bucket", "low", F.array_contains("asked", F.col("low")).alias("asks"),
             F.xxhash64(part).alias("hash"), F.xxhash64(F.lit(1), part).alias("more"),
         )
         names = ["low", "hash", "more"]
-        counted = bands.groupBy(*names).agg(F.min("bucket").alias("least"), F.max("bucket").alias("greatest"))
-        asking = bands if width > 1 else bands.where("low > back or low < %d - forth" % SPAN)
-        hits = asking.join(counted.where("least <> greatest").select(*names), names, "left_semi")
+        counted = bands.groupBy(*names).agg(
+            F.min("bucket").alias("least"), F.max("bucket").alias("greatest"), F.max("asks").alias("asks")
+        )
+        # In wider bands those that answer go on beside those that ask.
+        asking = bands if width > 1 else bands.where("asks")
+        hits = asking.join(counted.where("least <> greatest and asks").select(*names), names, "left_semi")
         if width > 1:
             shared = hits.groupBy("text_id", "place").agg(F.collect_set("low").alias("lows"))
             inside = F.filter("passages", lambda x: F.array_contains("lows", band(x)))  # noqa: B023
