@@ -7,8 +7,10 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_module
+from curbside.operators import classify
 from curbside.plans import oracle, queries as plans
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -131,6 +133,24 @@ def test_the_classifiers_are_scored_on_all_collections(spark, duck):
     assert fitted.count() == plans.CLASSIFIER_ROWS
 
 
+def test_a_classifier_learns_from_all_its_training_rows(spark):
+    """What only the last ids of a part show is learned too."""
+    late = F.col("id") > 2200
+    part = spark.range(1, 2601).select(
+        "id",
+        F.when(late, "Metal").when(F.col("id") % 2 == 0, "Paper").otherwise("Glass").alias("waste_type"),
+        (F.col("id") % 5).cast("double").alias("weight_kg"),
+        F.when(late, 80.0).otherwise(10.0 + F.col("id") % 2).alias("moisture_pct"),
+        F.lit(1).alias("recyclable"),
+        F.lit("silica").alias("material_type"),
+    )
+    stages = plans._stages(part)
+    probe = part.filter("id IN (1, 2, 2600)")
+    for fit in plans._kinds(stages).values():
+        scored = classify.score(probe, fit(plans._prepared(part, stages)))
+        assert {r["id"]: r["predicted_type"] for r in scored.collect()} == {1: "Glass", 2: "Paper", 2600: "Metal"}
+
+
 def test_a_changed_table_gives_a_new_model(spark, tmp_path):
     """The same folder with other rows: nothing kept from the old ones is answered."""
     for name in plans.INPUTS:
