@@ -259,6 +259,27 @@ def test_parts_are_prepared_once_for_all_models(parted):
     assert len(calls) == 3
 
 
+def test_kept_models_are_not_fitted_again(parted):
+    kept, calls = {}, []
+
+    def prepare(part):
+        calls.append(1)
+        return part
+
+    def keep(name, left_out, fit):
+        if (name, left_out) not in kept:
+            kept[name, left_out] = fit()
+        return kept[name, left_out]
+
+    train = {name: lambda df: cl.train_classifier(df, cl.tree(2)) for name in "ab"}
+    found = [
+        ev.compare_models(parted, train, k=2, weight=cl.WEIGHT, prepare=prepare, keep=keep).collect()
+        for _ in range(2)
+    ]
+    assert found[0] == found[1] and len(calls) == 3
+    assert set(kept) == {(name, run) for name in "ab" for run in ("test", "fold0", "fold1")}
+
+
 def test_groups_hold_all_rows(spark):
     df = spark.createDataFrame(
         [(1.0, 2.0, 1, "m", "a"), (1.0, 2.0, 1, "m", "a"), (1.0, 2.0, 1, "m", "b"), (1.0, None, 1, None, "a")],
